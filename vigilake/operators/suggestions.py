@@ -49,30 +49,30 @@ def cluster_files(files: DataFrame) -> DataFrame:
 def unique_names(stems: DataFrame, declared: DataFrame) -> DataFrame:
     """Names of suggestions (``source, template, stem``): ``stem``, ``stem_2``, ... without collisions.
 
-    In template order each takes the first name that neither ``declared``
-    (``source, fileset``) nor an earlier template holds. Solved in rounds: every
-    template proposes, the earliest proposer keeps a name, the others and their
-    followers of the same stem move on. Proposals only grow, and a round runs only
-    while there are collisions, which need a stem that ends like a number suffix.
+    In template order each takes the first name of its stem that neither ``declared``
+    (``source, fileset``) nor an earlier template holds. A stem has no digits (they
+    are tokens), so suggestions of different stems never want the same name: the
+    n-th template of a stem takes the n-th name that is not declared.
     """
-    same_stem = Window.partitionBy("source", "stem").orderBy("template")
-    taken = declared.select("source", F.col("fileset").alias("name"), F.lit("").alias("template"))
-    proposed = stems.withColumn("rank", F.row_number().over(same_stem)).withColumn("k", F.col("rank"))
-    while True:
-        proposed = proposed.withColumn(
-            "name", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat_ws("_", "stem", "k")))
-        proposed = cut_lineage(proposed)
-        winners = (
-            proposed.select("source", "name", "template").unionByName(taken)
-            .groupBy("source", "name").agg(F.min("template").alias("_winner"))
-        )
-        judged = proposed.join(winners, ["source", "name"]).withColumn(
-            "_lost", F.col("template") != F.col("_winner")).drop("_winner")
-        if judged.where("_lost").isEmpty():
-            return proposed.select("source", "template", "name")
-        moved = F.col("k") + F.when(F.col("_lost"), 1).otherwise(0) - F.col("rank")
-        running = same_stem.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        proposed = judged.withColumn("k", F.max(moved).over(running) + F.col("rank")).drop("_lost", "name")
+    keys = ["source", "stem"]
+    name = F.col("fileset")
+    numbered = F.regexp_extract(name, r"^.*_([1-9][0-9]{0,8})$", 1)
+    taken = declared.select("source", name.alias("stem"), F.lit(1).alias("_at")).unionByName(
+        declared.where((numbered != "") & (numbered != "1")).select(
+            "source", F.regexp_extract(name, r"^(.*)_[0-9]+$", 1).alias("stem"), numbered.cast("int").alias("_at")))
+    # Declared names of one stem: bounded by the declarations themselves.
+    taken = taken.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_taken"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("template"))
+    place = F.aggregate(
+        F.coalesce("_taken", F.expr("cast(array() as array<int>)")), F.col("_rank"),
+        lambda at, used: F.when(used <= at, at + 1).otherwise(at))
+    return (
+        stems.withColumn("_rank", rank)
+        .join(taken, keys, "left")
+        .withColumn("_place", place)
+        .select("source", "template", F.when(F.col("_place") == 1, F.col("stem"))
+                .otherwise(F.concat_ws("_", "stem", "_place")).alias("name"))
+    )
 
 
 def suggest_filesets(clustered: DataFrame, declared: DataFrame) -> DataFrame:
@@ -82,7 +82,6 @@ def suggest_filesets(clustered: DataFrame, declared: DataFrame) -> DataFrame:
     summary = members.groupBy(*keys).agg(
         F.count("*").alias("file_count"),
         F.min_by(F.map_entries("columns"), F.struct(F.size("columns") == 0, F.col("pos"))).alias("_columns"))
-    summary = cut_lineage(summary)
     names = unique_names(summary.select(*keys, suggested_stem(F.col("template")).alias("stem")), declared)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
     samples = (
@@ -111,22 +110,27 @@ def uncovered(clustered: DataFrame) -> DataFrame:
     return clustered.where(~F.col("member"))
 
 
-def accept_suggestions(files: DataFrame, suggestions: DataFrame, declared_names: Iterable[str] = ()) -> DataFrame:
+def claims_of(suggestions: DataFrame) -> DataFrame:
+    """Suggestions with a ``files`` array as one row per claimed file."""
+    return suggestions.select("suggestion", "name", "pattern", F.explode("files").alias("path"))
+
+
+def accept_suggestions(files: DataFrame, claims: DataFrame, declared_names: Iterable[str] = ()) -> DataFrame:
     """Members of the acceptable suggestions from outside: ``suggestion, name, pattern, path, pos``.
 
-    ``files``: ``path, pos``, one source. ``suggestions``: ``suggestion`` (their
-    order), ``name, pattern, files array<string>``. Taken in order, a suggestion
-    counts if its name is free and at least two claimed files exist, match its
-    pattern and belong to no earlier accepted one. Each round decides every
-    suggestion that shares no file or name with an earlier undecided one, so the
-    number of rounds is the longest chain of overlaps, not the number of suggestions.
+    ``files``: ``path, pos``, one source. ``claims``: ``suggestion`` (their order),
+    ``name, pattern, path``. Taken in order, a suggestion counts if its name is free
+    and at least two claimed files exist, match its pattern and belong to no earlier
+    accepted one. Each round decides every suggestion that shares no file or name
+    with an earlier undecided one, so the number of rounds is the longest chain of
+    overlaps, not the number of suggestions.
     """
-    usable = suggestions.where(
-        F.col("name").isNotNull() & (F.col("name") != "") & F.col("pattern").isNotNull()
-        & F.col("files").isNotNull() & ~F.col("name").isin(*list(declared_names)) & compiles(F.col("pattern")))
+    usable = claims.where(
+        (F.col("name") != "") & F.col("pattern").isNotNull() & ~F.col("name").isin(*list(declared_names))
+        & compiles(F.col("pattern")))
     target = F.when(F.col("pattern").contains("/"), F.col("path")).otherwise(base_name(F.col("path")))
     claims = (
-        usable.select("suggestion", "name", "pattern", F.explode("files").alias("path")).distinct()
+        usable.select("suggestion", "name", "pattern", "path").distinct()
         .join(files.select("path", "pos"), "path")
         .withColumn("_target", target)
         .withColumn("_regex", pattern_regex_col(F.col("pattern")))
