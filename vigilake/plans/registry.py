@@ -1,8 +1,9 @@
 """All registered queries: name to (query, SQL counterpart or None)."""
 
-from vigilake.plans import drift_queries, profile_queries
+from vigilake.plans import drift_queries, feed_queries, profile_queries
 
 REGISTRY = {
     **profile_queries.QUERIES,
     **drift_queries.QUERIES,
+    **feed_queries.QUERIES,
 }
