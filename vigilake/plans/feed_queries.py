@@ -48,14 +48,14 @@ def parquet_file_rows(spark, sf_dir) -> DataFrame:
 
 
 def incremental_files(spark, sf_dir) -> DataFrame:
-    """Sources are the tenants' directories; their earlier scans come from the orders' dates."""
+    """A user's directory is a source; suppliers of the same number stand for earlier scans."""
     listing = I.files(spark, sf_dir).withColumn("source", F.substring_index("path", "/", 1))
-    scans = load(spark, sf_dir, "customer").where("c_custkey < 1000000000").select(
-        F.col("c_custkey").cast("string").alias("server"),
-        F.col("c_custkey").alias("scan_id"),
-        F.expr("timestamp '2024-02-01' + make_interval(0, 0, 0, cast(c_nationkey as int))").alias("scan_time"),
-        F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, cast(c_nationkey as int))").alias("last_modified"),
-    ).where("c_nationkey < 20")
+    scans = load(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("server"),
+        F.col("s_suppkey").alias("scan_id"),
+        F.expr("timestamp '2024-02-01' + make_interval(0, 0, 0, s_nationkey)").alias("scan_time"),
+        F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, s_nationkey)").alias("last_modified"),
+    )
     found = FL.newer_than_highwater(listing, scans)
     return found.select("source", "path", "size", show_ts("mtime"))
 
@@ -233,7 +233,7 @@ QUERIES = {
     "parquet_file_rows": (parquet_file_rows, " UNION ALL ".join(
         f"SELECT '{t}.parquet' AS name, count(*) AS num_rows FROM {t}" for t in I.TABLES)),
     "incremental_files": (incremental_files, with_ctes("files", f"""
-, hw AS (SELECT c_custkey::VARCHAR source, TIMESTAMP '2024-01-01' + to_days(c_nationkey) t FROM customer WHERE c_nationkey < 20)
+, hw AS (SELECT s_suppkey::VARCHAR source, TIMESTAMP '2024-01-01' + to_days(s_nationkey) t FROM supplier)
 SELECT split_part(path, '/', 1) AS source, path, size, {sql_ts('mtime')} FROM files LEFT JOIN hw ON source = split_part(path, '/', 1)
 WHERE mtime > coalesce(t, TIMESTAMP '1970-01-01')""")),
     "file_dispatch": (file_dispatch, with_ctes("files", """
