@@ -43,53 +43,76 @@ def _component_map(spec_components: Column) -> Column:
     return F.map_from_entries(F.flatten(F.transform(_entries(spec_components), section)))
 
 
-def _resolve(node: Column, components: Column) -> Column:
-    """Follow ``$ref``; a pointer below a component is walked member by member."""
+def _followed_references(spec: Column, raw: Column) -> Column:
+    """Every reference that occurs in a description, mapped to the JSON text it leads to.
+
+    References to references are followed up to the limit; one that leads nowhere maps
+    to ``{}``. Done once per description, so each use is a single lookup.
+    """
+
+    def walk(start: Column, parts: Column) -> Column:
+        return F.aggregate(parts, start, lambda at, part: F.try_element_at(_members(at), part))
 
     def target(ref: Column) -> Column:
         parts = F.split(ref, "/")
-        root = F.try_element_at(components, F.array_join(F.slice(parts, 1, 4), "/"))
-        rest = F.when(F.size(parts) > 4, F.slice(parts, 5, 1000)).otherwise(F.expr("cast(array() as array<string>)"))
-        return F.aggregate(rest, root, lambda at, part: F.try_element_at(_members(at), part))
+        component = F.try_element_at(raw, F.array_join(F.slice(parts, 1, 4), "/"))
+        found = (
+            F.when(ref.startswith("#/components/"), walk(component, F.slice(parts, 5, 1000)))
+            .when(ref.startswith("#/"), walk(spec, F.slice(parts, 2, 1000)))
+        )
+        return F.coalesce(found, F.lit("{}"))
+
+    def chase(ref: Column) -> Column:
+        hops = F.sequence(F.lit(2), F.lit(MAX_REF_HOPS))
+        return F.aggregate(hops, target(ref), lambda at, _: _let(
+            _ref(at), lambda next_ref: F.when(next_ref.isNull(), at).otherwise(target(next_ref))))
 
-    def hop(at: Column, _: Column) -> Column:
-        ref = F.get_json_object(at, "$.$ref")
-        return F.when(ref.isNull(), at).otherwise(F.coalesce(target(ref), F.lit("{}")))
+    written = F.regexp_extract_all(spec, F.lit(r'"\$ref"\s*:\s*"([^"]*)"'), F.lit(1))
+    refs = F.array_distinct(F.transform(written, lambda r: F.replace(r, F.lit(r"\/"), F.lit("/"))))
+    return F.map_from_arrays(refs, F.transform(refs, chase))
 
-    hops = F.sequence(F.lit(1), F.lit(MAX_REF_HOPS))
-    return F.when(F.get_json_object(node, "$.$ref").isNull(), node).otherwise(F.aggregate(hops, node, hop))
 
+def _resolve(node: Column, followed: Column) -> Column:
+    """The node itself, or what its reference leads to."""
+    return _let(node, lambda n: _let(_ref(n), lambda ref: F.when(ref.isNull(), n).otherwise(
+        F.coalesce(F.try_element_at(followed, ref), F.lit("{}")))))
 
-def _type_of(schema: Column, components: Column) -> Column:
+
+def _ref(node: Column) -> Column:
+    # The text test spares the parser for the many nodes without a reference.
+    return F.when(node.contains('"$ref"'), F.get_json_object(node, "$.$ref"))
+
+
+def _type_of(schema: Column, followed: Column) -> Column:
     def rendered(s: Column) -> Column:
         kind = F.coalesce(F.get_json_object(s, "$.type"), F.lit("object"))
-        items = _resolve(F.get_json_object(s, "$.items"), components)
+        items = _resolve(F.get_json_object(s, "$.items"), followed)
         inner = F.coalesce(F.get_json_object(items, "$.type"), F.lit("object"))
         return F.when(kind == "array", F.concat(F.lit("array["), inner, F.lit("]"))).otherwise(kind)
 
-    return _let(_resolve(schema, components), rendered)
+    return _let(_resolve(schema, followed), rendered)
 
 
-def _properties(schema: Column, components: Column, prefix: str = "") -> Column:
+def _properties(schema: Column, followed: Column, prefix: str = "") -> Column:
     """Entries of a schema's top-level properties; of its items if it is an array."""
 
     def entries(s: Column) -> Column:
         is_list = F.get_json_object(s, "$.type") == "array"
-        base = F.when(is_list, _resolve(F.get_json_object(s, "$.items"), components)).otherwise(s)
+        base = F.when(is_list, _resolve(F.get_json_object(s, "$.items"), followed)).otherwise(s)
         return F.transform(_entries(F.get_json_object(base, "$.properties")), lambda p: F.struct(
-            F.concat(F.lit(prefix), p["key"]).alias("key"), _type_of(p["value"], components).alias("value")))
+            F.concat(F.lit(prefix), p["key"]).alias("key"), _type_of(p["value"], followed).alias("value")))
 
-    return _let(_resolve(schema, components), entries)
+    return _let(_resolve(schema, followed), entries)
 
 
-def _json_body(node: Column, components: Column) -> Column:
+def _json_body(node: Column, followed: Column) -> Column:
     """Schema of the first JSON content type of a request body or response."""
 
     def schema(n: Column) -> Column:
         media = F.filter(_entries(F.get_json_object(n, "$.content")), lambda m: m["key"].contains("json"))
         return F.get_json_object(F.get(media, F.lit(0))["value"], "$.schema")
 
-    return _let(_resolve(node, components), schema)
+    return _let(_resolve(node, followed), schema)
 
 
 def _first_success(operation: Column) -> Column:
@@ -109,16 +132,16 @@ def _last_wins(entries: Column) -> Column:
         F.map_filter(done, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
 
 
-def _operation_columns(item: Column, operation: Column, components: Column) -> Column:
+def _operation_columns(item: Column, operation: Column, followed: Column) -> Column:
     def parameter(p: Column) -> Column:
-        return _let(_resolve(p, components), lambda r: F.struct(
+        return _let(_resolve(p, followed), lambda r: F.struct(
             F.concat(F.lit("param."), F.get_json_object(r, "$.name")).alias("key"),
-            _type_of(F.coalesce(F.get_json_object(r, "$.schema"), F.lit("{}")), components).alias("value")))
+            _type_of(F.coalesce(F.get_json_object(r, "$.schema"), F.lit("{}")), followed).alias("value")))
 
     given = F.transform(F.concat(_parameters(item), _parameters(operation)), parameter)
     named = F.filter(given, lambda p: p["key"].isNotNull() & (p["key"] != "param."))
-    body = _properties(_json_body(F.get_json_object(operation, "$.requestBody"), components), components, "body.")
-    reply = _properties(_json_body(_first_success(operation), components), components, "response.")
+    body = _properties(_json_body(F.get_json_object(operation, "$.requestBody"), followed), followed, "body.")
+    reply = _properties(_json_body(_first_success(operation), followed), followed, "response.")
     nothing = F.expr("cast(array() as array<struct<key:string,value:string>>)")
     return _last_wins(F.concat(named, F.coalesce(body, nothing), F.coalesce(reply, nothing)))
 
@@ -135,9 +158,10 @@ def spec_snapshot(specs: DataFrame, keys: tuple[str, ...] = ("api",)) -> DataFra
         *keys,
         F.get_json_object("spec", "$.paths").alias("_paths"),
         F.get_json_object("spec", "$.components.schemas").alias("_schemas"),
-        _component_map(F.get_json_object("spec", "$.components")).alias("_components"),
-    )
-    components = F.col("_components")
+        "spec",
+        _component_map(F.get_json_object("spec", "$.components")).alias("_raw"),
+    ).withColumn("_followed", _followed_references(F.col("spec"), F.col("_raw")))
+    followed = F.col("_followed")
 
     def endpoints(path: Column) -> Column:
         operations = F.filter(_entries(path["value"]), lambda o: F.lower(o["key"]).isin(*HTTP_METHODS)
@@ -145,14 +169,14 @@ def spec_snapshot(specs: DataFrame, keys: tuple[str, ...] = ("api",)) -> DataFra
         return F.transform(operations, lambda o: F.struct(
             F.concat(root, path["key"], F.lit("#"), F.lower(o["key"])).alias("object_uri"),
             F.lit("endpoint").alias("kind"),
-            _operation_columns(path["value"], o["value"], components).alias("columns")))
+            _operation_columns(path["value"], o["value"], followed).alias("columns")))
 
     operations = F.flatten(F.transform(_entries(F.col("_paths")), endpoints))
     nothing = F.expr("cast(array() as array<struct<key:string,value:string>>)")
     schemas = F.transform(_entries(F.col("_schemas")), lambda s: F.struct(
         F.concat(root, F.lit("/components/schemas/"), s["key"]).alias("object_uri"),
         F.lit("schema").alias("kind"),
-        _last_wins(F.coalesce(_properties(s["value"], components), nothing)).alias("columns")))
+        _last_wins(F.coalesce(_properties(s["value"], followed), nothing)).alias("columns")))
     return parsed.select(*keys, F.explode(F.concat(operations, schemas)).alias("_o")).select(*keys, "_o.*")
 
 
