@@ -30,13 +30,14 @@ def cluster_files(files: DataFrame) -> DataFrame:
     keys = ["source", "template"]
     named = files.withColumn("template", name_template(F.col("path"))).withColumn("_print", _fingerprint())
     by_schema = named.groupBy(*keys, "_print").agg(F.count("*").alias("_n"), F.min("pos").alias("_pos"))
-    voted = F.when(F.col("_print").isNotNull(), F.struct("_n", (-F.col("_pos")).alias("_p")))
+    known = F.col("_print").isNotNull()
+    voted = F.when(known, F.struct((-F.col("_n")).alias("_votes"), "_pos"))
     n_blank = F.sum(F.when(F.col("_print").isNull(), F.col("_n")).otherwise(0))
     clusters = (
         by_schema.groupBy(*keys)
-        .agg(F.sum("_n").alias("_files"), F.max_by("_print", voted).alias("_majority"),
-             F.max(voted).alias("_top"), n_blank.alias("_blank"))
-        .withColumn("_members", F.col("_blank") + F.coalesce("_top._n", F.lit(0)))
+        .agg(F.sum("_n").alias("_files"), F.min_by("_print", voted).alias("_majority"),
+             F.max(F.when(known, F.col("_n"))).alias("_top"), n_blank.alias("_blank"))
+        .withColumn("_members", F.col("_blank") + F.coalesce("_top", F.lit(0)))
         .where(has_token(F.col("template")) & (F.col("_files") >= MIN_CLUSTER_SIZE)
                & (F.col("_members") >= MIN_CLUSTER_SIZE))
         .select(*keys, "_majority", "_members")
