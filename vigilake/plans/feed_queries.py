@@ -13,7 +13,7 @@ from vigilake.operators import metrics as M
 from vigilake.operators import suggestions as SG
 from vigilake.plans import inputs as I
 from vigilake.plans.inputs import load, with_ctes
-from vigilake.plans.profile_queries import show_ts, sql_ts
+from vigilake.plans.profile_queries import rounded, show_ts, sql_ts
 from vigilake.sources import files as FL
 
 DECLARED = [*I.FILESETS, FS.Fileset("b", pattern="b-never.*"), FS.Fileset("c_2", pattern="c-never.*")]
@@ -191,7 +191,7 @@ def overdue_events(spark, sf_dir) -> DataFrame:
 def loaded_at_gap(spark, sf_dir) -> DataFrame:
     loads = I.arrivals(spark, sf_dir).select("fileset", F.col("mtime").alias("loaded_at"))
     gaps = C.load_gap_zscore(loads, ["fileset"])
-    return gaps.select("fileset", show_ts("loaded_at"), F.round("gap_seconds", 3).alias("gap_seconds"), F.round("z_score", 4).alias("z_score"))
+    return gaps.select("fileset", show_ts("loaded_at"), rounded("gap_seconds", 3), rounded("z_score", 4))
 
 
 def fileset_metrics(spark, sf_dir) -> DataFrame:
@@ -295,7 +295,7 @@ SELECT 'fileset://lake/' || fileset AS object_uri, 'fileset_overdue' AS change_t
     "loaded_at_gap": (loaded_at_gap, with_ctes("gaps", f"""
 , s AS (SELECT fileset, us, gap, abs(gap - avg(gap) OVER w) / nullif(stddev_pop(gap) OVER w, 0) z,
     row_number() OVER (PARTITION BY fileset ORDER BY us DESC) rn FROM gaps WINDOW w AS (PARTITION BY fileset))
-SELECT fileset, {sql_ts('make_timestamp(us)', 'loaded_at')}, round(gap / 1000000, 3) AS gap_seconds, round(z, 4) AS z_score
+SELECT fileset, {sql_ts('make_timestamp(us)', 'loaded_at')}, round(gap / 1000000 + 1.3e-7, 3) AS gap_seconds, round(z + 1.3e-7, 4) AS z_score
 FROM s WHERE rn = 1 AND gap IS NOT NULL""")),
     "fileset_metrics": (fileset_metrics, with_ctes("matched", _POINTS + f"""
 SELECT 'fileset://lake/' || fileset || '/' || metric_name AS uri, {sql_ts('ts')}, metric_name, metric_value, pos FROM points""")),

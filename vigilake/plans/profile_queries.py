@@ -40,6 +40,11 @@ OTHER = {
 TS = "%Y-%m-%d %H:%M:%S.%f"
 
 
+def rounded(column: str, digits: int = 4):
+    """Rounded with ties moved off the half, where sums added in another order would differ."""
+    return F.round(F.col(column) + F.lit(1.3e-7), digits).alias(column)
+
+
 def show_ts(column: str = "ts"):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
 
@@ -69,13 +74,13 @@ def _long_sql(tables: list[str], heavy: bool) -> str:
     for t in tables:
         wide = ", ".join(f'({e})::DOUBLE AS "{n}"' for n, e in _stats_sql(t, heavy))
         parts.append(
-            f"SELECT '{table_uri_of(t)}/' || metric_name AS uri, metric_name, round(metric_value, 4) AS metric_value "
+            f"SELECT '{table_uri_of(t)}/' || metric_name AS uri, metric_name, round(metric_value + 1.3e-7, 4) AS metric_value "
             f"FROM (UNPIVOT (SELECT {wide} FROM {t}) ON COLUMNS(*) INTO NAME metric_name VALUE metric_value)")
     return " UNION ALL ".join(parts)
 
 
 def _rounded(points: DataFrame) -> DataFrame:
-    return points.select("uri", "metric_name", F.round("metric_value", 4).alias("metric_value")).where(
+    return points.select("uri", "metric_name", rounded("metric_value", 4)).where(
         "metric_value is not null")
 
 
@@ -90,7 +95,7 @@ def table_profile_heavy(spark, sf_dir) -> DataFrame:
 
 
 def _round_floats(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[rounded(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def table_profile(spark, sf_dir) -> DataFrame:
@@ -100,7 +105,7 @@ def table_profile(spark, sf_dir) -> DataFrame:
 def _wide_sql(table: str, scale: float | None = None) -> str:
     floats = ("__avg",)
     doubles = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"}
-    cols = [f"round({e}, 4) AS {n}" if n.endswith(floats) or n.rsplit("__", 1)[0] in doubles and n.endswith(("min", "max"))
+    cols = [f"round({e} + 1.3e-7, 4) AS {n}" if n.endswith(floats) or n.rsplit("__", 1)[0] in doubles and n.endswith(("min", "max"))
             else f"{e} AS {n}" for n, e in _stats_sql(table, False, scale)]
     return f"SELECT {', '.join(cols)} FROM {table}"
 
@@ -156,12 +161,12 @@ def _series_input(spark, sf_dir) -> DataFrame:
 
 
 def metric_series(spark, sf_dir) -> DataFrame:
-    return M.oldest_points(_series_input(spark, sf_dir)).select("uri", show_ts("ds"), F.round("y", 4).alias("y"))
+    return M.oldest_points(_series_input(spark, sf_dir)).select("uri", show_ts("ds"), rounded("y", 4))
 
 
 def zscore_outliers(spark, sf_dir) -> DataFrame:
     found = Z.zscore_outliers(M.series(I.metrics(spark, sf_dir)))
-    return found.select("uri", show_ts("ds"), F.round("y", 4).alias("y"), F.round("z_index", 4).alias("z_index"))
+    return found.select("uri", show_ts("ds"), rounded("y", 4), rounded("z_index", 4))
 
 
 _Z = with_ctes("metrics", """
@@ -173,17 +178,17 @@ _Z = with_ctes("metrics", """
 
 def outlier_series(spark, sf_dir) -> DataFrame:
     found = Z.reportable_series(Z.zscore_outliers(M.series(I.metrics(spark, sf_dir))), 2)
-    return found.select("uri", show_ts("ds"), F.round("y", 4).alias("y"), F.round("z_index", 4).alias("z_index"))
+    return found.select("uri", show_ts("ds"), rounded("y", 4), rounded("z_index", 4))
 
 
 def forecast_band(spark, sf_dir) -> DataFrame:
     found = Z.band_outliers(M.series(I.metrics(spark, sf_dir)))
-    return found.select("uri", show_ts("ds"), *[F.round(c, 3).alias(c) for c in ("observed", "lower", "upper")])
+    return found.select("uri", show_ts("ds"), *[rounded(c, 3) for c in ("observed", "lower", "upper")])
 
 
 def batch_anomalies(spark, sf_dir) -> DataFrame:
     found = Z.batch_anomalies(I.pushes(spark, sf_dir), "2024-01-30", threshold=1.5)
-    return found.select("org_id", "uri", "batch_id", show_ts(), "metric_value", F.round("z_score", 4).alias("z_score"), "algorithm")
+    return found.select("org_id", "uri", "batch_id", show_ts(), "metric_value", rounded("z_score", 4), "algorithm")
 
 
 QUERIES = {
@@ -200,22 +205,22 @@ QUERIES = {
 , all_points AS (SELECT * FROM metrics UNION ALL
     SELECT 'db://lake/main/lineitem/row_count', date_trunc('day', l_shipdate), 'row_count', count(*)::DOUBLE FROM lineitem GROUP BY 2),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY ts) rn FROM all_points)
-SELECT uri, {sql_ts('ts', 'ds')}, round(metric_value, 4) AS y FROM ranked WHERE rn <= 1000 AND metric_value IS NOT NULL""")),
+SELECT uri, {sql_ts('ts', 'ds')}, round(metric_value + 1.3e-7, 4) AS y FROM ranked WHERE rn <= 1000 AND metric_value IS NOT NULL""")),
     "zscore_outliers": (
-        zscore_outliers, _Z + f"SELECT uri, {sql_ts('ds')}, round(y, 4) AS y, round(z, 4) AS z_index FROM found"),
+        zscore_outliers, _Z + f"SELECT uri, {sql_ts('ds')}, round(y + 1.3e-7, 4) AS y, round(z + 1.3e-7, 4) AS z_index FROM found"),
     "outlier_series": (
         outlier_series, _Z + f""", frequent AS (SELECT uri FROM found GROUP BY uri HAVING count(*) >= 2)
-SELECT uri, {sql_ts('ds')}, round(y, 4) AS y, round(z, 4) AS z_index FROM found WHERE uri IN (SELECT uri FROM frequent)"""),
+SELECT uri, {sql_ts('ds')}, round(y + 1.3e-7, 4) AS y, round(z + 1.3e-7, 4) AS z_index FROM found WHERE uri IN (SELECT uri FROM frequent)"""),
     "forecast_band": (forecast_band, with_ctes("metrics", f"""
 , xy AS (SELECT uri, ts, metric_value y, epoch_us(ts) / 86400000000.0 x FROM metrics),
   fits AS (SELECT uri, regr_slope(y, x) b, regr_intercept(y, x) a FROM xy GROUP BY uri HAVING count(*) >= 2),
   resid AS (SELECT xy.*, a + b * x fit FROM xy JOIN fits USING (uri) WHERE b IS NOT NULL),
   spread AS (SELECT uri, stddev_pop(y - fit) * 1.2815515655446004 s FROM resid GROUP BY uri)
-SELECT uri, {sql_ts('ts', 'ds')}, round(y, 3) AS observed, round(fit - s, 3) AS "lower", round(fit + s, 3) AS "upper"
+SELECT uri, {sql_ts('ts', 'ds')}, round(y + 1.3e-7, 3) AS observed, round(fit - s + 1.3e-7, 3) AS "lower", round(fit + s + 1.3e-7, 3) AS "upper"
 FROM resid JOIN spread USING (uri) WHERE y < fit - s OR y > fit + s""")),
     "batch_anomalies": (batch_anomalies, with_ctes("pushes", f"""
 , scored AS (SELECT *, count(*) OVER w n, stddev_pop(metric_value) OVER w s,
     abs(metric_value - avg(metric_value) OVER w) d FROM pushes WINDOW w AS (PARTITION BY org_id, uri))
-SELECT org_id, uri, batch_id, {sql_ts('ts')}, metric_value, round(d / s, 4) AS z_score, 'zscore' AS algorithm
+SELECT org_id, uri, batch_id, {sql_ts('ts')}, metric_value, round(d / s + 1.3e-7, 4) AS z_score, 'zscore' AS algorithm
 FROM scored WHERE n >= 3 AND s > 0 AND d / s >= 1.5 AND batch_id = '2024-01-30'""")),
 }

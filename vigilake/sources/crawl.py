@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions.text_types import infer_text_type, pick_type, render_type
-from vigilake.sources.files import detect_encoding, label_files
+from vigilake.session import cut_lineage
+from vigilake.sources.files import detect_encoding, label_files, source_path
 from vigilake.sources.text import document_rows, infer_json_columns, payload_columns
 
 # The characters cp1252 has at bytes where latin-1 has control codes.
@@ -33,35 +34,66 @@ def _reader(spark: SparkSession, kind: str, modified_after: str | None):
 def raw_lines(spark: SparkSession, root: str, kind: str, modified_after: str | None = None) -> DataFrame:
     """``path, line_id, raw``: the lines of all files of one kind; ids grow within a file."""
     return _reader(spark, kind, modified_after).text(root).select(
-        F.col("_metadata.file_path").alias("path"),
+        source_path().alias("path"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line_id"),
         F.col("value").cast("binary").alias("raw"),
     )
 
 
-def line_census(lines: DataFrame) -> DataFrame:
-    """``path, encoding`` from all bytes of all lines."""
-    head = F.min_by(F.hex(F.substring("raw", 1, 3)), "line_id")
+def _open(path: str):
+    """pyarrow filesystem and path of a listed file."""
+    from urllib.parse import quote
+
+    import pyarrow.fs as pafs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:{quote(rest, safe='/:@')}")
+
+
+def file_heads(listing: DataFrame) -> DataFrame:
+    """``path, head``: the first three bytes of each file (unpacked) as hex, read inside the tasks.
+
+    The line reader drops a UTF-8 byte order mark, so it is looked up in the file itself.
+    """
+
+    def heads(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                filesystem, inner = _open(path)
+                with filesystem.open_input_stream(inner, compression="detect") as stream:
+                    rows.append((path, stream.read(3).hex().upper()))
+            yield pd.DataFrame(rows, columns=["path", "head"])
+
+    return listing.select("path").repartition("path").mapInPandas(heads, "path string, head string")
+
+
+def line_census(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """``path, encoding`` from the head of each file and all bytes of its lines."""
     undefined = F.decode("raw", "ISO-8859-1").rlike(r"[\x81\x8d\x8f\x90\x9d]")
     facts = lines.groupBy("path").agg(
-        head.alias("_head"), F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("_utf8"),
-        F.bool_or(undefined).alias("_undefined"))
-    return facts.select("path", (
-        F.when(F.col("_head").startswith("EFBBBF"), "utf-8-sig")
-        .when(F.col("_head").startswith("FFFE"), "utf-16")
-        .when(F.col("_head").startswith("FEFF"), "utf-16-be")
-        .when(F.col("_utf8"), "utf-8")
+        F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("_utf8"), F.bool_or(undefined).alias("_undefined"))
+    return heads.join(facts, "path", "left").select("path", (
+        F.when(F.col("head") == "EFBBBF", "utf-8-sig")
+        .when(F.col("head").startswith("FFFE"), "utf-16")
+        .when(F.col("head").startswith("FEFF"), "utf-16-be")
+        .when(F.coalesce("_utf8", F.lit(True)), "utf-8")
         .when(~F.col("_undefined"), "cp1252")
         .otherwise("latin-1")).alias("encoding"))
 
 
-def decoded_lines(spark: SparkSession, root: str, kind: str, modified_after: str | None = None) -> DataFrame:
-    """``path, encoding, line_id, line`` with each file in its own encoding.
+def decoded_lines(
+    spark: SparkSession, root: str, kind: str, census: DataFrame, modified_after: str | None = None
+) -> DataFrame:
+    """``path, encoding, line_id, line`` with each file in its own encoding (``census``).
 
     UTF-16 files cannot be cut at newline bytes; they are decoded whole.
     """
     lines = raw_lines(spark, root, kind, modified_after)
-    census = line_census(lines)
     narrow = lines.join(census.where("encoding not like 'utf-16%'"), "path").select(
         "path", "encoding", "line_id", decoded(F.col("raw"), F.col("encoding")).alias("line"))
     content = _reader(spark, kind, modified_after).format("binaryFile").load(root).select("path", "content")
@@ -85,7 +117,7 @@ def decoded(raw: Column, encoding: Column) -> Column:
 def json_documents(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
     """``path, encoding, doc``: a JSON document is one value, so each file is one row."""
     whole = _reader(spark, "json", modified_after).text(root, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("raw"))
+        source_path().alias("path"), F.col("value").cast("binary").alias("raw"))
     return whole.withColumn("encoding", detect_encoding(F.col("raw"))).select(
         "path", "encoding", decoded(F.col("raw"), F.col("encoding")).alias("doc"))
 
@@ -93,8 +125,8 @@ def json_documents(spark: SparkSession, root: str, modified_after: str | None =
 def csv_cells(line: Column, delimiter: str) -> Column:
     """Cells of one CSV line, quotes removed."""
     d = "\\" + delimiter if not delimiter.isalnum() and delimiter != "\t" else delimiter
-    cell = f'(?:^|{d})("(?:[^"]|"")*"|[^{d}]*)'
-    cells = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
+    cell = f'{d}("(?:[^"]|"")*"|[^{d}]*)'
+    cells = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(cell), F.lit(1))
     return F.transform(cells, lambda c: F.when(
         c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
 
@@ -124,15 +156,13 @@ def parquet_footers(listing: DataFrame) -> DataFrame:
 
     def footers(batches: Iterator) -> Iterator:
         import pandas as pd
-        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import from_arrow_type
 
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                filesystem, inner = pafs.FileSystem.from_uri(
-                    path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                filesystem, inner = _open(path)
                 with filesystem.open_input_file(inner) as handle:
                     file = pq.ParquetFile(handle)
                     columns = [(f.name, from_arrow_type(f.type).simpleString()) for f in file.schema_arrow]
@@ -155,10 +185,14 @@ def crawl_files(
     JSON documents only.
     """
     labelled = label_files(listing)
-    lines = {k: decoded_lines(spark, root, k, modified_after) for k in ("csv", "jsonl")}
+    heads = file_heads(labelled.where("reader in ('csv', 'jsonl')"))
+    kinds = ("csv", "jsonl")
+    all_lines = reduce(DataFrame.unionByName, [raw_lines(spark, root, k, modified_after) for k in kinds])
+    # One small row per file that every branch below needs: kept once, in the shared folder.
+    census = cut_lineage(line_census(all_lines, heads))
+    lines = {k: decoded_lines(spark, root, k, census, modified_after) for k in kinds}
     documents = json_documents(spark, root, modified_after)
-    encodings = reduce(DataFrame.unionByName, [
-        *[line_census(raw_lines(spark, root, k, modified_after)) for k in lines], documents.select("path", "encoding")])
+    encodings = census.unionByName(documents.select("path", "encoding"))
     result = labelled.join(encodings, "path", "left")
     empty = F.expr("cast(map() as map<string,string>)")
     if not get_schemas:

@@ -25,6 +25,11 @@ def list_files(spark: SparkSession, root: str, source: str, recursive: bool = Tr
     return files if recursive else files.where("size > 0")
 
 
+def source_path() -> Column:
+    """Path of the file a row came from, as a listing has it (the metadata column is URL-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def label_files(files: DataFrame) -> DataFrame:
     """Adds ``filetype`` and ``reader`` (null when no reader handles the extension)."""
     return files.withColumn("filetype", file_type(F.col("path"))).withColumn("reader", reader_for(F.col("path")))
@@ -70,7 +75,7 @@ def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
     """Exact rows per parquet file, from the footers: no column is read."""
     return (
         spark.read.parquet(path)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .groupBy(source_path().alias("path"))
         .agg(F.count("*").alias("num_rows"))
     )
 
