@@ -17,6 +17,12 @@ from vigilake.functions.uris import file_source_uri
 from vigilake.operators.scale import lookup_join
 
 _MAP = "map<string,string>"
+_NO_ENTRIES = "cast(array() as array<struct<key:string,value:string>>)"
+_NO_TEXTS = "cast(array() as array<string>)"
+# Everything the flattening looks at in a parameter, body, response or schema.
+_NODE = ("struct<`$ref`:string,name:string,schema:string,type:string,items:string,"
+         "properties:map<string,string>,content:map<string,string>>")
+_OPERATION = "struct<parameters:array<string>,requestBody:string,responses:map<string,string>>"
 
 
 def _members(json: Column) -> Column:
@@ -25,7 +31,7 @@ def _members(json: Column) -> Column:
 
 
 def _entries(json: Column) -> Column:
-    return F.coalesce(F.map_entries(_members(json)), F.expr("cast(array() as array<struct<key:string,value:string>>)"))
+    return F.coalesce(F.map_entries(_members(json)), F.expr(_NO_ENTRIES))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,10 +78,8 @@ def _followed_references(spec: Column, raw: Column) -> Column:
     return F.map_from_arrays(refs, F.transform(refs, chase))
 
 
-def _resolve(node: Column, followed: Column) -> Column:
-    """The node itself, or what its reference leads to."""
-    return _let(node, lambda n: _let(_ref(n), lambda ref: F.when(ref.isNull(), n).otherwise(
-        F.coalesce(F.try_element_at(followed, ref), F.lit("{}")))))
+def _parse(json: Column) -> Column:
+    return F.from_json(json, _NODE)
 
 
 def _ref(node: Column) -> Column:
@@ -83,67 +87,65 @@ def _ref(node: Column) -> Column:
     return F.when(node.contains('"$ref"'), F.get_json_object(node, "$.$ref"))
 
 
+def _resolved(json: Column, followed: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the parsed node, or of what its reference leads to."""
+    return _let(_let(_parse(json), lambda n: F.when(n["$ref"].isNull(), n).otherwise(
+        F.try_element_at(followed, n["$ref"]))), body)
+
+
 def _type_of(schema: Column, followed: Column) -> Column:
     def rendered(s: Column) -> Column:
-        kind = F.coalesce(F.get_json_object(s, "$.type"), F.lit("object"))
-        items = _resolve(F.get_json_object(s, "$.items"), followed)
-        inner = F.coalesce(F.get_json_object(items, "$.type"), F.lit("object"))
-        return F.when(kind == "array", F.concat(F.lit("array["), inner, F.lit("]"))).otherwise(kind)
+        items = _resolved(s["items"], followed, lambda i: F.coalesce(i["type"], F.lit("object")))
+        kind = F.coalesce(s["type"], F.lit("object"))
+        return F.when(kind == "array", F.concat(F.lit("array["), items, F.lit("]"))).otherwise(kind)
 
-    return _let(_resolve(schema, followed), rendered)
+    return _resolved(schema, followed, rendered)
 
 
 def _properties(schema: Column, followed: Column, prefix: str = "") -> Column:
     """Entries of a schema's top-level properties; of its items if it is an array."""
 
-    def entries(s: Column) -> Column:
-        is_list = F.get_json_object(s, "$.type") == "array"
-        base = F.when(is_list, _resolve(F.get_json_object(s, "$.items"), followed)).otherwise(s)
-        return F.transform(_entries(F.get_json_object(base, "$.properties")), lambda p: F.struct(
+    def entries(properties: Column) -> Column:
+        return F.transform(F.coalesce(F.map_entries(properties), F.expr(_NO_ENTRIES)), lambda p: F.struct(
             F.concat(F.lit(prefix), p["key"]).alias("key"), _type_of(p["value"], followed).alias("value")))
 
-    return _let(_resolve(schema, followed), entries)
+    def base(s: Column) -> Column:
+        return F.when(s["type"] == "array", _resolved(s["items"], followed, lambda i: i["properties"])).otherwise(s["properties"])
+
+    return _let(_resolved(schema, followed, base), entries)
 
 
 def _json_body(node: Column, followed: Column) -> Column:
     """Schema of the first JSON content type of a request body or response."""
 
     def schema(n: Column) -> Column:
-        media = F.filter(_entries(F.get_json_object(n, "$.content")), lambda m: m["key"].contains("json"))
+        media = F.filter(F.map_entries(n["content"]), lambda m: m["key"].contains("json"))
         return F.get_json_object(F.get(media, F.lit(0))["value"], "$.schema")
 
-    return _let(_resolve(node, followed), schema)
-
-
-def _first_success(operation: Column) -> Column:
-    responses = F.array_sort(_entries(F.get_json_object(operation, "$.responses")))
-    return F.get(F.filter(responses, lambda r: r["key"].startswith("2")), F.lit(0))["value"]
-
-
-def _parameters(node: Column) -> Column:
-    listed = F.from_json(F.get_json_object(node, "$.parameters"), "array<string>")
-    return F.coalesce(listed, F.expr("cast(array() as array<string>)"))
+    return _resolved(node, followed, schema)
 
 
 def _last_wins(entries: Column) -> Column:
-    """Map of entries where a later entry of the same key replaces an earlier one."""
-    empty = F.expr(f"cast(map() as {_MAP})")
-    return F.aggregate(entries, empty, lambda done, e: F.map_concat(
-        F.map_filter(done, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
+    """Map of entries; of entries with one key the last stays."""
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(
+        F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])))
+
 
+def _operation_columns(shared: Column, operation: Column, followed: Column) -> Column:
+    """Columns of a parsed operation under a path with the ``shared`` parameters."""
 
-def _operation_columns(item: Column, operation: Column, followed: Column) -> Column:
     def parameter(p: Column) -> Column:
-        return _let(_resolve(p, followed), lambda r: F.struct(
-            F.concat(F.lit("param."), F.get_json_object(r, "$.name")).alias("key"),
-            _type_of(F.coalesce(F.get_json_object(r, "$.schema"), F.lit("{}")), followed).alias("value")))
+        return _resolved(p, followed, lambda r: F.struct(
+            F.concat(F.lit("param."), r["name"]).alias("key"),
+            _type_of(F.coalesce(r["schema"], F.lit("{}")), followed).alias("value")))
 
-    given = F.transform(F.concat(_parameters(item), _parameters(operation)), parameter)
-    named = F.filter(given, lambda p: p["key"].isNotNull() & (p["key"] != "param."))
-    body = _properties(_json_body(F.get_json_object(operation, "$.requestBody"), followed), followed, "body.")
-    reply = _properties(_json_body(_first_success(operation), followed), followed, "response.")
-    nothing = F.expr("cast(array() as array<struct<key:string,value:string>>)")
-    return _last_wins(F.concat(named, F.coalesce(body, nothing), F.coalesce(reply, nothing)))
+    own = F.coalesce(operation["parameters"], F.expr(_NO_TEXTS))
+    named = F.filter(F.transform(F.concat(shared, own), parameter), lambda p: p["key"].isNotNull() & (p["key"] != "param."))
+    responses = F.array_sort(F.map_entries(operation["responses"]))
+    success = F.get(F.filter(responses, lambda r: r["key"].startswith("2")), F.lit(0))["value"]
+    body = _properties(_json_body(operation["requestBody"], followed), followed, "body.")
+    reply = _properties(_json_body(success, followed), followed, "response.")
+    return _let(F.concat(named, body, reply), _last_wins)
 
 
 def spec_snapshot(specs: DataFrame, keys: tuple[str, ...] = ("api",)) -> DataFrame:
@@ -160,23 +162,24 @@ def spec_snapshot(specs: DataFrame, keys: tuple[str, ...] = ("api",)) -> DataFra
         F.get_json_object("spec", "$.components.schemas").alias("_schemas"),
         "spec",
         _component_map(F.get_json_object("spec", "$.components")).alias("_raw"),
-    ).withColumn("_followed", _followed_references(F.col("spec"), F.col("_raw")))
+    ).withColumn("_text", _followed_references(F.col("spec"), F.col("_raw"))).withColumn(
+        "_followed", F.transform_values("_text", lambda _, body: _parse(body)))
     followed = F.col("_followed")
 
     def endpoints(path: Column) -> Column:
+        shared = F.coalesce(F.from_json(F.get_json_object(path["value"], "$.parameters"), "array<string>"), F.expr(_NO_TEXTS))
         operations = F.filter(_entries(path["value"]), lambda o: F.lower(o["key"]).isin(*HTTP_METHODS)
                               & o["value"].startswith("{"))
-        return F.transform(operations, lambda o: F.struct(
+        return _let(shared, lambda given: F.transform(operations, lambda o: F.struct(
             F.concat(root, path["key"], F.lit("#"), F.lower(o["key"])).alias("object_uri"),
             F.lit("endpoint").alias("kind"),
-            _operation_columns(path["value"], o["value"], followed).alias("columns")))
+            _let(F.from_json(o["value"], _OPERATION), lambda parsed: _operation_columns(given, parsed, followed)).alias("columns"))))
 
     operations = F.flatten(F.transform(_entries(F.col("_paths")), endpoints))
-    nothing = F.expr("cast(array() as array<struct<key:string,value:string>>)")
     schemas = F.transform(_entries(F.col("_schemas")), lambda s: F.struct(
         F.concat(root, F.lit("/components/schemas/"), s["key"]).alias("object_uri"),
         F.lit("schema").alias("kind"),
-        _last_wins(F.coalesce(_properties(s["value"], followed), nothing)).alias("columns")))
+        _let(_properties(s["value"], followed), _last_wins).alias("columns")))
     return parsed.select(*keys, F.explode(F.concat(operations, schemas)).alias("_o")).select(*keys, "_o.*")
 
 

@@ -22,15 +22,13 @@ def _typed(integers: Column, numbers: Column, strings: Column) -> Column:
 
 def infer_columns(rows: DataFrame) -> DataFrame:
     """``name, type`` of every text column, from all rows in one aggregate pass."""
-    votes = []
-    for name in rows.columns:
-        kind = infer_text_type(F.col(f"`{name}`"))
-        counts = [F.count_if(kind == t).alias(t) for t in ("integer", "number", "string")]
-        votes.append((name, counts))
-    # One struct of three counts per column: each value is classified once per count.
-    tallied = rows.agg(*[F.struct(*counts).alias(name) for name, counts in votes])
+    # Classified in a projection of its own, so each value is looked at once for all three counts.
+    kinds = rows.select(*[infer_text_type(F.col(f"`{name}`")).alias(name) for name in rows.columns])
+    tallied = kinds.agg(*[
+        F.struct(*[F.count_if(F.col(f"`{name}`") == t).alias(t) for t in ("integer", "number", "string")]).alias(name)
+        for name in rows.columns])
     stacked = tallied.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("v")) for n, _ in votes])).alias("c"))
+        F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("v")) for n in rows.columns])).alias("c"))
     return stacked.select("c.name", _typed(
         F.col("c.v.integer"), F.col("c.v.number"), F.col("c.v.string")).alias("type"))
 
