@@ -95,3 +95,9 @@ def test_series_caps_are_optional(spark):
     assert min(r.y for r in M.series(points, 5, "latest").collect()) == 15.0
     assert M.series_list(points).count() == 2
     assert "WindowGroupLimit" in M.series(points, 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_are_counted_by_digest(spark):
+    texts = ["a" * 64, "a" * 65, "a" * 66, "b" * 5000, "b" * 5000, "b" * 5001, "short", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert P.profile_table(df, heavy=True).first()["t__unique_count"] == 6

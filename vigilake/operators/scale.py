@@ -77,6 +77,22 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return picked.select(*keys, "_row.*").select(*rows.columns)
 
 
+def _times(points: DataFrame, keys: Sequence[str], ts: str, bucket_seconds: int) -> DataFrame:
+    return (
+        points.where(F.col(ts).isNotNull())
+        .select(*keys, F.unix_micros(ts).alias("at_us"))
+        .withColumn("_bucket", F.expr(f"at_us div {bucket_seconds * 1_000_000}L"))
+    )
+
+
+def bucket_edges(
+    points: DataFrame, keys: Sequence[str], ts: str, bucket_seconds: int = GAP_BUCKET_SECONDS
+) -> DataFrame:
+    """First and last time of each key in each time bucket: ``keys, _bucket, _first, _last``."""
+    return _times(points, keys, ts, bucket_seconds).groupBy(*keys, "_bucket").agg(
+        F.min("at_us").alias("_first"), F.max("at_us").alias("_last"))
+
+
 def adjacent_gaps(
     points: DataFrame,
     keys: Sequence[str],
@@ -90,20 +106,10 @@ def adjacent_gaps(
     each bucket's first and last time.
     """
     keys = list(keys)
-    times = (
-        points.where(F.col(ts).isNotNull())
-        .select(*keys, F.unix_micros(ts).alias("at_us"))
-        .distinct()
-        .withColumn("_bucket", F.expr(f"at_us div {bucket_seconds * 1_000_000}L"))
-    )
-    inside = times.withColumn(
-        "_prev", F.lag("at_us").over(Window.partitionBy(*keys, "_bucket").orderBy("at_us"))
-    )
-    borders = (
-        times.groupBy(*keys, "_bucket")
-        .agg(F.min("at_us").alias("at_us"), F.max("at_us").alias("_last"))
-        .withColumn("_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")))
-    )
+    inside = _times(points, keys, ts, bucket_seconds).distinct().withColumn(
+        "_prev", F.lag("at_us").over(Window.partitionBy(*keys, "_bucket").orderBy("at_us")))
+    borders = bucket_edges(points, keys, ts, bucket_seconds).withColumnRenamed("_first", "at_us").withColumn(
+        "_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")))
     columns = [*keys, "at_us", (F.col("at_us") - F.col("_prev")).alias("gap_us")]
     return (
         inside.where("_prev is not null")
@@ -157,6 +163,7 @@ def exact_median(values: DataFrame, keys: Sequence[str], value: str) -> DataFram
 
 __all__ = [
     "adjacent_gaps",
+    "bucket_edges",
     "cut_lineage",
     "exact_median",
     "fetch_if_small",

@@ -88,6 +88,19 @@ def read_database_table(
     return reader.option("dbtable", table).load()
 
 
+def database_tables(
+    spark: SparkSession, source: str, kind: str, connection: dict, database: str | None = None
+) -> dict[str, DataFrame]:
+    """All tables of a database source by address; only their schemas are read until they are used."""
+    listed = read_database_table(spark, kind, connection, schema_listing_query(kind), database)
+    label = database or connection.get("service_name", source)
+    # One row per table of the database: a catalog's size, not the data's.
+    return {
+        f"db://{source}/{label}/{row[0]}/{row[1]}": read_database_table(spark, kind, connection, f"{row[0]}.{row[1]}", database)
+        for row in listed.toLocalIterator()
+    }
+
+
 def schema_listing_query(kind: str) -> str:
     """Query that lists a JDBC database's tables as ``table_schema, table_name``."""
     if kind == "oracle":
