@@ -16,14 +16,23 @@ GAP_BUCKET_SECONDS = 3600
 
 
 def fetch_if_small(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+    df: DataFrame, max_rows: int | None = None, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame | None:
     """``df`` as a local relation if it is proven small, else None.
 
-    Reads at most ``max_rows + 1`` rows, so an unexpectedly large input costs no
-    more driver memory than the bound.
+    Reads at most ``max_rows + 1`` rows (default ``BROADCAST_ROWS``), so an unexpectedly
+    large input costs no more driver memory than the bound. Rows with maps, arrays or
+    structs are measured on the executors before any is fetched.
     """
-    table = df.limit(max_rows + 1).toArrow()
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    head = df.limit(max_rows + 1)
+    nested = [c for c, t in df.dtypes if t.startswith(("map", "array", "struct"))]
+    if nested:
+        text = F.length(F.to_json(F.struct(*[F.col(c) for c in nested])))
+        rows, size = head.agg(F.count("*"), F.sum(text)).first()
+        if rows > max_rows or (size or 0) > max_bytes:
+            return None
+    table = head.toArrow()
     if table.num_rows > max_rows or table.nbytes > max_bytes:
         return None
     return df.sparkSession.createDataFrame(table, df.schema)
@@ -34,7 +43,7 @@ def lookup_join(
     small: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``big`` to ``small``, which has at most one row per key.

@@ -214,7 +214,7 @@ UNION ALL SELECT org_id, 'file', 's3://x//' || slot, d, d || ' 00:00:00.000000'
 UNION ALL SELECT org_id, 'field', 'db://x/' || slot || '/value', CASE WHEN top > 30 THEN 'number' ELSE 'integer' END, d || ' 00:00:00.000000' FROM last
 UNION ALL SELECT org_id, 'field', 's3://x//' || slot || '/c', d, d || ' 00:00:00.000000' FROM last"""),
     "ingest_list": (ingest_list, """
-SELECT 'click' AS org_id, strftime(ts, '%Y-%m-%d') AS batch_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S.%f') AS received_at, 1 AS source_count
+SELECT 'click' AS org_id, strftime(ts, '%Y-%m-%d') AS batch_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S.%f') AS received_at, 1::BIGINT AS source_count
 FROM events WHERE event_type = 'click' GROUP BY date_trunc('day', ts), strftime(ts, '%Y-%m-%d') ORDER BY 3 DESC LIMIT 100"""),
     "status_summary": (status_summary, """
 SELECT n_name AS name, 'database' AS type, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS "tables",

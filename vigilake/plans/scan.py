@@ -123,7 +123,11 @@ def scan_files(
         arrivals = C.latest_arrivals(log, "scan_id").withColumn("source", F.lit(source))
         events = events.unionByName(C.overdue_events(C.overdue_feeds(arrivals, _instant(now), freshness_factor)))
     if declared and file_metrics:
-        stored = state.read("metrics").where((F.col("source") == source) & (F.col("scan_id") < scan_id))
+        # Only the stored points of the batch's time span can collide; the span reaches the parquet filter.
+        span = matched.agg(*[F.date_format(f("mtime"), "yyyy-MM-dd HH:mm:ss.SSSSSS") for f in (F.min, F.max)]).first()
+        stored = state.read("metrics").where(
+            (F.col("source") == source) & (F.col("scan_id") < scan_id)
+            & F.col("ts").between(F.lit(span[0]).cast("timestamp"), F.lit(span[1]).cast("timestamp")))
         state.append("metrics", M.new_points(M.fileset_metrics(matched), stored), source, scan_id)
     _append_file_catalog(state, source, source_uri, protocol, found, scan_id)
     current = snapshot_from_files(found, protocol)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions.text_types import infer_text_type, pick_type, render_type
+from vigilake.operators.scale import lookup_join
 from vigilake.session import cut_lineage
 from vigilake.sources.files import detect_encoding, label_files, source_path
 from vigilake.sources.text import document_rows, infer_json_columns, payload_columns
@@ -94,10 +95,10 @@ def decoded_lines(
     UTF-16 files cannot be cut at newline bytes; they are decoded whole.
     """
     lines = raw_lines(spark, root, kind, modified_after)
-    narrow = lines.join(census.where("encoding not like 'utf-16%'"), "path").select(
+    narrow = lookup_join(lines, census.where("encoding not like 'utf-16%'"), ["path"]).select(
         "path", "encoding", "line_id", decoded(F.col("raw"), F.col("encoding")).alias("line"))
     content = _reader(spark, kind, modified_after).format("binaryFile").load(root).select("path", "content")
-    wide = content.join(census.where("encoding like 'utf-16%'"), "path").select(
+    wide = lookup_join(content, census.where("encoding like 'utf-16%'"), ["path"]).select(
         "path", "encoding", F.posexplode(F.split(decoded(F.col("content"), F.col("encoding")), "\r?\n")).alias("n", "line"))
     at = F.struct(F.lit(0).cast("bigint").alias("block"), F.col("n").cast("bigint").alias("n"))
     return narrow.unionByName(wide.select("path", "encoding", at.alias("line_id"), "line"))
