@@ -15,6 +15,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .appName("vigilake")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.sql.adaptive.enabled", "true")
+        # Small inputs can still be heavy on the processor: keep them on all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
     )

@@ -102,17 +102,32 @@ def _type_of(schema: Column, followed: Column) -> Column:
     return _resolved(schema, followed, rendered)
 
 
-def _properties(schema: Column, followed: Column, prefix: str = "") -> Column:
-    """Entries of a schema's top-level properties; of its items if it is an array."""
+def _typed(properties: Column, followed: Column) -> Column:
+    """Entries of a schema's members with their types."""
+    return F.transform(F.coalesce(F.map_entries(properties), F.expr(_NO_ENTRIES)), lambda p: F.struct(
+        p["key"].alias("key"), _type_of(p["value"], followed).alias("value")))
 
-    def entries(properties: Column) -> Column:
-        return F.transform(F.coalesce(F.map_entries(properties), F.expr(_NO_ENTRIES)), lambda p: F.struct(
-            F.concat(F.lit(prefix), p["key"]).alias("key"), _type_of(p["value"], followed).alias("value")))
 
-    def base(s: Column) -> Column:
-        return F.when(s["type"] == "array", _resolved(s["items"], followed, lambda i: i["properties"])).otherwise(s["properties"])
+def _properties(schema: Column, followed: Column, members: Column, prefix: str = "") -> Column:
+    """Entries of a schema's top-level properties; of its items if it is an array.
 
-    return _let(_resolved(schema, followed, base), entries)
+    ``members`` has those of every referenced schema, typed once per description.
+    """
+
+    def of_items(i: Column) -> Column:
+        return F.when(i["$ref"].isNull(), _typed(i["properties"], followed)).otherwise(F.try_element_at(members, i["$ref"]))
+
+    def of_node(n: Column) -> Column:
+        ref = n["$ref"]
+        return _let(F.when(ref.isNull(), n).otherwise(F.try_element_at(followed, ref)), lambda s: (
+            F.when(s["type"] == "array", _let(_parse(s["items"]), of_items))
+            .when(ref.isNull(), _typed(s["properties"], followed))
+            .otherwise(F.try_element_at(members, ref))))
+
+    found = F.coalesce(_let(_parse(schema), of_node), F.expr(_NO_ENTRIES))
+    if not prefix:
+        return found
+    return F.transform(found, lambda e: F.struct(F.concat(F.lit(prefix), e["key"]).alias("key"), e["value"].alias("value")))
 
 
 def _json_body(node: Column, followed: Column) -> Column:
@@ -131,7 +146,7 @@ def _last_wins(entries: Column) -> Column:
         F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])))
 
 
-def _operation_columns(shared: Column, operation: Column, followed: Column) -> Column:
+def _operation_columns(shared: Column, operation: Column, followed: Column, members: Column) -> Column:
     """Columns of a parsed operation under a path with the ``shared`` parameters."""
 
     def parameter(p: Column) -> Column:
@@ -143,8 +158,8 @@ def _operation_columns(shared: Column, operation: Column, followed: Column) -> C
     named = F.filter(F.transform(F.concat(shared, own), parameter), lambda p: p["key"].isNotNull() & (p["key"] != "param."))
     responses = F.array_sort(F.map_entries(operation["responses"]))
     success = F.get(F.filter(responses, lambda r: r["key"].startswith("2")), F.lit(0))["value"]
-    body = _properties(_json_body(operation["requestBody"], followed), followed, "body.")
-    reply = _properties(_json_body(success, followed), followed, "response.")
+    body = _properties(_json_body(operation["requestBody"], followed), followed, members, "body.")
+    reply = _properties(_json_body(success, followed), followed, members, "response.")
     return _let(F.concat(named, body, reply), _last_wins)
 
 
@@ -164,7 +179,8 @@ def spec_snapshot(specs: DataFrame, keys: tuple[str, ...] = ("api",)) -> DataFra
         _component_map(F.get_json_object("spec", "$.components")).alias("_raw"),
     ).withColumn("_text", _followed_references(F.col("spec"), F.col("_raw"))).withColumn(
         "_followed", F.transform_values("_text", lambda _, body: _parse(body)))
-    followed = F.col("_followed")
+    followed, members = F.col("_followed"), F.col("_members")
+    parsed = parsed.withColumn("_members", F.transform_values("_followed", lambda _, n: _typed(n["properties"], followed)))
 
     def endpoints(path: Column) -> Column:
         shared = F.coalesce(F.from_json(F.get_json_object(path["value"], "$.parameters"), "array<string>"), F.expr(_NO_TEXTS))
@@ -173,13 +189,13 @@ def spec_snapshot(specs: DataFrame, keys: tuple[str, ...] = ("api",)) -> DataFra
         return _let(shared, lambda given: F.transform(operations, lambda o: F.struct(
             F.concat(root, path["key"], F.lit("#"), F.lower(o["key"])).alias("object_uri"),
             F.lit("endpoint").alias("kind"),
-            _let(F.from_json(o["value"], _OPERATION), lambda parsed: _operation_columns(given, parsed, followed)).alias("columns"))))
+            _let(F.from_json(o["value"], _OPERATION), lambda parsed: _operation_columns(given, parsed, followed, members)).alias("columns"))))
 
     operations = F.flatten(F.transform(_entries(F.col("_paths")), endpoints))
     schemas = F.transform(_entries(F.col("_schemas")), lambda s: F.struct(
         F.concat(root, F.lit("/components/schemas/"), s["key"]).alias("object_uri"),
         F.lit("schema").alias("kind"),
-        _let(_properties(s["value"], followed), _last_wins).alias("columns")))
+        _let(_properties(s["value"], followed, members), _last_wins).alias("columns")))
     return parsed.select(*keys, F.explode(F.concat(operations, schemas)).alias("_o")).select(*keys, "_o.*")
 
 
