@@ -101,3 +101,15 @@ def test_long_texts_are_counted_by_digest(spark):
     texts = ["a" * 64, "a" * 65, "a" * 66, "b" * 5000, "b" * 5000, "b" * 5001, "short", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert P.profile_table(df, heavy=True).first()["t__unique_count"] == 6
+
+
+def test_pushed_profile_equals_the_local_one(spark, orders):
+    holes = orders.withColumn("customer", F.when(F.col("id") != 2, F.col("customer"))).withColumnRenamed("total", "odd name")
+    holes.createOrReplaceTempView("orders_view")
+    pushed = spark.sql(P.profile_query(holes.schema, "orders_view", heavy=True, quote="`"))
+    local = P.profile_table(holes, heavy=True)
+    assert sorted(pushed.columns) == sorted(local.columns)
+    assert pushed.select(*local.columns).first() == local.first()
+    assert 'min("odd name") as "odd name__min"' in P.profile_query(holes.schema, "t")
+    ready = P.profile_tables({"a": holes, "b": holes}, F.lit("2026-01-01").cast("timestamp"), profiles={"b": pushed.limit(1)})
+    assert ready.where("uri = 'b/row_count'").first().metric_value == 6.0

@@ -32,6 +32,12 @@ def test_reader_options():
     assert "all_tables" in TB.schema_listing_query("oracle") and "information_schema" in TB.schema_listing_query("mssql")
 
 
+def test_sampled_tables():
+    assert TB.sampled_table("database", "s.t", 5) == "s.t TABLESAMPLE SYSTEM (5)"
+    assert TB.sampled_table("mssql", "t", 0.5) == "t TABLESAMPLE (0.5 PERCENT)"
+    assert TB.sampled_table("oracle", "t", 10) == "t SAMPLE (10)"
+
+
 def test_crawl_reads_schemas(spark):
     df = spark.createDataFrame([], "id int, name string, at timestamp, tags array<string>")
     rows = sorted((r.name, r.type, r.uri) for r in TB.crawl_fields({"db://s/d/x/t": df}).collect())

@@ -51,9 +51,13 @@ def _record(state: State, source: str, source_uri: str, snapshot: DataFrame, fin
 
 def scan_tables(
     state: State, source: str, tables: dict[str, DataFrame], analyze: bool = True, heavy: bool = False,
-    sample_percent: float | None = None, now: datetime.datetime | None = None,
+    sample_percent: float | None = None, profiles: dict[str, DataFrame] | None = None,
+    now: datetime.datetime | None = None,
 ) -> int:
-    """Scan a database source given as tables by address; returns the scan id."""
+    """Scan a database source given as tables by address; returns the scan id.
+
+    ``profiles`` holds one-row profiles by address where the database made them.
+    """
     now, scan_id, source_uri = now or _now(), state.next_scan_id(), f"db://{source}"
     fields = crawl_fields(tables)
     parts = F.split("owner_uri", "/")
@@ -65,7 +69,8 @@ def scan_tables(
         uris, points = list(tables), None
         for start in range(0, len(uris), _TABLES_PER_JOB):
             some = {uri: tables[uri] for uri in uris[start : start + _TABLES_PER_JOB]}
-            part = cut_lineage(profile_tables(some, _instant(now), heavy=heavy, sample_percent=sample_percent))
+            part = cut_lineage(profile_tables(
+                some, _instant(now), heavy=heavy, profiles=profiles, sample_percent=sample_percent))
             points = part if points is None else points.unionByName(part)
         state.append("metrics", points, source, scan_id)
     return _record(state, source, source_uri, snapshot_from_fields(fields), None, now.isoformat(sep=" "), now)

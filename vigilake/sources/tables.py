@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigilake.fixed import MSSQL_PORT, ORACLE_PORT
+from vigilake.operators.profile import profile_query, scale_counts
 
 
 def crawl_fields(tables: dict[str, DataFrame]) -> DataFrame:
@@ -88,6 +89,31 @@ def read_database_table(
     return reader.option("dbtable", table).load()
 
 
+def sampled_table(kind: str, table: str, percent: float) -> str:
+    """A table reference that lets the database draw the sample."""
+    clauses = {
+        "database": f"TABLESAMPLE SYSTEM ({percent:g})",
+        "mssql": f"TABLESAMPLE ({percent:g} PERCENT)",
+        "oracle": f"SAMPLE ({percent:g})",
+        "snowflake": f"SAMPLE ({percent:g})",
+        "bigquery": f"TABLESAMPLE SYSTEM ({percent:g} PERCENT)",
+    }
+    return f"{table} {clauses[kind]}"
+
+
+def database_profile(
+    spark: SparkSession, kind: str, connection: dict, table: str, schema, database: str | None = None,
+    heavy: bool = False, sample_percent: float | None = None,
+) -> DataFrame:
+    """One-row profile of a table, computed by its database."""
+    source_format, options = reader_options(kind, connection, database)
+    target = sampled_table(kind, table, sample_percent) if sample_percent else table
+    query = profile_query(schema, target, heavy, "`" if kind == "bigquery" else '"')
+    stats = spark.read.format(source_format).options(
+        **{k: v for k, v in options.items() if v is not None}).option("query", query).load()
+    return scale_counts(stats, sample_percent)
+
+
 def database_tables(
     spark: SparkSession, source: str, kind: str, connection: dict, database: str | None = None
 ) -> dict[str, DataFrame]:
