@@ -152,3 +152,18 @@ def batch_anomalies(
         .where(F.col("z_score") >= threshold)
         .select(*history.columns, "z_score", F.lit("zscore").alias("algorithm"))
     )
+
+
+def anomaly_records(found: DataFrame, created_at) -> DataFrame:
+    """Batch anomalies as stored rows, open until somebody acknowledges them.
+
+    ``found`` also has ``metric_name`` and ``table_uri``; a series without a table
+    stands for itself.
+    """
+    return found.select(
+        F.sha2(F.concat_ws("|", "org_id", "uri", F.col("ts").cast("string"), F.col("batch_id").cast("string")), 256).alias("anomaly_id"),
+        "org_id", "batch_id",
+        F.col("uri").alias("metric_uri"), "metric_name", F.coalesce("table_uri", "uri").alias("table_uri"),
+        F.col("ts").alias("anomaly_ts"), F.col("metric_value").alias("observed_value"), "z_score", "algorithm",
+        F.lit(False).alias("is_acknowledged"), F.lit(False).alias("alert_sent"), created_at.alias("created_at"),
+    )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions.text_types import infer_text_type, pick_type, render_type
@@ -147,8 +147,9 @@ def csv_schemas(lines: DataFrame, delimiter: str = ",") -> DataFrame:
         *[F.count_if(kind == v).alias(v) for v in votes])
     own = infer_text_type(F.col("name"))
     less = {v: F.col(v) - F.when(own == v, 1).otherwise(0) for v in votes}
-    first = tallied.where("at = 0").select("path", F.col("_first").alias("_header"))
-    return tallied.join(first, "path").where("_first = _header and name != ''").select(
+    # One row per column of a file: a file's header is its earliest line.
+    header = F.min("_first").over(Window.partitionBy("path"))
+    return tallied.withColumn("_header", header).where("_first = _header and name != ''").select(
         "path", "name", render_type(pick_type(less["integer"], less["number"], less["string"])).alias("type"))
 
 
