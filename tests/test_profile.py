@@ -113,3 +113,9 @@ def test_pushed_profile_equals_the_local_one(spark, orders):
     assert 'min("odd name") as "odd name__min"' in P.profile_query(holes.schema, "t")
     ready = P.profile_tables({"a": holes, "b": holes}, F.lit("2026-01-01").cast("timestamp"), profiles={"b": pushed.limit(1)})
     assert ready.where("uri = 'b/row_count'").first().metric_value == 6.0
+
+
+def test_column_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "x"), (3, "y")], "`a.b` int, `c d` string")
+    found = {r.metric_name: r.metric_value for r in P.to_metrics(P.scale_counts(P.profile_table(df, heavy=True), 100), "t", F.lit("2026-01-01").cast("timestamp")).collect()}
+    assert found["a.b__max"] == 3.0 and found["c d__unique_count"] == 2.0

@@ -79,3 +79,26 @@ def test_gaps_across_buckets(spark, bucket):
         times = sorted({s for key, s in rows if key == k})
         expected += [(k, b * 1_000_000, (b - a) * 1_000_000) for a, b in zip(times, times[1:])]
     assert found == sorted(expected)
+
+
+def windows(df):
+    import re
+    return re.findall(r"windowspecdefinition\(([^)]*?)(?:ASC|DESC|,? ?specifiedwindow)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_no_window_spans_a_whole_key_of_raw_rows(spark, skewed):
+    from vigilake.operators.freshness import cadence
+    from vigilake.operators.outliers import zscore_outliers
+    _, big = skewed
+    points = big.select(F.col("k").alias("uri"), F.timestamp_seconds("i").alias("ds"), F.col("v").alias("y"))
+    assert windows(zscore_outliers(points, max_rows=0)) == []
+    assert windows(zscore_outliers(points)) == []
+    rows = points.select(F.lit("s").alias("source"), F.col("uri").alias("fileset"), F.col("ds").alias("mtime"))
+    text = cadence(rows)._jdf.queryExecution().executedPlan().toString()
+    lags = [line for line in text.splitlines() if "Window [lag(at_us" in line]
+    assert lags and all("_bucket" in line for line in lags)
+
+
+def test_local_times_are_accepted(spark):
+    df = spark.sql("select 'a' k, timestamp_ntz'2026-01-01 00:00:00' t union all select 'a', timestamp_ntz'2026-01-01 00:00:05'")
+    assert [r.gap_us for r in S.adjacent_gaps(df, ["k"], "t").collect()] == [5_000_000]

@@ -122,6 +122,23 @@ def test_crawl_of_all_formats(spark, landing):
     }
 
 
+def test_broken_parquet_has_no_schema(spark, tmp_path):
+    (tmp_path / "a.parquet").write_bytes(b"not parquet at all")
+    row = CR.crawl_files(spark, str(tmp_path), FL.list_files(spark, str(tmp_path), "s")).first()
+    assert row["columns"] == {} and row.num_rows is None
+
+
+def test_spark_catalog_is_crawled(spark, tmp_path):
+    spark.sql("create database if not exists crawl_db")
+    spark.sql(f"create table crawl_db.t using parquet location '{tmp_path}/t' as select 1 as id, 'x' as name")
+    try:
+        tables = TB.catalog_tables(spark, "s", ["crawl_db"])
+        assert list(tables) == ["db://s/spark_catalog/crawl_db/t"]
+        assert sorted((r.name, r.type) for r in TB.crawl_fields(tables).collect()) == [("id", "int"), ("name", "string")]
+    finally:
+        spark.sql("drop database crawl_db cascade")
+
+
 def test_crawl_without_schemas(spark, landing):
     rows = CR.crawl_files(spark, landing, data_files(spark, landing), get_schemas=False).collect()
     assert len(rows) == 14 and all(r["columns"] == {} and r.num_rows is None for r in rows)
@@ -217,6 +234,14 @@ def test_api_description(spark):
     }
 
 
+def test_yaml_descriptions(spark):
+    yaml = pytest.importorskip("yaml")
+    df = spark.createDataFrame([("j", json.dumps(SPEC)), ("y", yaml.safe_dump(SPEC)), ("b", "a: [1"), ("n", None)], "api string, spec string")
+    rows = A.spec_snapshot(A.specs_as_json(df)).collect()
+    by = {api: {r.object_uri.replace(f"//{api}", "//"): r["columns"] for r in rows if r.api == api} for api in ("j", "y", "b")}
+    assert by["j"] == by["y"] and len(by["j"]) == 9 and by["b"] == {}
+
+
 def test_api_flatten_needs_no_shuffle(spark):
     df = spark.createDataFrame([("shop", json.dumps(SPEC))], "api string, spec string")
     assert "Exchange" not in A.spec_snapshot(df)._jdf.queryExecution().executedPlan().toString()

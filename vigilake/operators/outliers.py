@@ -51,7 +51,7 @@ def band_outliers(
     aggregate and no second pass over the residuals.
     """
     half = NormalDist().inv_cdf((1 + width) / 2)
-    rows = points.where("y is not null").withColumn("_x", F.unix_micros("ds") / 86_400_000_000)
+    rows = points.where("y is not null").withColumn("_x", F.unix_micros(F.col("ds").cast("timestamp")) / 86_400_000_000)
     fit = [
         F.count("y").alias("_n"),
         F.regr_slope("y", "_x").alias("_slope"),

@@ -113,7 +113,7 @@ def to_metrics(stats: DataFrame, table_uri: str, ts: Column) -> DataFrame:
     number = [F.col(f"`{c}`").try_cast("double").alias(c) for c in stats.columns]
     return (
         stats.select(*number)
-        .unpivot([], stats.columns, "metric_name", "metric_value")
+        .unpivot([], [F.col(f"`{c}`") for c in stats.columns], "metric_name", "metric_value")
         .select(
             F.concat(F.lit(table_uri + "/"), "metric_name").alias("uri"),
             ts.alias("ts"),

@@ -89,7 +89,7 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column])
 def _times(points: DataFrame, keys: Sequence[str], ts: str, bucket_seconds: int) -> DataFrame:
     return (
         points.where(F.col(ts).isNotNull())
-        .select(*keys, F.unix_micros(ts).alias("at_us"))
+        .select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"))
         .withColumn("_bucket", F.expr(f"at_us div {bucket_seconds * 1_000_000}L"))
     )
 

@@ -163,6 +163,33 @@ def _operation_columns(shared: Column, operation: Column, followed: Column, memb
     return _let(F.concat(named, body, reply), _last_wins)
 
 
+def specs_as_json(specs: DataFrame, column: str = "spec") -> DataFrame:
+    """Descriptions written as YAML turned into JSON text; those already JSON stay untouched.
+
+    Needs pyyaml on the executors, only if there is a YAML description.
+    """
+    from collections.abc import Iterator
+
+    def convert(batches: Iterator) -> Iterator:
+        import json
+
+        import yaml
+
+        for batch in batches:
+            # Dates and other YAML scalars JSON lacks become text; a broken document an empty one.
+            texts = []
+            for text in batch[column]:
+                try:
+                    texts.append(json.dumps(yaml.safe_load(text), default=str))
+                except yaml.YAMLError:
+                    texts.append("{}")
+            yield batch.assign(**{column: texts})
+
+    is_json = F.try_parse_json(column).isNotNull()
+    given = specs.where(F.col(column).isNotNull())
+    return given.where(is_json).unionByName(given.where(~is_json).mapInPandas(convert, specs.schema))
+
+
 def spec_snapshot(specs: DataFrame, keys: tuple[str, ...] = ("api",)) -> DataFrame:
     """``keys, object_uri, kind, columns`` of API descriptions (``keys, spec`` JSON text).
 

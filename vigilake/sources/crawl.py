@@ -154,10 +154,14 @@ def csv_schemas(lines: DataFrame, delimiter: str = ",") -> DataFrame:
 
 
 def parquet_footers(listing: DataFrame) -> DataFrame:
-    """``path, columns, num_rows`` of parquet files, read from the footers inside the tasks."""
+    """``path, columns, num_rows`` of parquet files, read from the footers inside the tasks.
+
+    A file that is no parquet file has no row.
+    """
 
     def footers(batches: Iterator) -> Iterator:
         import pandas as pd
+        import pyarrow as pa
         import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import from_arrow_type
 
@@ -166,7 +170,10 @@ def parquet_footers(listing: DataFrame) -> DataFrame:
             for path in batch["path"]:
                 filesystem, inner = _open(path)
                 with filesystem.open_input_file(inner) as handle:
-                    file = pq.ParquetFile(handle)
+                    try:
+                        file = pq.ParquetFile(handle)
+                    except pa.ArrowInvalid:
+                        continue
                     columns = [(f.name, from_arrow_type(f.type).simpleString()) for f in file.schema_arrow]
                     rows.append((path, columns, file.metadata.num_rows))
             yield pd.DataFrame(rows, columns=["path", "entries", "num_rows"])
