@@ -74,7 +74,7 @@ def landing(spark, tmp_path_factory):
     (root / "sub").mkdir()
     files = {
         "plain.csv": b"id,name\n1,alpha\n2,beta\n", "sub/quoted.CSV": b'id,text,n\n1,"a,""b""",2.5\n2,c,3\n', "cities.csv": "id,st\xe4dt\n1,Z\xfcrich\n2,€\n".encode("cp1252"),
-        "bom.csv": b"\xef\xbb\xbfid,name\r\n1,x\r\n", "wide.csv": "id,name\n1,x\n".encode("utf-16"), "zipped.csv.gz": gzip.compress(b"a,b\n1,\n,2\n"),
+        "bom.csv": b"\xef\xbb\xbfid,name\r\n1,x\r\n", "wide[1].csv": "id,name\n1,x\n".encode("utf-16"), "zipped.csv.gz": gzip.compress(b"a,b\n1,\n,2\n"),
         "lines.jsonl": b'{"id":1,"p":"x"}\n{"id":2.5,"p":"y"}\nbroken\n', "list.json": b'[{"id":1},\n{"id":2}]', "one.json": b'{"q":true}', "bad.json": b"not json",
         "readme.txt": b"hello", "headeronly.csv": b"x,y\n", "odd name #1%20.csv": b"x\n1\n",
     }
@@ -109,7 +109,7 @@ def test_crawl_of_all_formats(spark, landing):
         "quoted.CSV": ("utf-8", {"id": whole, "text": text, "n": "number/string"}, None),
         "cities.csv": ("cp1252", {"id": whole, "städt": text}, None),
         "bom.csv": ("utf-8-sig", {"id": whole, "name": text}, None),
-        "wide.csv": ("utf-16", {"id": whole, "name": text}, None),
+        "wide[1].csv": ("utf-16", {"id": whole, "name": text}, None),
         "zipped.csv.gz": ("utf-8", {"a": whole, "b": whole}, None),
         "lines.jsonl": ("utf-8", {"id": "number/string", "p": text}, None),
         "list.json": ("utf-8", {"id": whole}, 2),
@@ -139,6 +139,12 @@ def test_spark_catalog_is_crawled(spark, tmp_path):
         spark.sql("drop database crawl_db cascade")
 
 
+def test_crawl_with_a_known_encoding(spark, landing):
+    listing = data_files(spark, landing).where("path like '%/cities.csv' or path like '%/plain.csv'")
+    found = {r["name"]: (r.encoding, r["columns"]) for r in names(CR.crawl_files(spark, landing, listing, encoding="cp1252")).collect()}
+    assert found == {"plain.csv": ("cp1252", {"id": "integer/string", "name": "string"}), "cities.csv": ("cp1252", {"id": "integer/string", "städt": "string"})}
+
+
 def test_crawl_without_schemas(spark, landing):
     rows = CR.crawl_files(spark, landing, data_files(spark, landing), get_schemas=False).collect()
     assert len(rows) == 14 and all(r["columns"] == {} and r.num_rows is None for r in rows)

@@ -81,7 +81,7 @@ def scan_files(
     crawled: DataFrame | None = None, filesets: list[dict] | None = None, get_schemas: bool = True,
     alert_unrecognized: bool = True, infer_filesets: bool = True, outside_claims: DataFrame | None = None,
     freshness: bool = True, freshness_factor: float = OVERDUE_FACTOR, file_metrics: bool = True,
-    delimiter: str = ",", now: datetime.datetime | None = None,
+    delimiter: str = ",", encoding: str | None = None, now: datetime.datetime | None = None,
 ) -> int:
     """Scan a file source: only files newer than its last scan are looked into.
 
@@ -94,7 +94,7 @@ def scan_files(
     fresh = listing if since is None else listing.where(F.col("mtime") > F.lit(since).cast("timestamp"))
     if crawled is None:
         after = since[:19].replace(" ", "T") if since else None
-        found = crawl_files(spark, root, fresh, after, get_schemas, delimiter)
+        found = crawl_files(spark, root, fresh, after, get_schemas, delimiter, encoding)
     else:
         found = fresh.join(crawled, "path", "left").withColumn(
             "columns", F.coalesce("columns", F.expr("cast(map() as map<string,string>)")))

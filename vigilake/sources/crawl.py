@@ -6,12 +6,14 @@ like any other input, and all files of one format share one job.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigilake.functions.names import reader_for
 from vigilake.functions.text_types import infer_text_type, pick_type, render_type
 from vigilake.operators.scale import lookup_join
 from vigilake.session import cut_lineage
@@ -95,10 +97,15 @@ def decoded_lines(
     UTF-16 files cannot be cut at newline bytes; they are decoded whole.
     """
     lines = raw_lines(spark, root, kind, modified_after)
-    narrow = lookup_join(lines, census.where("encoding not like 'utf-16%'"), ["path"]).select(
+    mine = census.where(reader_for(F.col("path")) == kind)
+    narrow = lookup_join(lines, mine.where("encoding not like 'utf-16%'"), ["path"]).select(
         "path", "encoding", "line_id", decoded(F.col("raw"), F.col("encoding")).alias("line"))
-    content = _reader(spark, kind, modified_after).format("binaryFile").load(root).select("path", "content")
-    wide = lookup_join(content, census.where("encoding like 'utf-16%'"), ["path"]).select(
+    # Only the paths come to the driver, where a reader's file list lives anyway.
+    paths = [r.path for r in mine.where("encoding like 'utf-16%'").select("path").toLocalIterator()]
+    if not paths:
+        return narrow
+    content = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
+    wide = lookup_join(content.select("path", "content"), mine, ["path"]).select(
         "path", "encoding", F.posexplode(F.split(decoded(F.col("content"), F.col("encoding")), "\r?\n")).alias("n", "line"))
     at = F.struct(F.lit(0).cast("bigint").alias("block"), F.col("n").cast("bigint").alias("n"))
     return narrow.unionByName(wide.select("path", "encoding", at.alias("line_id"), "line"))
@@ -185,27 +192,31 @@ def parquet_footers(listing: DataFrame) -> DataFrame:
 
 def crawl_files(
     spark: SparkSession, root: str, listing: DataFrame, modified_after: str | None = None,
-    get_schemas: bool = True, delimiter: str = ",",
+    get_schemas: bool = True, delimiter: str = ",", encoding: str | None = None,
 ) -> DataFrame:
     """The listed files with ``encoding, columns, num_rows`` added.
 
-    ``modified_after`` keeps older files from being read at all. A file that cannot
+    ``modified_after`` keeps older files from being read at all. A known ``encoding`` of
+    all text files saves the pass over their bytes that finds it. A file that cannot
     be parsed or has no reader has an empty schema. Rows are known for parquet and
     JSON documents only.
     """
     labelled = label_files(listing)
-    heads = file_heads(labelled.where("reader in ('csv', 'jsonl')"))
     kinds = ("csv", "jsonl")
-    all_lines = reduce(DataFrame.unionByName, [raw_lines(spark, root, k, modified_after) for k in kinds])
-    # One small row per file that every branch below needs: kept once, in the shared folder.
-    census = cut_lineage(line_census(all_lines, heads))
-    lines = {k: decoded_lines(spark, root, k, census, modified_after) for k in kinds}
+    text_files = labelled.where(F.col("reader").isin(*kinds))
+    if encoding:
+        census = text_files.select("path", F.lit(encoding).alias("encoding"))
+    else:
+        all_lines = reduce(DataFrame.unionByName, [raw_lines(spark, root, k, modified_after) for k in kinds])
+        # One small row per file that every branch below needs: kept once, in the shared folder.
+        census = cut_lineage(line_census(all_lines, file_heads(text_files)))
     documents = json_documents(spark, root, modified_after)
     encodings = census.unionByName(documents.select("path", "encoding"))
     result = labelled.join(encodings, "path", "left")
     empty = F.expr("cast(map() as map<string,string>)")
     if not get_schemas:
         return result.withColumn("columns", empty).withColumn("num_rows", F.lit(None).cast("bigint"))
+    lines = {k: decoded_lines(spark, root, k, census, modified_after) for k in kinds}
     fields = (
         csv_schemas(lines["csv"], delimiter)
         .unionByName(infer_json_columns(lines["jsonl"], "line", ["path"]))
