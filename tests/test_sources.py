@@ -76,7 +76,7 @@ def landing(spark, tmp_path_factory):
         "plain.csv": b"id,name\n1,alpha\n2,beta\n", "sub/quoted.CSV": b'id,text,n\n1,"a,""b""",2.5\n2,c,3\n', "cities.csv": "id,st\xe4dt\n1,Z\xfcrich\n2,€\n".encode("cp1252"),
         "bom.csv": b"\xef\xbb\xbfid,name\r\n1,x\r\n", "wide[1].csv": "id,name\n1,x\n".encode("utf-16"), "zipped.csv.gz": gzip.compress(b"a,b\n1,\n,2\n"),
         "lines.jsonl": b'{"id":1,"p":"x"}\n{"id":2.5,"p":"y"}\nbroken\n', "list.json": b'[{"id":1},\n{"id":2}]', "one.json": b'{"q":true}', "bad.json": b"not json",
-        "readme.txt": b"hello", "headeronly.csv": b"x,y\n", "odd name #1%20.csv": b"x\n1\n",
+        "readme.txt": b"hello", "headeronly.csv": b"x,y\n", "twice.csv": b"a,a\n1,x\n", "odd name #1%20.csv": b"x\n1\n",
     }
     for name, data in files.items():
         (root / name).write_bytes(data)
@@ -95,7 +95,7 @@ def data_files(spark, root):
 def test_listing_is_recursive_and_reads_no_content(spark, landing):
     listing = data_files(spark, landing)
     sizes = {r.name: r.size for r in names(listing).collect()}
-    assert sizes["plain.csv"] == 23 and "quoted.CSV" in sizes and len(sizes) == 14
+    assert sizes["plain.csv"] == 23 and "quoted.CSV" in sizes and len(sizes) == 15
     assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
     flat = FL.list_files(spark, landing, "s", recursive=False)
     assert "quoted.CSV" not in {r.name for r in names(flat).collect()}
@@ -117,6 +117,7 @@ def test_crawl_of_all_formats(spark, landing):
         "bad.json": ("utf-8", {}, None),
         "readme.txt": (None, {}, None),
         "headeronly.csv": ("utf-8", {"x": text, "y": text}, None),
+        "twice.csv": ("utf-8", {"a": text}, None),
         "odd name #1%20.csv": ("utf-8", {"x": whole}, None),
         "part": (None, {"id": "bigint", "s": "string"}, 7),
     }
@@ -147,7 +148,7 @@ def test_crawl_with_a_known_encoding(spark, landing):
 
 def test_crawl_without_schemas(spark, landing):
     rows = CR.crawl_files(spark, landing, data_files(spark, landing), get_schemas=False).collect()
-    assert len(rows) == 14 and all(r["columns"] == {} and r.num_rows is None for r in rows)
+    assert len(rows) == 15 and all(r["columns"] == {} and r.num_rows is None for r in rows)
 
 
 def test_cells(spark):

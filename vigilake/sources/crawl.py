@@ -156,8 +156,10 @@ def csv_schemas(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     less = {v: F.col(v) - F.when(own == v, 1).otherwise(0) for v in votes}
     # One row per column of a file: a file's header is its earliest line.
     header = F.min("_first").over(Window.partitionBy("path"))
-    return tallied.withColumn("_header", header).where("_first = _header and name != ''").select(
-        "path", "name", render_type(pick_type(less["integer"], less["number"], less["string"])).alias("type"))
+    typed = tallied.withColumn("_header", header).where("_first = _header and name != ''").select(
+        "path", "at", "name", render_type(pick_type(less["integer"], less["number"], less["string"])).alias("type"))
+    # Of columns with one name the last stands for it.
+    return typed.groupBy("path", "name").agg(F.max_by("type", "at").alias("type"))
 
 
 def parquet_footers(listing: DataFrame) -> DataFrame:
