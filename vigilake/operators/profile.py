@@ -7,46 +7,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COUNT_SUFFIXES = ("__null_count", "__non_null_count")
+_TEXT = (T.StringType, T.CharType, T.VarcharType)
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+def profile_items(schema: T.StructType, heavy: bool = False, quote: str = '"') -> list[tuple[str, str]]:
+    """The statistics as (SQL aggregate, ``{column}__{statistic}``), last ``row_count``.
+
+    Text rather than column objects: a wide table has thousands of them.
+    """
+    numbers, texts = _names(schema, T.NumericType), _names(schema, _TEXT)
+    items = []
+    for c in numbers:
+        items += [(f"{f}({_quoted(c, quote)})", f"{c}__{f}") for f in ("min", "avg", "max")]
+    for c in numbers + texts:
+        col = _quoted(c, quote)
+        items += [(f"count(*) - count({col})", f"{c}__null_count"), (f"count({col})", f"{c}__non_null_count")]
+    if heavy:
+        items += [(f"count(distinct {_quoted(c, quote)})", f"{c}__unique_count") for c in texts]
+    return [*items, ("count(*)", "row_count")]
+
+
+def _names(schema: T.StructType, kinds) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, kinds)]
 
 
-def text_columns(df: DataFrame) -> list[str]:
-    kinds = (T.StringType, T.CharType, T.VarcharType)
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
+def _quoted(name: str, quote: str = "`") -> str:
+    return quote + name.replace(quote, quote * 2) + quote
 
 
-def distinct_key(col: Column) -> Column:
-    """Stands for a text when counting distinct values: long texts by their digest.
+def _distinct(column: str, approx: bool) -> str:
+    """Distinct count of a text column, long texts by their digest.
 
     Keeps whole documents out of the shuffle. A short text never equals a stand-in,
     which is longer than any text left as it is.
     """
-    return F.when(F.length(col) > 64, F.concat(F.lit("sha256:"), F.sha2(col, 256))).otherwise(col)
-
-
-def profile_exprs(df: DataFrame, heavy: bool = False, approx: bool = False) -> list[Column]:
-    """Aggregates of the profile, as ``{column}__{statistic}`` plus ``row_count``."""
-    exprs = []
-    for name in numeric_columns(df):
-        col = F.col(f"`{name}`")
-        exprs += [
-            F.min(col).alias(f"{name}__min"),
-            F.avg(col).alias(f"{name}__avg"),
-            F.max(col).alias(f"{name}__max"),
-        ]
-    for name in numeric_columns(df) + text_columns(df):
-        col = F.col(f"`{name}`")
-        exprs += [
-            F.count_if(col.isNull()).alias(f"{name}__null_count"),
-            F.count(col).alias(f"{name}__non_null_count"),
-        ]
-    if heavy:
-        distinct = F.approx_count_distinct if approx else F.count_distinct
-        exprs += [distinct(distinct_key(F.col(f"`{n}`"))).alias(f"{n}__unique_count") for n in text_columns(df)]
-    return [*exprs, F.count(F.lit(1)).alias("row_count")]
+    col = _quoted(column)
+    key = f"if(length({col}) > 64, concat('sha256:', sha2({col}, 256)), {col})"
+    return f"approx_count_distinct({key})" if approx else f"count(distinct {key})"
 
 
 def profile_table(
@@ -63,7 +60,11 @@ def profile_table(
     counts back up.
     """
     target = df.sample(sample_percent / 100.0, seed) if sample_percent else df
-    stats = target.agg(*profile_exprs(df, heavy, approx))
+    items = profile_items(df.schema, quote="`")
+    if heavy:
+        texts = _names(df.schema, _TEXT)
+        items = [*items[:-1], *[(_distinct(c, approx), f"{c}__unique_count") for c in texts], items[-1]]
+    stats = target.selectExpr(*[f"{e} as {_quoted(n)}" for e, n in items])
     return scale_counts(stats, sample_percent)
 
 
@@ -73,21 +74,8 @@ def profile_query(schema: T.StructType, table: str, heavy: bool = False, quote:
     Read through JDBC's ``query`` option it moves one row instead of the table, and
     has the columns of ``profile_table``.
     """
-    numbers = [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)]
-    texts = [f.name for f in schema.fields if isinstance(f.dataType, (T.StringType, T.CharType, T.VarcharType))]
-
-    def name(text: str) -> str:
-        return quote + text.replace(quote, quote * 2) + quote
-
-    items = []
-    for c in numbers:
-        items += [(f"{f}({name(c)})", f"{c}__{f}") for f in ("min", "avg", "max")]
-    for c in numbers + texts:
-        items += [(f"count(*) - count({name(c)})", f"{c}__null_count"), (f"count({name(c)})", f"{c}__non_null_count")]
-    if heavy:
-        items += [(f"count(distinct {name(c)})", f"{c}__unique_count") for c in texts]
-    items.append(("count(*)", "row_count"))
-    return f"select {', '.join(f'{e} as {name(n)}' for e, n in items)} from {table}"
+    items = profile_items(schema, heavy, quote)
+    return f"select {', '.join(f'{e} as {_quoted(n, quote)}' for e, n in items)} from {table}"
 
 
 def scale_counts(stats: DataFrame, sample_percent: float | None) -> DataFrame:
@@ -99,21 +87,20 @@ def scale_counts(stats: DataFrame, sample_percent: float | None) -> DataFrame:
         return stats
     factor = 100.0 / sample_percent
 
-    def scaled(name: str) -> Column:
-        col = F.col(f"`{name}`")
+    def scaled(name: str) -> str:
         if name == "row_count" or name.endswith(COUNT_SUFFIXES):
-            return F.bround(col * F.lit(factor), 0).cast("bigint").alias(name)
-        return col
+            return f"cast(bround({_quoted(name)} * {factor!r}D, 0) as bigint) as {_quoted(name)}"
+        return _quoted(name)
 
-    return stats.select(*[scaled(c) for c in stats.columns])
+    return stats.selectExpr(*[scaled(c) for c in stats.columns])
 
 
 def to_metrics(stats: DataFrame, table_uri: str, ts: Column) -> DataFrame:
     """A one-row profile as metric points, one per statistic."""
-    number = [F.col(f"`{c}`").try_cast("double").alias(c) for c in stats.columns]
+    names = [_quoted(c) for c in stats.columns]
     return (
-        stats.select(*number)
-        .unpivot([], [F.col(f"`{c}`") for c in stats.columns], "metric_name", "metric_value")
+        stats.selectExpr(*[f"try_cast({c} as double) as {c}" for c in names])
+        .unpivot([], names, "metric_name", "metric_value")
         .select(
             F.concat(F.lit(table_uri + "/"), "metric_name").alias("uri"),
             ts.alias("ts"),
