@@ -53,7 +53,7 @@ def test_missing_kind_is_a_table_and_null_columns_are_empty(spark):
     assert [(e[0], e[1]) for e in events(D.diff_snapshots(old, new))] == [("t", "table_removed"), ("u", "column_added")]
 
 
-def reference_diff(old, new):
+def expected_diff(old, new):
     out = []
     for uri in old.keys() | new.keys():
         o, n = old.get(uri), new.get(uri)
@@ -86,7 +86,7 @@ def test_diff_brute_force(spark, seed):
     old, new = make(), make()
     frames = [snap(spark, *[(u, k, c) for u, (k, c) in side.items()]) for side in (old, new)]
     found = sorted((r.object_uri, r.change_type) for r in D.diff_snapshots(*frames).collect())
-    assert found == reference_diff(old, new)
+    assert found == expected_diff(old, new)
     assert D.diff_snapshots(frames[0], frames[0]).count() == 0
     flip = {"column_added": "column_removed", "column_removed": "column_added"}
     back = [(r.object_uri, r.change_type) for r in D.diff_snapshots(frames[1], frames[0]).collect() if r.change_type.startswith("column")]
