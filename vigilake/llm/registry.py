@@ -1,9 +1,13 @@
 """The queries of this package: name to (query, SQL counterpart or None)."""
 
+from vigilake.llm.chat_format import ROTATE_SQL, op6_chat_format
+from vigilake.llm.licence_scan import op5_licence_scan
 from vigilake.llm.quality_rules import op8_quality_rules
 from vigilake.llm.secret_scan import op3_secret_scan
 
 REGISTRY = {
     "op3_secret_scan": (op3_secret_scan, None),
+    "op5_licence_scan": (op5_licence_scan, None),
+    "op6_chat_format": (op6_chat_format, ROTATE_SQL),
     "op8_quality_rules": (op8_quality_rules, None),
 }
