@@ -52,4 +52,4 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column,
     """
     left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    return left.join(right.hint("merge"), [key, "_salt"], "left").drop("_salt")

@@ -125,7 +125,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
         F.sum(F.col("_live").cast("long")).alias("n_live"),
         F.sum(copied.cast("long")).alias("n_copied"),
     )
-    return found.join(by_row, "_row", "left").select(
+    return found.join(by_row.hint("merge"), "_row", "left").select(
         *rest, F.array_sort("_base").alias("base"),
         F.array_sort(F.concat("_base", F.coalesce("_added", F.slice("_base", 1, 0)))).alias("spans"),
         F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"), F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"),
