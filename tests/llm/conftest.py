@@ -5,7 +5,7 @@ import pytest
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 LONG = " ".join(f"w{i % 977}" for i in range(60000))
-ODD_TEXTS = [None, "", " \t\n", "one", LONG, "á ñ\x0b漢字 \r\n\n x", "same text here twice", "same text here twice", "a\x00b   c"]
+ODD_TEXTS = [None, "", " \t\n", "one", LONG, "á ñ\x0b漢字 \r\n\n x", "same text here twice", "same text here twice", "a\x00b \u2028 c"]
 
 
 @pytest.fixture

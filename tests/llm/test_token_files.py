@@ -30,7 +30,8 @@ def expected(library, rows):
 def test_word_by_word_equals_whole_texts(library, documents):
     texts = [*TRICKY, *[r.text for r in documents.limit(60).collect()]]
     for cached in (50, tf.CACHED):
-        found = tf.WordEncoder(VOCABULARY, cached).encode(texts)
+        words = tf.WordIds(VOCABULARY, cached)
+        found = [words.encode(t) for t in texts]
         assert [list(x) for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 

@@ -1,17 +1,23 @@
 """The queries of this package: name to (query, SQL counterpart or None)."""
 
 from vigilake.llm.chat_format import ROTATE_SQL, op6_chat_format
+from vigilake.llm.decontamination import op7_decontamination
 from vigilake.llm.licence_scan import op5_licence_scan
 from vigilake.llm.mixing import MIXING_SQL, op2_mixing
+from vigilake.llm.near_dedup import op10_near_dedup
 from vigilake.llm.quality_rules import op8_quality_rules
 from vigilake.llm.secret_scan import op3_secret_scan
 from vigilake.llm.token_files import op9_token_files
+from vigilake.llm.toxicity import op4_toxicity
 
 REGISTRY = {
     "op2_mixing": (op2_mixing, MIXING_SQL),
     "op3_secret_scan": (op3_secret_scan, None),
+    "op4_toxicity": (op4_toxicity, None),
     "op5_licence_scan": (op5_licence_scan, None),
     "op6_chat_format": (op6_chat_format, ROTATE_SQL),
+    "op7_decontamination": (op7_decontamination, None),
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_token_files": (op9_token_files, None),
+    "op10_near_dedup": (op10_near_dedup, None),
 }
