@@ -41,15 +41,15 @@ def up_to(count: Column) -> Column:
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder once and reads it from there; survives lost executors."""
     path = new_scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column, salts: int = 16) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], spread_by: Column, salts: int = 16) -> DataFrame:
     """Left join of many rows with one row per key; a hot key's rows go to ``salts`` tasks, chosen by ``spread_by``.
 
     ``right`` is repeated ``salts`` times, so it should be the small, aggregated side.
     """
     left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right.hint("merge"), [key, "_salt"], "left").drop("_salt")
+    return left.join(right.hint("merge"), [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")

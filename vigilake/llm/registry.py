@@ -7,10 +7,12 @@ from vigilake.llm.mixing import MIXING_SQL, op2_mixing
 from vigilake.llm.near_dedup import op10_near_dedup
 from vigilake.llm.quality_rules import op8_quality_rules
 from vigilake.llm.secret_scan import op3_secret_scan
+from vigilake.llm.suffix_dedup import op1_suffix_dedup
 from vigilake.llm.token_files import op9_token_files
 from vigilake.llm.toxicity import op4_toxicity
 
 REGISTRY = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_mixing": (op2_mixing, MIXING_SQL),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_toxicity": (op4_toxicity, None),
