@@ -17,6 +17,7 @@ Repeated rows are documents of their own. Extra columns are left out.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,11 +34,11 @@ from vigilake.session import new_scratch_path
 
 END_ID = 1
 #: Different words a worker remembers.
-CACHED = 300_000
-#: Characters of text that are cut into words at a time.
-CHUNK_CHARS = 1_500_000
-#: Letters of the Latin blocks, then closing punctuation.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+CACHED = 200_000
+#: Documents that are encoded at a time.
+ROWS = 256
+#: Latin letters, then closing punctuation.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Control characters that str.split takes for white space and the pre-tokenizer does not.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 ORC_OPTIONS = {
@@ -47,84 +48,75 @@ ORC_OPTIONS = {
 FILE_SCHEMA = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 
 
-class WordEncoder:
-    """Token ids of whole texts, word by word."""
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class WordIds(dict):
+    """Word to its ids as bytes; a missing word is encoded."""
 
     def __init__(self, vocabulary: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.cached = cached
-        self.words: dict[str, bytes] = {}
+        self.model, self.letters, self.cached = self.tokenizer.model, byte_letters(), cached
         self.stems: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(e.ids, dtype=self.kind).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.words]
-        if len(self.words) + len(missing) > self.cached:
-            self.words.clear()
-            missing = list(words)
-        cut, stems, whole = [], set(), []
-        for w in missing:
-            m = PLAIN.fullmatch(w)
-            if m:
-                stem, tail = m.groups()
-                stem = stem.lower() if stem.isascii() else stem
-                cut.append((w, stem, tail))
-                stems.add(stem)
-                if tail:
-                    stems.add(tail)
-            else:
-                whole.append(w)
-        new = [s for s in stems if s not in self.stems]
-        if len(self.stems) + len(new) > self.cached:
-            self.stems.clear()
-            new = list(stems)
-        self.stems.update(zip(new, self._encode(new), strict=True))
-        self.words.update(zip(whole, self._encode(whole), strict=True))
-        stems_of = self.stems
-        for w, stem, tail in cut:
-            self.words[w] = stems_of[stem] + stems_of[tail] if tail else stems_of[stem]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [[] if not t else re.split("[ \t\n\r]+", t) if NOT_SPACE.search(t) else t.split() for t in texts]
-        self._learn(set().union(*cut))
-        known = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(known, c)), dtype=self.kind) for c in cut]
-
-
-def chunks(texts: list[str | None], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``chars`` characters."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.cached:
+            self.clear()
+        m = PLAIN.fullmatch(word)
+        if m:
+            stem, tail = m.groups()
+            ids = self._stem(stem) + (self._stem(tail) if tail else b"")
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        self[word] = ids
+        return ids
+
+    def _stem(self, stem: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer: letters or punctuation, normalised by lower case alone."""
+        stem = stem.lower()
+        ids = self.stems.get(stem)
+        if ids is None:
+            if len(self.stems) >= self.cached:
+                self.stems.clear()
+            piece = stem.encode().decode("latin-1").translate(self.letters)
+            ids = self.stems[stem] = np.array([t.id for t in self.model.tokenize(piece)], dtype=self.kind).tobytes()
+        return ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, dtype=self.kind)
+        words = re.split("[ \t\n\r]+", text) if NOT_SPACE.search(text) else text.split()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype=self.kind)
+
+
+@functools.lru_cache(maxsize=2)
+def word_ids(vocabulary: str) -> WordIds:
+    """One per worker process, so that tasks share what it has learnt."""
+    return WordIds(vocabulary)
 
 
 def encoder_of(vocabulary: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                ids = encoder.encode(texts[a:b])
+        words, part, at = word_ids(vocabulary), TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(a, ROWS)
+                ids = [words.encode(t) for t in batch.column("text").to_pylist()]
                 sizes = np.array([len(x) + 1 for x in ids], dtype=np.int64)
                 ends = np.cumsum(sizes)
-                flat = np.empty(int(ends[-1]), dtype=np.int32)
+                flat = np.full(int(ends[-1]), end_id, dtype=np.int32)
                 for x, end in zip(ids, ends, strict=True):
                     flat[end - 1 - len(x) : end - 1] = x
-                    flat[end - 1] = end_id
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(np.full(b - a, part, dtype=np.int32)), pa.array(at + ends - sizes),
+                    [batch.column("doc_id"), pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(at + ends - sizes),
                      pa.array(sizes.astype(np.int32)), lists],
                     names=["doc_id", "part", "offset", "n_tokens", "ids"],
                 )
