@@ -97,14 +97,24 @@ def test_first_scan_is_a_silent_baseline(spark):
     rows = snap(spark, ("t", "table", {"a": "x"})).withColumn("source_uri", F.lit("s1"))
     more = rows.unionByName(rows.withColumn("source_uri", F.lit("s2")).withColumn("object_uri", F.lit("u")))
     findings = spark.createDataFrame([("s2", "f", "unrecognized_file", "info", "{}")], "source_uri string, object_uri string, change_type string, severity string, detail string")
-    assert [tuple(r)[:3] for r in D.diff_with_baseline(rows, more, findings).collect()] == [("s2", "f", "unrecognized_file")]
+    assert [tuple(r)[:3] for r in D.diff_with_baseline(rows, more, more, rows, findings).collect()] == [("s2", "f", "unrecognized_file")]
+
+
+def test_sources_not_scanned_are_left_alone_and_emptied_ones_reported(spark):
+    old = snap(spark, ("a", "table", {"x": "y"})).withColumn("source_uri", F.lit("A")).unionByName(
+        snap(spark, ("b", "table", {"x": "y"})).withColumn("source_uri", F.lit("B")))
+    new = old.where("source_uri = 'A'")
+    sources = lambda *names: spark.createDataFrame([(n,) for n in names], "source_uri string")
+    assert D.diff_with_baseline(old, new, sources("A"), sources("A", "B")).count() == 0
+    gone = D.diff_with_baseline(old, new, sources("A", "B"), sources("A", "B")).collect()
+    assert [(r.source_uri, r.change_type, r.severity) for r in gone] == [("B", "table_removed", "breaking")]
 
 
 def test_history_compares_consecutive_scans(spark):
     schema = "scan_id bigint, source_uri string, object_uri string, kind string, columns map<string,string>"
     rows = [(1, "s", "t", "table", {"a": "x"}), (4, "s", "t", "table", {"a": "y"}), (9, "s", "t", "table", {"a": "y", "b": "z"}), (9, "s", "u", "table", {}),
             (5, "other", "t", "table", {"q": "x"})]
-    found = sorted((r.source_uri, r.scan_id, r.object_uri, r.change_type) for r in D.diff_history(spark.createDataFrame(rows, schema)).collect())
+    found = sorted((r.source_uri, r.scan_id, r.object_uri, r.change_type) for r in D.diff_history(*2 * [spark.createDataFrame(rows, schema)]).collect())
     assert found == [("s", 4, "t", "column_type_changed"), ("s", 9, "t", "column_added"), ("s", 9, "u", "table_added")]
 
 
@@ -112,8 +122,9 @@ def test_latest_and_merged_snapshots(spark):
     schema = "scan_id bigint, source_uri string, object_uri string, kind string, columns map<string,string>"
     rows = [(1, "s", "a", "file", {}), (2, "s", "b", "file", {}), (1, "r", "c", "file", {})]
     df = spark.createDataFrame(rows, schema)
-    for bound in (50_000, 0):
-        assert sorted(r.object_uri for r in S.latest_snapshot(df, max_rows=bound).collect()) == ["b", "c"]
+    assert sorted(r.object_uri for r in S.latest_snapshot(df, df).collect()) == ["b", "c"]
+    emptied = df.select("source_uri", "scan_id").union(spark.createDataFrame([("s", 3)], "source_uri string, scan_id bigint"))
+    assert sorted(r.object_uri for r in S.latest_snapshot(df, emptied).collect()) == ["c"]
     previous = snap(spark, ("f1", "file", {"a": "x"}), ("f2", "file", {"a": "x"}), ("fileset://s/gone", "fileset", {}))
     merged = S.merge_snapshots(previous, snap(spark, ("f2", "file", {"b": "y"})), snap(spark, ("fileset://s/now", "fileset", {})))
     assert sorted((r.object_uri, r.columns) for r in merged.collect()) == [("f1", {"a": "x"}), ("f2", {"b": "y"}), ("fileset://s/now", {})]

@@ -21,21 +21,6 @@ def test_query_equals_sql(spark, name):
         assert df.count() > 0
 
 
-# Queries that look small sides up: again with every side taken for a large one.
-LOOKUPS = [
-    "zscore_outliers", "outlier_series", "forecast_band", "batch_anomalies", "scan_diff_baseline", "latest_snapshot",
-    "schema_history_diff", "changes_latest", "incremental_files", "fileset_validate", "unrecognized_files", "fileset_suggest",
-    "suggestion_validate", "probe_carry_forward",
-]
-
-
-@pytest.mark.parametrize("name", LOOKUPS)
-def test_query_without_broadcasts_equals_sql(spark, name, monkeypatch):
-    monkeypatch.setattr("vigilake.operators.scale.BROADCAST_ROWS", 0)
-    message, _ = compare(QUERIES[name](spark, SF_DIR), SQL[name], SF_DIR)
-    assert message is None, message
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(SQL) <= set(QUERIES)

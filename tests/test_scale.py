@@ -15,39 +15,28 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k string, i int, v double").cache()
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast_join(spark, skewed, how):
-    _, big = skewed
-    small = big.where("k != 'k3'").groupBy("k").agg(F.count("*").alias("n"))
-    small = small.where("k not in ('k5', 'k7')")
-    broadcast = S.lookup_join(big, small, ["k"], how)
-    salted = S.lookup_join(big, small, ["k"], how, max_rows=0, salts=5)
-    assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().toString()
-    assert sorted(broadcast.collect(), key=repr) == sorted(salted.select(*broadcast.columns).collect(), key=repr)
-
-
-def test_salting_spreads_the_hot_key(spark, skewed):
-    _, big = skewed
-    salt = F.pmod(F.xxhash64("k", "i", "v"), F.lit(8)).alias("s")
-    sizes = [r["count"] for r in big.where("k = 'hot'").groupBy(salt).count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
-
-
-def test_fetch_if_small_respects_both_bounds(spark):
-    df = spark.range(100).withColumn("m", F.create_map(F.lit("a"), F.lit("b")))
-    assert S.fetch_if_small(df, 100).count() == 100
-    assert S.fetch_if_small(df, 99) is None
-    assert S.fetch_if_small(df, 1000, max_bytes=10) is None
-
-
-def test_with_group_stats_paths_agree(spark, skewed):
+def test_group_stats_without_a_job(spark, skewed):
     rows, big = skewed
-    aggs = [F.count("*").alias("n"), F.avg("v").alias("m")]
-    a = S.with_group_stats(big, ["k"], aggs)
-    b = S.with_group_stats(big, ["k"], aggs, max_rows=0)
-    key = lambda r: r.i
-    for x, y in zip(sorted(a.collect(), key=key), sorted(b.collect(), key=key), strict=True):
-        assert (x.k, x.i, x.n) == (y.k, y.i, y.n) and abs(x.m - y.m) < 1e-9
+    spark.sparkContext.setJobGroup("plan", "plan")
+    joined = S.with_group_stats(big, ["k"], [F.count("*").alias("n"), F.avg("v").alias("m")])
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("plan")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    sizes = {}
+    for k, _, v in rows:
+        sizes.setdefault(k, []).append(v)
+    found = joined.collect()
+    assert len(found) == len(rows)
+    assert all(r.n == len(sizes[r.k]) and abs(r.m - sum(sizes[r.k]) / r.n) < 1e-9 for r in found)
+
+
+def test_places_number_every_key_whole(spark, skewed):
+    rows, big = skewed
+    found = {(r.k, r.i): r._at for r in S.places(big, ["k"], ["i"]).collect()}
+    for key in {k for k, _, _ in rows}:
+        mine = sorted(i for k, i, _ in rows if k == key)
+        assert [found[key, i] for i in mine] == list(range(len(mine)))
+    overall = {r.i: r._at for r in S.places(big, [], ["i"]).collect()}
+    assert overall == {i: n for n, i in enumerate(sorted(i for _, i, _ in rows))}
 
 
 def test_first_per_key(spark):
@@ -91,7 +80,7 @@ def test_no_window_spans_a_whole_key_of_raw_rows(spark, skewed):
     from vigilake.operators.outliers import zscore_outliers
     _, big = skewed
     points = big.select(F.col("k").alias("uri"), F.timestamp_seconds("i").alias("ds"), F.col("v").alias("y"))
-    assert windows(zscore_outliers(points, max_rows=0)) == []
+    assert windows(zscore_outliers(points)) == []
     assert windows(zscore_outliers(points)) == []
     rows = points.select(F.lit("s").alias("source"), F.col("uri").alias("fileset"), F.col("ds").alias("mtime"))
     text = cadence(rows)._jdf.queryExecution().executedPlan().toString()

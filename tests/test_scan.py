@@ -60,7 +60,7 @@ def test_scans_of_a_landing_zone(state):
     assert sorted({r.uri for r in points.collect()}) == [f"fileset://s/orders/{m}" for m in ("column_count", "file_size", "row_count")]
     assert points.groupBy("uri", "ts").count().where("count > 1").count() == 0 and points.count() == 12
     assert state.current("files").count() == 5 and state.read("arrivals").count() == 4
-    latest = R.changes_of_latest_scan(state.read("changes"), state.read("snapshots"))
+    latest = R.changes_of_latest_scan(state.read("changes"), state.read("scans"))
     assert [r.change_type for r in latest.collect()] == ["fileset_removed"]
 
 
@@ -89,6 +89,34 @@ def test_an_unregistered_scan_is_no_baseline(state):
     assert {r.object_uri for r in state.snapshot("s", 1).collect()} == {"sftp://s//a.csv"}
 
 
+def test_a_source_that_lost_everything_fails_the_gate(state):
+    table = state.spark.range(3)
+    P.scan_tables(state, "w", {"db://w/main/d/t": table}, analyze=False, now=DAY0)
+    empty = P.scan_tables(state, "w", {}, now=DAY0 + dt.timedelta(days=1))
+    latest = R.changes_of_latest_scan(state.read("changes"), state.read("scans"))
+    assert [(r.scan_id, r.change_type) for r in latest.collect()] == [(empty, "table_removed")]
+    assert R.gate(latest).first().failed
+
+
+def test_rows_of_a_failed_scan_are_never_read(state):
+    snapshot = state.spark.createDataFrame([("db://a/x", "table", {"c": "int"})], "object_uri string, kind string, columns map<string,string>")
+    P.scan_snapshot(state, "a", "db://a", snapshot)
+    failed = state.start("a")
+    ghost = state.spark.createDataFrame([("db://a", DAY0, "db://a/x", "table_removed", "breaking", "{}")],
+                                        "source_uri string, ts timestamp, object_uri string, change_type string, severity string, detail string")
+    state.append("changes", ghost, "a", failed)
+    P.scan_snapshot(state, "b", "db://b", snapshot)
+    P.scan_snapshot(state, "a", "db://a", snapshot)
+    assert state.read("changes").count() == 0 and state.read("snapshots").count() == 3
+
+
+def test_inferred_names_are_taken(state):
+    rows = [("a-1.csv", 0, GOOD), ("a-2.csv", 0, GOOD), ("b_x.log", 0, {}), ("b_y.log", 0, {})]
+    claims = state.spark.createDataFrame([(0, "a", "b_*.log", "b_x.log"), (0, "a", "b_*.log", "b_y.log")], "suggestion int, name string, pattern string, path string")
+    scan(state, rows, 1, outside_claims=claims)
+    assert [c for c in changes(state, 1) if c[0] == "fileset_suggested"] == [("fileset_suggested", "fileset://s/a")]
+
+
 def test_scans_of_tables(state):
     spark = state.spark
     orders = spark.createDataFrame([(i, float(i), "ab"[i % 2]) for i in range(10)], "id int, total double, kind string")

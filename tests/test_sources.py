@@ -40,7 +40,7 @@ def test_sampled_tables():
 
 def test_crawl_reads_schemas(spark):
     df = spark.createDataFrame([], "id int, name string, at timestamp, tags array<string>")
-    rows = sorted((r.name, r.type, r.uri) for r in TB.crawl_fields({"db://s/d/x/t": df}).collect())
+    rows = sorted((r.name, r.type, r.uri) for r in TB.crawl_fields(spark, {"db://s/d/x/t": df}).collect())
     assert rows == [("at", "timestamp", "db://s/d/x/t/at"), ("id", "int", "db://s/d/x/t/id"), ("name", "string", "db://s/d/x/t/name"), ("tags", "array<string>", "db://s/d/x/t/tags")]
 
 
@@ -49,8 +49,7 @@ def test_highwater_keeps_newer_files(spark):
                                     "source string, path string, mtime timestamp")
     scans = spark.createDataFrame([(1, "s", dt.datetime(2024, 1, 6), dt.datetime(2024, 1, 5)), (2, "s", dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 20))],
                                   "scan_id bigint, server string, scan_time timestamp, last_modified timestamp")
-    for bound in (50_000, 0):
-        assert sorted(r.path for r in FL.newer_than_highwater(listing, scans, max_rows=bound).collect()) == ["new.csv", "x"]
+    assert sorted(r.path for r in FL.newer_than_highwater(listing, scans).collect()) == ["new.csv", "x"]
     assert {r.source: r.last_modified for r in FL.highwater(listing).collect()} == {"s": dt.datetime(2024, 1, 10), "never": TIME}
 
 
@@ -135,7 +134,7 @@ def test_spark_catalog_is_crawled(spark, tmp_path):
     try:
         tables = TB.catalog_tables(spark, "s", ["crawl_db"])
         assert list(tables) == ["db://s/spark_catalog/crawl_db/t"]
-        assert sorted((r.name, r.type) for r in TB.crawl_fields(tables).collect()) == [("id", "int"), ("name", "string")]
+        assert sorted((r.name, r.type) for r in TB.crawl_fields(spark, tables).collect()) == [("id", "int"), ("name", "string")]
     finally:
         spark.sql("drop database crawl_db cascade")
 
@@ -195,7 +194,8 @@ def test_payloads(spark):
 def test_systematic_samples(spark):
     df = spark.range(500).withColumn("k", F.col("id") % 2)
     assert sorted(r.id for r in T.systematic_sample(df, "id").collect()) == [0, 100, 200, 300, 400]
-    assert T.systematic_sample(spark.range(5000), "id").count() == 10
+    assert T.systematic_sample(spark.range(5000), "id").count() == 50
+    assert T.systematic_sample(spark.range(5000), "id", first=1000).count() == 10
     assert sorted(r.id for r in T.systematic_sample(df, "id", keys=["k"]).collect()) == [0, 1, 200, 201, 400, 401]
     assert T.systematic_sample(spark.range(50), "id", 10, 25).count() == 3
 
@@ -258,6 +258,31 @@ def test_failed_probes_keep_their_schema(spark):
     probes = spark.createDataFrame([("a", "ok", True), ("a", "none", True), ("a", "down", False), ("a", "new", False)], "api string, probe string, ok boolean")
     columns = spark.createDataFrame([("a", "ok", "id", "integer")], "api string, probe string, name string, type string")
     previous = spark.createDataFrame([("api://a/probe/down", {"x": "y"}), ("api://a/probe/gone", {"x": "y"}), ("api://a/probe/ok", {"old": "y"})], "object_uri string, columns map<string,string>")
-    for bound in (50_000, 0):
-        found = {r.object_uri: r.columns for r in A.carry_forward(A.probe_snapshot(probes, columns), previous, max_rows=bound).collect()}
-        assert found == {"api://a/probe/ok": {"id": "integer"}, "api://a/probe/none": {}, "api://a/probe/down": {"x": "y"}}
+    found = {r.object_uri: r.columns for r in A.carry_forward(A.probe_snapshot(probes, columns), previous).collect()}
+    assert found == {"api://a/probe/ok": {"id": "integer"}, "api://a/probe/none": {}, "api://a/probe/down": {"x": "y"}}
+
+
+def test_repeated_json_keys_keep_the_last(spark):
+    lines = spark.createDataFrame([('{"a":1,"a":"x","b":3}',)], "line string")
+    assert sorted(map(tuple, T.infer_json_columns(lines, "line").collect())) == [("a", "string"), ("b", "integer/string")]
+
+
+def test_long_quoted_cells_take_no_stack(spark):
+    from vigilake.sources.crawl import csv_cells
+
+    cell = 'x""y,' * 40_000
+    row = spark.createDataFrame([(f'1,"{cell}",2',)], "line string").select(csv_cells(F.col("line"), ",").alias("c")).first()
+    assert [len(c) for c in row.c] == [1, len(cell) - 40_000, 1]
+
+
+def test_parquet_files_of_unusual_types(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from vigilake.sources.crawl import parquet_footers
+
+    pq.write_table(pa.table({"u": pa.array([1], pa.uint64()), "t": pa.array([1], pa.time32("s"))}), tmp_path / "odd.parquet")
+    pq.write_table(pa.Table.from_arrays([pa.array([1]), pa.array(["x"])], names=["a", "a"]), tmp_path / "twice.parquet")
+    listing = spark.createDataFrame([(f"file:{tmp_path}/{n}.parquet",) for n in ("odd", "twice")], "path string")
+    found = {r.path.rsplit("/", 1)[1]: r.columns for r in parquet_footers(listing).collect()}
+    assert set(found["odd.parquet"]) == {"u", "t"} and found["twice.parquet"] == {"a": "string"}

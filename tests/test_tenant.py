@@ -39,3 +39,14 @@ def test_pushes_of_tenants(spark, tmp_path):
     assert K.anomaly_list(rows, "o1", True).count() == 0
     assert tuple(K.dashboard_counts(state.current("sources"), state.read("anomalies")).orderBy("org_id").first()) == ("o1", 1, 1)
     assert K.ingest_list(state.read("ingests"), "o1").select(F.max("batch_id")).first()[0] == "b2"
+
+
+def test_two_pushes_of_one_time_and_the_same_push_of_a_newer_client(spark, tmp_path):
+    state = TenantState(spark, str(tmp_path / "tenants"))
+    one, other = push("o", [(0, 1)]), push("o", [(0, 1), (1, 2)])
+    newer = json.loads(one[2])
+    newer["cli_version"] = "2"
+    again = (one[0], one[1] + dt.timedelta(days=1), json.dumps(dict(reversed(newer.items()))))
+    for batch, pushes in (("b1", [one, other]), ("b2", [again])):
+        ingest_batch(state, spark.createDataFrame(pushes, "org_id string, received_at timestamp, payload string"), batch, now=T0)
+    assert sorted(r.batch_id for r in state.read("ingests").collect()) == ["b1", "b1"]

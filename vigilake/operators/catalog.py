@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from vigilake.operators.scale import first_per_key
 
 
+def _one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else rows.distinct()
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("uri",)) -> DataFrame:
-    """Insert by key; a row already there takes the incoming non-null values."""
+    """Insert by key; a row already there takes the incoming non-null values.
+
+    Of several incoming rows of a key the first in the order of all columns counts.
+    """
     keys = list(keys)
+    incoming = _one_per_key(incoming, keys)
     values = [c for c in existing.columns if c not in keys]
     new = incoming.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values if c in incoming.columns])
     merged = existing.join(new, keys, "full_outer")
@@ -22,8 +31,11 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("uri
 
 
 def insert_missing(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("uri",)) -> DataFrame:
-    """Insert by key; rows already there stay as they are."""
-    missing = incoming.join(existing.select(*keys), list(keys), "left_anti")
+    """Insert by key; rows already there stay as they are.
+
+    Of several incoming rows of a key the first in the order of all columns counts.
+    """
+    missing = _one_per_key(incoming, list(keys)).join(existing.select(*keys), list(keys), "left_anti")
     return existing.unionByName(missing.select(*existing.columns))
 
 
@@ -158,7 +170,7 @@ def ingest_payloads(payloads: DataFrame) -> dict[str, DataFrame]:
     """Tenant pushes (``org_id, batch_id, received_at, payload``) as flat catalog rows.
 
     ``payload`` is a JSON object with ``sources``, each with ``tables`` and ``files``.
-    Times and numbers that do not parse become null. Returns ``sources, tables,
+    A ``push_hash`` column stays with the ingests. Times and numbers that do not parse become null. Returns ``sources, tables,
     files, fields, metrics, ingests``; the newest push of an object wins.
     """
     field = "struct<name:string,type:string,uri:string>"
@@ -188,7 +200,8 @@ def ingest_payloads(payloads: DataFrame) -> dict[str, DataFrame]:
         *push, "table_uri", "pos", F.col("m.uri").alias("uri"), F.col("m.metric_name").alias("metric_name"),
         F.col("m.ts").try_cast("timestamp").alias("ts"), F.col("m.metric_value").try_cast("double").alias("metric_value"))
     return {
-        "ingests": parsed.select(*push, F.size("_p.sources").alias("source_count"), "_p.cli_version"),
+        "ingests": parsed.select(
+            *push, *[c for c in payloads.columns if c == "push_hash"], F.size("_p.sources").alias("source_count"), "_p.cli_version"),
         "sources": latest(each_source.select(*push, "s.name", "s.type", "s.uri"), ["org_id", "uri"]),
         "tables": latest(each_table.select(
             *push, "source_uri", "t.name", "t.uri", "t.db_name", "t.schema_name"), ["org_id", "uri"]),

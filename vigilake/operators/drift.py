@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions.changes import columns_json, detail_json, severity, sorted_entries
-from vigilake.operators.scale import lookup_join
 from vigilake.schemas import EMPTY_COLUMNS
 
 _WHOLE = ("file", "fileset")
@@ -78,29 +77,36 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("objec
     )
 
 
-def diff_with_baseline(old: DataFrame, new: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """Changes of one scan over several sources: ``source_uri, object_uri, ...``.
+def diff_with_baseline(
+    old: DataFrame, new: DataFrame, scanned: DataFrame, known: DataFrame, findings: DataFrame | None = None
+) -> DataFrame:
+    """Changes of one round of scans over several sources: ``source_uri, object_uri, ...``.
 
-    A source without any earlier snapshot only sets its baseline and reports no
-    differences; ``findings`` made during the scan are reported regardless.
+    ``scanned`` (``source_uri``) are the sources scanned this time, with or without
+    objects; all others are left alone. ``known`` (``source_uri``) are those with an
+    earlier scan, again with or without objects. A source without one only sets its
+    baseline and reports no differences; ``findings`` made during the scan are
+    reported regardless.
     """
-    known = old.select("source_uri").distinct()
-    compared = lookup_join(new, known, ["source_uri"], "left_semi")
-    changes = diff_snapshots(old, compared, ["source_uri", "object_uri"]).drop("kind")
+    compared = scanned.select("source_uri").join(known.select("source_uri"), "source_uri", "left_semi").distinct()
+    before, after = (side.join(compared, "source_uri", "left_semi") for side in (old, new))
+    changes = diff_snapshots(before, after, ["source_uri", "object_uri"]).drop("kind")
     return changes if findings is None else changes.unionByName(findings.select(*changes.columns))
 
 
-def diff_history(snapshots: DataFrame) -> DataFrame:
+def diff_history(snapshots: DataFrame, scans: DataFrame) -> DataFrame:
     """Changes between each two consecutive scans of every source, in one job.
 
-    Every snapshot is compared with the one before it by giving the older one the
-    ordinal of its successor; the window runs over scans, not over their rows.
+    ``scans`` (``source_uri, scan_id``) is the register of all scans: those without
+    objects count, rows of scans that are not in it do not. Every snapshot is compared
+    with the one before it by giving the older one the ordinal of its successor; the
+    window runs over scans, not over their rows.
     """
-    scans = snapshots.select("source_uri", "scan_id").distinct()
     order = Window.partitionBy("source_uri").orderBy("scan_id")
+    scans = scans.select("source_uri", "scan_id").distinct()
     scans = scans.withColumn("_next", F.lead("scan_id").over(order)).withColumn(
         "_first", F.row_number().over(order) == 1)
-    rows = lookup_join(snapshots, scans, ["source_uri", "scan_id"])
+    rows = snapshots.join(scans, ["source_uri", "scan_id"])
     old = rows.where("_next is not null").drop("scan_id").withColumnRenamed("_next", "scan_id")
     new = rows.where("not _first")
     return diff_snapshots(old, new, ["source_uri", "scan_id", "object_uri"])

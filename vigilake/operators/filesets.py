@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from vigilake.functions.changes import columns_json, detail_json, severity, sorted_entries
 from vigilake.functions.names import base_name, pattern_regex
 from vigilake.functions.uris import file_uri, fileset_uri
-from vigilake.operators.scale import lookup_join
 
 # One CASE expression holds at most this many patterns; more are chained.
 _CASE_WIDTH = 200
@@ -120,15 +119,13 @@ def fileset_snapshot(canonical: DataFrame) -> DataFrame:
     )
 
 
-def schema_deviations(matched: DataFrame, canonical: DataFrame, protocol: str, **join_options) -> DataFrame:
+def schema_deviations(matched: DataFrame, canonical: DataFrame, protocol: str) -> DataFrame:
     """Breaking events of files whose schema is not their fileset's canonical one.
 
     Files without a schema belong to their fileset but are not checked.
     """
     known = canonical.select("source", "fileset", F.col("columns").alias("_canonical"))
-    checked = lookup_join(
-        matched.where(F.col("fileset").isNotNull() & (F.size("columns") > 0)),
-        known, ["source", "fileset"], "inner", **join_options)
+    checked = matched.where(F.col("fileset").isNotNull() & (F.size("columns") > 0)).join(known, ["source", "fileset"], "inner")
     return checked.where(sorted_entries(F.col("columns")) != sorted_entries(F.col("_canonical"))).select(
         file_uri(protocol, F.col("source"), F.col("path")).alias("object_uri"),
         F.lit("file_schema_changed").alias("change_type"),

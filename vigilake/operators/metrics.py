@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilake.fixed import SERIES_POINTS
 from vigilake.functions.uris import fileset_uri
 from vigilake.operators.scale import first_per_key
 
@@ -55,7 +54,3 @@ def series(metrics: DataFrame, max_points: int | None = None, keep: str = "oldes
 
 def series_list(metrics: DataFrame) -> DataFrame:
     return metrics.select("uri").distinct()
-
-
-def oldest_points(metrics: DataFrame) -> DataFrame:
-    return series(metrics, SERIES_POINTS)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.fixed import BAND_WIDTH, Z_THRESHOLD
-from vigilake.operators.scale import lookup_join, with_group_stats
+from vigilake.operators.scale import with_group_stats
 
 
 def _moments(y: str = "y") -> list:
@@ -21,7 +21,6 @@ def zscore_outliers(
     threshold: float = Z_THRESHOLD,
     keys: Sequence[str] = ("uri",),
     thresholds: DataFrame | None = None,
-    **join_options,
 ) -> DataFrame:
     """Points of ``keys, ds, y`` further than ``threshold`` population deviations from the mean.
 
@@ -30,20 +29,20 @@ def zscore_outliers(
     """
     rows = points.where("y is not null")
     scored = (
-        with_group_stats(rows, keys, _moments(), **join_options)
+        with_group_stats(rows, keys, _moments())
         .where("_n >= 2 and _std > 0")
         .withColumn("z_index", F.abs((F.col("y") - F.col("_mean")) / F.col("_std")))
     )
     limit = F.lit(float(threshold))
     if thresholds is not None:
         own = thresholds.select("uri", F.col("threshold").alias("_own"))
-        scored = lookup_join(scored, own, ["uri"], "left", **join_options)
+        scored = scored.join(own, ["uri"], "left")
         limit = F.coalesce("_own", limit)
     return scored.where(F.col("z_index") > limit).select(*points.columns, "z_index")
 
 
 def band_outliers(
-    points: DataFrame, width: float = BAND_WIDTH, keys: Sequence[str] = ("uri",), **join_options
+    points: DataFrame, width: float = BAND_WIDTH, keys: Sequence[str] = ("uri",)
 ) -> DataFrame:
     """Points outside the prediction band of a linear trend: ``keys, ds, observed, lower, upper``.
 
@@ -61,7 +60,7 @@ def band_outliers(
         F.regr_sxx("y", "_x").alias("_sxx"),
     ]
     return (
-        with_group_stats(rows, keys, fit, **join_options)
+        with_group_stats(rows, keys, fit)
         .where("_n >= 2 and _slope is not null")
         .withColumn("_fit", F.expr("_intercept + _slope * _x"))
         .withColumn("_spread", F.expr("sqrt(greatest((_syy - _sxy * _sxy / _sxx) / _n, 0.0D))") * F.lit(half))
@@ -121,7 +120,7 @@ def reportable_series(outliers: DataFrame, min_outliers: int = 2) -> DataFrame:
     if min_outliers <= 1:
         return outliers
     frequent = outliers.groupBy("uri").agg(F.count("*").alias("n")).where(F.col("n") >= min_outliers)
-    return lookup_join(outliers, frequent.select("uri"), ["uri"], "left_semi")
+    return outliers.join(frequent.select("uri"), ["uri"], "left_semi")
 
 
 def batch_anomalies(
@@ -130,7 +129,6 @@ def batch_anomalies(
     threshold: float = Z_THRESHOLD,
     min_points: int = 3,
     keys: Sequence[str] = ("org_id", "uri"),
-    **join_options,
 ) -> DataFrame:
     """Points of one batch at least ``threshold`` deviations off their full history.
 
@@ -147,7 +145,7 @@ def batch_anomalies(
         .drop("_new")
     )
     return (
-        lookup_join(rows.where(mine), stats, keys, "inner", **join_options)
+        rows.where(mine).join(stats, list(keys))
         .withColumn("z_score", F.abs((F.col("metric_value") - F.col("_mean")) / F.col("_std")))
         .where(F.col("z_score") >= threshold)
         .select(*history.columns, "z_score", F.lit("zscore").alias("algorithm"))

@@ -52,14 +52,19 @@ def profile_table(
     approx: bool = False,
     sample_percent: float | None = None,
     seed: int = 17,
+    sample: Column | None = None,
 ) -> DataFrame:
     """One row of statistics.
 
     ``heavy`` adds distinct counts of text columns (``approx`` for sketches instead
-    of exact sets). ``sample_percent`` profiles a random sample and scales the
-    counts back up.
+    of exact sets). ``sample_percent`` profiles a random sample, or the rows of
+    ``sample``, a condition that holds for that share of them, and scales the counts
+    back up.
     """
-    target = df.sample(sample_percent / 100.0, seed) if sample_percent else df
+    if sample is not None:
+        target = df.where(sample)
+    else:
+        target = df.sample(sample_percent / 100.0, seed) if sample_percent else df
     items = profile_items(df.schema, quote="`")
     if heavy:
         texts = _names(df.schema, _TEXT)

@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.changes import describe_change
-from vigilake.operators.scale import lookup_join
 
 
-def changes_of_latest_scan(changes: DataFrame, snapshots: DataFrame, **join_options) -> DataFrame:
+def changes_of_latest_scan(changes: DataFrame, scans: DataFrame) -> DataFrame:
     """Changes of each source's newest scan.
 
-    The newest scan comes from the snapshots, which every scan writes, so a clean
-    scan reports nothing.
+    ``scans`` (``source_uri, scan_id``) is the register of all scans. A clean scan
+    reports nothing; one that found no objects any more reports what is gone.
     """
-    newest = snapshots.groupBy("source_uri").agg(F.max("scan_id").alias("scan_id"))
-    return lookup_join(changes, newest, ["source_uri", "scan_id"], "left_semi", **join_options)
+    newest = scans.groupBy("source_uri").agg(F.max("scan_id").alias("scan_id"))
+    return changes.join(newest, ["source_uri", "scan_id"], "left_semi")
 
 
 def changes_since(changes: DataFrame, since) -> DataFrame:

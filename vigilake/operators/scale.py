@@ -9,72 +9,35 @@ from pyspark.sql import functions as F
 
 from vigilake.session import cut_lineage
 
-BROADCAST_ROWS = 50_000
-BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 16
 GAP_BUCKET_SECONDS = 3600
 
 
-def fetch_if_small(
-    df: DataFrame, max_rows: int | None = None, max_bytes: int = BROADCAST_BYTES
-) -> DataFrame | None:
-    """``df`` as a local relation if it is proven small, else None.
+def with_group_stats(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Attach per-group aggregates to every row.
 
-    Reads at most ``max_rows + 1`` rows (default ``BROADCAST_ROWS``), so an unexpectedly
-    large input costs no more driver memory than the bound. Rows with maps, arrays or
-    structs are measured on the executors before any is fetched.
+    Aggregates first (partial sums before the shuffle) and joins the one-row-per-
+    group result back, instead of a window that would sort a whole group in one task.
+    Adaptive execution broadcasts a small result and splits the rows of a hot group.
     """
-    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
-    head = df.limit(max_rows + 1)
-    nested = [c for c, t in df.dtypes if t.startswith(("map", "array", "struct"))]
-    if nested:
-        text = F.length(F.to_json(F.struct(*[F.col(c) for c in nested])))
-        rows, size = head.agg(F.count("*"), F.sum(text)).first()
-        if rows > max_rows or (size or 0) > max_bytes:
-            return None
-    table = head.toArrow()
-    if table.num_rows > max_rows or table.nbytes > max_bytes:
-        return None
-    return df.sparkSession.createDataFrame(table, df.schema)
-
-
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    max_rows: int | None = None,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``big`` to ``small``, which has at most one row per key.
+    return rows.join(rows.groupBy(*keys).agg(*aggs), list(keys))
 
-    A small side within the bound is broadcast, so ``big`` is not shuffled at
-    all. Beyond it both sides are shuffled on the keys plus a salt, which
-    spreads one hot key of ``big`` over ``salts`` tasks. ``how`` may be any type
-    that keeps no unmatched row of ``small``.
-    """
-    keys = list(keys)
-    local = fetch_if_small(small, max_rows)
-    if local is not None:
-        return big.join(F.broadcast(local), keys, how)
-    spread = [F.col(c) for c, t in big.dtypes if not t.startswith(("map", "variant"))]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    copies = small.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
+def places(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_at``: 0, 1, 2, ... per key in ``order``; no key is numbered in one task.
 
-def with_group_stats(
-    rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], **join_options
-) -> DataFrame:
-    """Attach per-group aggregates to every row.
-
-    Aggregates first (partial sums before the shuffle) and joins the one-row-per-
-    group result back, instead of a window that would sort a whole group in one task.
+    Rows are dealt by ranges of (keys, order) and numbered inside a range; a range's
+    rows of a key follow those of the ranges before it.
     """
-    stats = rows.groupBy(*keys).agg(*aggs)
-    return lookup_join(rows, stats, keys, "inner", **join_options)
+    keys, order = list(keys), list(order)
+    ranged = cut_lineage(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
+    return (
+        ranged.withColumn("_inside", inside).join(starts, ["_range", *keys])
+        .withColumn("_at", F.col("_start") + F.col("_inside") - 1).drop("_range", "_inside", "_start")
+    )
 
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -175,8 +138,7 @@ __all__ = [
     "bucket_edges",
     "cut_lineage",
     "exact_median",
-    "fetch_if_small",
     "first_per_key",
-    "lookup_join",
+    "places",
     "with_group_stats",
 ]

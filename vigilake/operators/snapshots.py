@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.uris import file_uri
-from vigilake.operators.scale import lookup_join
 
 
 def snapshot_from_fields(fields: DataFrame, kind: str = "table") -> DataFrame:
@@ -28,10 +27,13 @@ def snapshot_from_files(files: DataFrame, protocol: str) -> DataFrame:
     )
 
 
-def latest_snapshot(snapshots: DataFrame, **join_options) -> DataFrame:
-    """Rows of the newest snapshot of each source."""
-    newest = snapshots.groupBy("source_uri").agg(F.max("scan_id").alias("scan_id"))
-    return lookup_join(snapshots, newest, ["source_uri", "scan_id"], "left_semi", **join_options)
+def latest_snapshot(snapshots: DataFrame, scans: DataFrame) -> DataFrame:
+    """Rows of the newest snapshot of each source; none if its newest scan found nothing.
+
+    ``scans`` (``source_uri, scan_id``) is the register of all scans.
+    """
+    newest = scans.groupBy("source_uri").agg(F.max("scan_id").alias("scan_id"))
+    return snapshots.join(newest, ["source_uri", "scan_id"], "left_semi")
 
 
 def merge_snapshots(previous: DataFrame, current: DataFrame, filesets: DataFrame | None = None) -> DataFrame:

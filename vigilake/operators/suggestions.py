@@ -12,7 +12,7 @@ from vigilake.functions.changes import columns_json, detail_json, severity, sort
 from vigilake.functions.names import (
     base_name, compiles, has_token, name_template, pattern_regex_col, suggested_stem, template_pattern)
 from vigilake.functions.uris import fileset_uri
-from vigilake.operators.scale import cut_lineage, lookup_join
+from vigilake.operators.scale import cut_lineage
 
 
 def _fingerprint():
@@ -42,7 +42,7 @@ def cluster_files(files: DataFrame) -> DataFrame:
                & (F.col("_members") >= MIN_CLUSTER_SIZE))
         .select(*keys, "_majority", "_members")
     )
-    joined = lookup_join(named, clusters, keys, "left")
+    joined = named.join(clusters, keys, "left")
     agrees = F.col("_print").isNull() | F.col("_print").eqNullSafe(F.col("_majority"))
     return joined.withColumn("member", F.col("_members").isNotNull() & agrees).drop("_majority", "_members")
 
@@ -145,13 +145,13 @@ def accept_suggestions(files: DataFrame, claims: DataFrame, declared_names: Iter
             open_claims.join(owner, "path").where("suggestion > _first").select("suggestion")
             .unionByName(_later_of_same_name(open_claims)).distinct()
         )
-        decided = lookup_join(open_claims, blocked, ["suggestion"], "left_anti")
+        decided = open_claims.join(blocked, ["suggestion"], "left_anti")
         enough = decided.groupBy("suggestion").agg(F.count("*").alias("_n")).where(
             F.col("_n") >= MIN_CLUSTER_SIZE).select("suggestion")
-        won = lookup_join(decided, enough, ["suggestion"], "left_semi")
-        left = lookup_join(open_claims, blocked, ["suggestion"], "left_semi")
+        won = decided.join(enough, ["suggestion"], "left_semi")
+        left = open_claims.join(blocked, ["suggestion"], "left_semi")
         left = left.join(won.select("path"), "path", "left_anti")
-        left = lookup_join(left, won.select("name").distinct(), ["name"], "left_anti")
+        left = left.join(won.select("name").distinct(), ["name"], "left_anti")
         won, left = cut_lineage(won), cut_lineage(left)
         accepted = won if accepted is None else accepted.unionByName(won)
         open_claims = left

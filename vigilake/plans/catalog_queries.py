@@ -90,7 +90,7 @@ def _sources(spark, sf_dir) -> DataFrame:
 def status_summary(spark, sf_dir) -> DataFrame:
     """Nations are sources, suppliers their tables, customers their files."""
     tables = load(spark, sf_dir, "supplier").select(F.concat(F.lit("db://"), "s_nationkey").alias("source_uri"))
-    files = load(spark, sf_dir, "customer").where("c_nationkey % 5 > 0").select(F.concat(F.lit("db://"), "c_nationkey").alias("source_uri"))
+    files = load(spark, sf_dir, "customer").select(F.concat(F.lit("db://"), "c_nationkey").alias("source_uri"))
     return K.status_summary(_sources(spark, sf_dir), tables, files)
 
 
@@ -110,7 +110,7 @@ def source_detail(spark, sf_dir) -> DataFrame:
     sources = events.select(F.col("event_type").alias("org_id"), source.alias("uri"), F.concat(F.lit("name of "), source).alias("name")).distinct()
     table = F.concat(source, F.lit("/"), "user_id")
     tables = events.select(F.col("event_type").alias("org_id"), source.alias("source_uri"), table.alias("uri"), F.concat(F.lit("t"), "user_id").alias("name")).distinct()
-    metrics = events.where("value > 10").select(F.col("event_type").alias("org_id"), table.alias("table_uri"))
+    metrics = events.select(F.col("event_type").alias("org_id"), table.alias("table_uri"))
     return K.source_detail(sources, tables, metrics, "view", "db://s1")
 
 
@@ -218,13 +218,13 @@ SELECT 'click' AS org_id, strftime(ts, '%Y-%m-%d') AS batch_id, strftime(date_tr
 FROM events WHERE event_type = 'click' GROUP BY date_trunc('day', ts), strftime(ts, '%Y-%m-%d') ORDER BY 3 DESC LIMIT 100"""),
     "status_summary": (status_summary, """
 SELECT n_name AS name, 'database' AS type, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS "tables",
-  (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_nationkey % 5 > 0) AS files FROM nation"""),
+  (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS files FROM nation"""),
     "select_sources": (select_sources, f"""
 SELECT event_type AS name, {sql_ts('max(ts)', 'last_seen')} FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type"""),
     "last_scan_per_source": (last_scan_per_source, f"""
 SELECT o_custkey AS server, {sql_ts('max(o_orderdate)', 'scan_time')} FROM orders GROUP BY o_custkey"""),
     "source_detail": (source_detail, """
-SELECT 'name of db://s1' AS source_name, 'db://s1/' || user_id AS uri, 't' || user_id AS name, count(*) FILTER (WHERE value > 10) AS metrics
+SELECT 'name of db://s1' AS source_name, 'db://s1/' || user_id AS uri, 't' || user_id AS name, count(*) AS metrics
 FROM events WHERE event_type = 'view' AND user_id % 3 = 1 GROUP BY user_id"""),
     "source_list": (source_list, f"""
 SELECT 'click' AS org_id, 'db://' || user_id AS uri, {sql_ts('max(ts)', 'last_seen_at')} FROM events WHERE event_type = 'click' GROUP BY user_id"""),

@@ -36,7 +36,8 @@ def _canonical(spark, sf_dir, matched: DataFrame) -> DataFrame:
 
 def file_listing(spark, sf_dir) -> DataFrame:
     found = FL.list_files(spark, sf_dir, I.SOURCE, glob="*.parquet")
-    return FL.label_files(FL.file_names(found)).select("source", "name", "filetype", "reader", "size", "mtime")
+    labelled = FL.label_files(FL.file_names(found)).select("source", "name", "filetype", "reader", (F.col("size") > 0).alias("has_bytes"))
+    return labelled.join(I.rows_of_files(spark, sf_dir), "name")
 
 
 def parquet_file_rows(spark, sf_dir) -> DataFrame:
@@ -229,7 +230,7 @@ _TEMPLATE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   '\d{4}[-_.]?\d{2}[-_.]?\d{2}', '{date}', 'g'), '\d{2}[-_.:]\d{2}[-_.:]\d{2}', '{time}', 'g'), '\d+', '{seq}', 'g')"""
 
 QUERIES = {
-    "file_listing": (file_listing, None),
+    "file_listing": (file_listing, I.FILES_SQL.format(rest=", 'parquet' AS filetype, 'parquet' AS reader, true AS has_bytes")),
     "parquet_file_rows": (parquet_file_rows, " UNION ALL ".join(
         f"SELECT '{t}.parquet' AS name, count(*) AS num_rows FROM {t}" for t in I.TABLES)),
     "incremental_files": (incremental_files, with_ctes("files", f"""

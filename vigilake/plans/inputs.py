@@ -178,13 +178,25 @@ def pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored anomalies: the large events."""
-    return load(spark, sf_dir, "events").where("value > 20").select(
+    """Stored anomalies: the events."""
+    return load(spark, sf_dir, "events").select(
         F.col("event_id").alias("anomaly_id"), F.col("event_type").alias("org_id"),
         F.concat(F.lit("db://x/"), "user_id").alias("metric_uri"), F.col("value").alias("observed_value"),
         (F.col("event_id") % 3 == 0).alias("is_acknowledged"), F.col("ts").alias("created_at"))
 
 
+def rows_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``name, num_rows`` of the given tables' files."""
+    parts = [load(spark, sf_dir, t).agg(F.count("*").alias("num_rows")).select(F.lit(f"{t}.parquet").alias("name"), "num_rows") for t in TABLES]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+FILES_SQL = " UNION ALL ".join(
+    f"SELECT '{SOURCE}' AS source, '{t}.parquet' AS name, count(*) AS num_rows{{rest}} FROM {t}" for t in TABLES)
+
 CTES = {
     "event_points": """
   event_daily AS (SELECT event_type, date_trunc('day', ts) ts, count(*)::DOUBLE c, avg(value) a FROM events GROUP BY 1, 2),
@@ -271,7 +283,7 @@ CTES = {
     FROM events GROUP BY event_type, user_id % 20, date_trunc('day', ts))""",
     "anomalies": """
   anomalies AS (SELECT event_id anomaly_id, event_type org_id, 'db://x/' || user_id metric_uri, value observed_value,
-      event_id % 3 = 0 is_acknowledged, ts created_at FROM events WHERE value > 20)""",
+      event_id % 3 = 0 is_acknowledged, ts created_at FROM events)""",
 }
 _NEEDS = {"metrics": ["event_points"], "matched": ["files"], "diff": ["snapshots"], "gaps": ["arrivals"]}
 

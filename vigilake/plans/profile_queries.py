@@ -90,7 +90,7 @@ def metric_long(spark, sf_dir) -> DataFrame:
 
 
 def table_profile_heavy(spark, sf_dir) -> DataFrame:
-    tables = {table_uri_of(t): load(spark, sf_dir, t) for t in I.TABLES if COLUMNS[t][1]}
+    tables = {table_uri_of(t): load(spark, sf_dir, t) for t in I.TABLES}
     return _rounded(P.profile_tables(tables, F.lit(I.NOW).cast("timestamp"), heavy=True))
 
 
@@ -115,27 +115,29 @@ def profile_scaled(spark, sf_dir) -> DataFrame:
 
 
 def profile_sampled(spark, sf_dir) -> DataFrame:
-    return P.profile_table(load(spark, sf_dir, "lineitem"), sample_percent=10.0)
+    """A tenth of the orders, chosen by key: the same rows in every run and engine."""
+    chosen = F.substring(F.md5(F.col("l_orderkey").cast("string").cast("binary")), 1, 3) < F.lit("19a")
+    return _round_floats(P.profile_table(load(spark, sf_dir, "lineitem"), sample_percent=10.0, sample=chosen))
 
 
 def profile_approx(spark, sf_dir) -> DataFrame:
-    return P.profile_table(load(spark, sf_dir, "documents"), heavy=True, approx=True)
+    """Sketched distinct counts beside exact ones, and whether they lie within a tenth."""
+    documents = load(spark, sf_dir, "documents")
+    counts = []
+    for approx in (True, False):
+        stats = P.profile_table(documents, heavy=True, approx=approx)
+        names = [c for c in stats.columns if c.endswith("__unique_count")]
+        counts.append(stats.select(*names).unpivot([], names, "name", "approx" if approx else "exact"))
+    near = F.abs(F.col("approx") - F.col("exact")) <= F.col("exact") * 0.1
+    return counts[0].join(counts[1], "name").select("name", "exact", near.alias("within"))
 
 
 def catalog_crawl(spark, sf_dir) -> DataFrame:
-    """Every column of every table with its type, class and number of values."""
+    """Every column of every table with its type and class, from the tables' schemas alone."""
     from vigilake.functions.text_types import generic_class
 
     tables = {table_uri_of(t): load(spark, sf_dir, t) for t in I.TABLES}
-    counted = []
-    for uri, df in tables.items():
-        stats = df.agg(*[F.count(f"`{c}`").alias(c) for c in df.columns])
-        counted.append(stats.unpivot([], stats.columns, "name", "values").withColumn("owner_uri", F.lit(uri)))
-    filled = counted[0]
-    for part in counted[1:]:
-        filled = filled.unionByName(part)
-    return crawl_fields(tables).join(filled, ["owner_uri", "name"]).select(
-        "uri", "name", "type", generic_class(F.col("type")).alias("type_class"), F.col("values").alias("n_values"))
+    return crawl_fields(spark, tables).select("uri", "name", "type", generic_class(F.col("type")).alias("type_class"))
 
 
 def _crawl_sql() -> str:
@@ -149,7 +151,7 @@ def _crawl_sql() -> str:
         rows += [(t, c, "string", "string") for c in texts]
         rows += [(t, c, typ, "date-time" if typ == "timestamp" else "nested") for c, typ in OTHER.get(t, [])]
     return " UNION ALL ".join(
-        f"SELECT '{table_uri_of(t)}/{c}' AS uri, '{c}' AS name, '{typ}' AS type, '{cls}' AS type_class, count({c}) AS n_values FROM {t}"
+        f"SELECT '{table_uri_of(t)}/{c}' AS uri, '{c}' AS name, '{typ}' AS type, '{cls}' AS type_class"
         for t, c, typ, cls in rows)
 
 
@@ -161,7 +163,7 @@ def _series_input(spark, sf_dir) -> DataFrame:
 
 
 def metric_series(spark, sf_dir) -> DataFrame:
-    return M.oldest_points(_series_input(spark, sf_dir)).select("uri", show_ts("ds"), rounded("y", 4))
+    return M.series(_series_input(spark, sf_dir)).select("uri", show_ts("ds"), rounded("y", 4))
 
 
 def zscore_outliers(spark, sf_dir) -> DataFrame:
@@ -196,16 +198,17 @@ QUERIES = {
     "table_profile": (table_profile, _wide_sql("lineitem")),
     "table_profile_heavy": (
         table_profile_heavy,
-        f"SELECT * FROM ({_long_sql([t for t in COLUMNS if COLUMNS[t][1]], True)}) WHERE metric_value IS NOT NULL"),
+        f"SELECT * FROM ({_long_sql(list(COLUMNS), True)}) WHERE metric_value IS NOT NULL"),
     "profile_scaled": (profile_scaled, _wide_sql("orders", 2.5)),
-    "profile_sampled": (profile_sampled, None),
-    "profile_approx": (profile_approx, None),
+    "profile_sampled": (
+        profile_sampled, _wide_sql("lineitem", 10.0).replace("FROM lineitem", "FROM lineitem WHERE substr(md5(l_orderkey::VARCHAR), 1, 3) < '19a'")),
+    "profile_approx": (profile_approx, " UNION ALL ".join(
+        f"SELECT '{c}__unique_count' AS name, count(DISTINCT {c}) AS exact, true AS within FROM documents" for c in COLUMNS["documents"][1])),
     "catalog_crawl": (catalog_crawl, _crawl_sql()),
     "metric_series": (metric_series, with_ctes("metrics", f"""
 , all_points AS (SELECT * FROM metrics UNION ALL
-    SELECT 'db://lake/main/lineitem/row_count', date_trunc('day', l_shipdate), 'row_count', count(*)::DOUBLE FROM lineitem GROUP BY 2),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY ts) rn FROM all_points)
-SELECT uri, {sql_ts('ts', 'ds')}, round(metric_value + 1.3e-7, 4) AS y FROM ranked WHERE rn <= 1000 AND metric_value IS NOT NULL""")),
+    SELECT 'db://lake/main/lineitem/row_count', date_trunc('day', l_shipdate), 'row_count', count(*)::DOUBLE FROM lineitem GROUP BY 2)
+SELECT uri, {sql_ts('ts', 'ds')}, round(metric_value + 1.3e-7, 4) AS y FROM all_points WHERE metric_value IS NOT NULL""")),
     "zscore_outliers": (
         zscore_outliers, _Z + f"SELECT uri, {sql_ts('ds')}, round(y + 1.3e-7, 4) AS y, round(z + 1.3e-7, 4) AS z_index FROM found"),
     "outlier_series": (

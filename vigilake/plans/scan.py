@@ -33,47 +33,49 @@ def _instant(value: datetime.datetime):
     return F.lit(value.isoformat(sep=" ")).cast("timestamp")
 
 
-def _record(state: State, source: str, source_uri: str, snapshot: DataFrame, findings: DataFrame | None,
+def _record(state: State, source: str, scan_id: int, source_uri: str, snapshot: DataFrame, findings: DataFrame | None,
             last_modified, now: datetime.datetime) -> int:
     """Write snapshot and changes, then register the scan: the step that makes it count."""
-    spark, scan_id, last = state.spark, state.next_scan_id(), state.last_scan(source)
+    spark, last = state.spark, state.last_scan(source)
     state.append("snapshots", snapshot.withColumn("source_uri", F.lit(source_uri)), source, scan_id)
     changes = spark.createDataFrame([], _NO_EVENTS) if findings is None else findings
     if last is not None:
-        stored = state.snapshot(source, scan_id)
+        stored = state.snapshot(source, scan_id, running=True)
         changes = diff_snapshots(state.snapshot(source, last.scan_id), stored).drop("kind").unionByName(changes)
     state.append("changes", changes.withColumn("source_uri", F.lit(source_uri)).withColumn("ts", _instant(now)), source, scan_id)
-    scan = spark.range(1).select(F.lit(source).alias("server"), _instant(now).alias("scan_time"),
+    scan = spark.range(1).select(F.lit(source_uri).alias("source_uri"), F.lit(source).alias("server"), _instant(now).alias("scan_time"),
                                  F.lit(last_modified).cast("timestamp").alias("last_modified"))
     state.append("scans", scan, source, scan_id)
     return scan_id
 
 
 def scan_tables(
-    state: State, source: str, tables: dict[str, DataFrame], analyze: bool = True, heavy: bool = False,
+    state: State, source: str, tables: dict[str, DataFrame], analyze: bool = True, heavy: bool = False, approx: bool = False,
     sample_percent: float | None = None, profiles: dict[str, DataFrame] | None = None,
     now: datetime.datetime | None = None,
 ) -> int:
     """Scan a database source given as tables by address; returns the scan id.
 
     ``profiles`` holds one-row profiles by address where the database made them.
+    ``heavy`` adds distinct counts, by sketches with ``approx``. A source may have no
+    tables left: that is a scan too, and its earlier tables are reported as removed.
     """
-    now, scan_id, source_uri = now or _now(), state.next_scan_id(), f"db://{source}"
-    fields = crawl_fields(tables)
+    now, scan_id, source_uri = now or _now(), state.start(source), f"db://{source}"
+    fields = crawl_fields(state.spark, tables)
     parts = F.split("owner_uri", "/")
     state.append("fields", fields, source, scan_id)
     state.append("tables", fields.select("owner_uri").distinct().select(
         F.lit(source_uri).alias("source_uri"), F.col("owner_uri").alias("uri"), F.element_at(parts, -1).alias("name"),
         F.element_at(parts, -3).alias("db_name"), F.element_at(parts, -2).alias("schema_name")), source, scan_id)
-    if analyze:
+    if analyze and tables:
         uris, points = list(tables), None
         for start in range(0, len(uris), _TABLES_PER_JOB):
             some = {uri: tables[uri] for uri in uris[start : start + _TABLES_PER_JOB]}
             part = cut_lineage(profile_tables(
-                some, _instant(now), heavy=heavy, profiles=profiles, sample_percent=sample_percent))
+                some, _instant(now), heavy=heavy, approx=approx, profiles=profiles, sample_percent=sample_percent))
             points = part if points is None else points.unionByName(part)
         state.append("metrics", points, source, scan_id)
-    return _record(state, source, source_uri, snapshot_from_fields(fields), None, now.isoformat(sep=" "), now)
+    return _record(state, source, scan_id, source_uri, snapshot_from_fields(fields), None, now.isoformat(sep=" "), now)
 
 
 def scan_files(
@@ -89,7 +91,7 @@ def scan_files(
     ``root``, or ready-made from ``crawled`` (``path, columns, num_rows``).
     """
     spark, now, declared = state.spark, now or _now(), FS.parse_filesets(filesets)
-    scan_id, last, source_uri = state.next_scan_id(), state.last_scan(source), f"{protocol}://{source}/"
+    scan_id, last, source_uri = state.start(source), state.last_scan(source), f"{protocol}://{source}/"
     since = last.last_modified if last is not None else None
     fresh = listing if since is None else listing.where(F.col("mtime") > F.lit(since).cast("timestamp"))
     if crawled is None:
@@ -112,9 +114,14 @@ def scan_files(
     unmatched = found.where("fileset is null")
     if infer_filesets:
         clustered = cut_lineage(SG.cluster_files(unmatched))
-        events = events.unionByName(SG.suggest_filesets(clustered, declarations))
+        suggested = cut_lineage(SG.suggest_filesets(clustered, declarations))
+        events = events.unionByName(suggested)
         unmatched = SG.uncovered(clustered)
     if outside_claims is not None:
+        if infer_filesets:
+            # Names of this scan's own suggestions are taken.
+            own = suggested.select(F.get_json_object("detail", "$.name").alias("name"))
+            outside_claims = outside_claims.join(own, "name", "left_anti")
         accepted = SG.accept_suggestions(unmatched, outside_claims, [f.name for f in declared])
         events = events.unionByName(SG.suggestion_events(accepted, source))
         unmatched = unmatched.join(accepted.select("path"), "path", "left_anti")
@@ -124,7 +131,7 @@ def scan_files(
     if declared and freshness:
         state.append("arrivals", matched.select(
             F.lit(source_uri).alias("source_uri"), "fileset", F.col("path").alias("file_name"), "mtime"), source, scan_id)
-        log = state.read("arrivals").where(F.col("source") == source)
+        log = state.read("arrivals", (source, scan_id)).where(F.col("source") == source)
         arrivals = C.latest_arrivals(log, "scan_id").withColumn("source", F.lit(source))
         events = events.unionByName(C.overdue_events(C.overdue_feeds(arrivals, _instant(now), freshness_factor)))
     if declared and file_metrics:
@@ -138,7 +145,7 @@ def scan_files(
     current = snapshot_from_files(found, protocol)
     snapshot = merge_snapshots(previous, current, FS.fileset_snapshot(canonical))
     newest = listing.agg(F.date_format(F.max("mtime"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
-    return _record(state, source, source_uri, snapshot, events, newest, now)
+    return _record(state, source, scan_id, source_uri, snapshot, events, newest, now)
 
 
 def _append_file_catalog(state: State, source: str, source_uri: str, protocol: str, found: DataFrame, scan_id: int) -> None:
@@ -157,4 +164,4 @@ def _append_file_catalog(state: State, source: str, source_uri: str, protocol: s
 def scan_snapshot(state: State, source: str, source_uri: str, snapshot: DataFrame, now: datetime.datetime | None = None) -> int:
     """Record a snapshot made elsewhere, such as one of an API description and its probes."""
     now = now or _now()
-    return _record(state, source, source_uri, snapshot, None, now.isoformat(sep=" "), now)
+    return _record(state, source, state.start(source), source_uri, snapshot, None, now.isoformat(sep=" "), now)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,18 @@ class TenantState:
         return first_per_key(self.read(name), ["org_id", "uri"], [-F.unix_micros("last_seen_at"), F.col("batch_id")])
 
 
+def push_hash(payload: Column) -> Column:
+    """Hash of a push without the client's version; the order of a payload's members does not count.
+
+    Members of objects are sorted by the parser. Text that is no JSON is hashed as it is.
+    """
+    value = F.try_parse_json(payload)
+    # Of the payload's members only the version may differ between equal pushes.
+    members = F.try_variant_get(value, "$", "map<string,variant>")
+    rest = F.to_json(F.map_filter(members, lambda k, v: k != "cli_version"))
+    return F.sha2(F.coalesce(rest, payload), 256)
+
+
 def ingest_batch(
     state: TenantState, pushes: DataFrame, batch_id: str, threshold: float = 3.0, now: datetime.datetime | None = None
 ) -> DataFrame:
@@ -58,7 +70,7 @@ def ingest_batch(
     A push a tenant has made before is skipped; points already stored are not stored again.
     """
     now = now or datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
-    hashed = pushes.withColumn("push_hash", F.sha2("payload", 256)).withColumn("batch_id", F.lit(batch_id))
+    hashed = pushes.withColumn("push_hash", push_hash(F.col("payload"))).withColumn("batch_id", F.lit(batch_id))
     before = state.read("ingests").where(F.col("batch_id") != batch_id)
     fresh = first_per_key(
         hashed.join(before.select("org_id", "push_hash"), ["org_id", "push_hash"], "left_anti"),
@@ -73,7 +85,9 @@ def ingest_batch(
     new = points.join(stored.select("org_id", "uri", "ts"), ["org_id", "uri", "ts"], "left_anti")
     state.append("metrics", new, batch_id)
     created = F.lit(now.isoformat(sep=" ")).cast("timestamp")
-    state.append("anomalies", anomaly_records(batch_anomalies(state.read("metrics"), batch_id, threshold), created), batch_id)
-    counted = parts["ingests"].join(fresh.select("org_id", "received_at", "push_hash"), ["org_id", "received_at"])
-    state.append("ingests", counted, batch_id)
+    metrics = state.read("metrics")
+    touched = metrics.where(F.col("batch_id") == batch_id).select("org_id", "uri").distinct()
+    history = metrics.join(touched, ["org_id", "uri"], "left_semi")
+    state.append("anomalies", anomaly_records(batch_anomalies(history, batch_id, threshold), created), batch_id)
+    state.append("ingests", parts["ingests"], batch_id)
     return state.read("anomalies").where(F.col("batch_id") == batch_id)

@@ -181,7 +181,8 @@ def incremental_stream(spark, sf_dir) -> DataFrame:
     table, checkpoint = new_scratch_path(spark, "listing"), new_scratch_path(spark, "checkpoint")
     for _ in range(2):
         SL.append_new(SL.stream_listing(spark, sf_dir, I.SOURCE, "*.parquet"), table, checkpoint)
-    return spark.read.parquet(table).select("source", F.substring_index("path", "/", -1).alias("name"), "size", "mtime")
+    found = spark.read.parquet(table).select("source", F.substring_index("path", "/", -1).alias("name"), (F.col("size") > 0).alias("has_bytes"))
+    return found.join(I.rows_of_files(spark, sf_dir), "name")
 
 
 def windowed_stream(spark, sf_dir) -> DataFrame:
@@ -216,7 +217,7 @@ SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 4 THEN 1
     "systematic_sample": (systematic_sample, """
 WITH a AS (SELECT 'all' file, event_id, value, row_number() OVER (ORDER BY event_id) rn FROM events
   UNION ALL SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) FROM events)
-SELECT file, event_id, value FROM a WHERE rn <= 1000 AND (rn - 1) % 100 = 0"""),
+SELECT file, event_id, value FROM a WHERE (rn - 1) % 100 = 0"""),
     "encoding_census": (encoding_census, r"""
 SELECT doc_id, CASE WHEN regexp_matches(text, '[^\x{00}-\x{ff}]') OR doc_id % 5 = 0 THEN 'utf-8'
   WHEN doc_id % 5 = 1 THEN CASE WHEN NOT regexp_matches(text, '[^\x{00}-\x{7f}]') THEN 'utf-8'
@@ -245,7 +246,7 @@ SELECT 'api://' || c_custkey || '/probe/orders' AS object_uri, 'probe' AS kind,
   CASE WHEN c_custkey % 3 <> 0 THEN '{' || coalesce(n.cols, '') || '}' ELSE '{' || o.cols || '}' END AS "columns"
 FROM customer LEFT JOIN new_o n ON n.o_custkey = c_custkey LEFT JOIN old_o o ON o.o_custkey = c_custkey
 WHERE c_custkey % 3 <> 0 OR o.cols IS NOT NULL""")),
-    "incremental_stream": (incremental_stream, None),
+    "incremental_stream": (incremental_stream, I.FILES_SQL.format(rest=", true AS has_bytes")),
     "windowed_stream": (windowed_stream, with_ctes("event_points", f"""
 , w AS (SELECT 'db://lake/main/events/' || event_type o, date_trunc('day', ts) ts, count(*)::DOUBLE c, max(value) m FROM events GROUP BY 1, 2),
   closed AS (SELECT * FROM w WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))

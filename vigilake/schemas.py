@@ -5,7 +5,7 @@ TABLES = "source_uri string, uri string, name string, db_name string, schema_nam
 FILES = "source_uri string, uri string, name string, filetype string, file_encoding string"
 FIELDS = "owner_uri string, uri string, name string, type string"
 METRICS = "uri string, ts timestamp, metric_name string, metric_value double"
-SCANS = "scan_id bigint, server string, scan_time timestamp, last_modified timestamp"
+SCANS = "scan_id bigint, source_uri string, server string, scan_time timestamp, last_modified timestamp"
 SNAPSHOTS = (
     "scan_id bigint, source_uri string, object_uri string, kind string, columns map<string,string>"
 )

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from vigilake.fixed import HTTP_METHODS, MAX_REF_HOPS
 from vigilake.functions.uris import file_source_uri
-from vigilake.operators.scale import lookup_join
 
 _MAP = "map<string,string>"
 _NO_ENTRIES = "cast(array() as array<struct<key:string,value:string>>)"
@@ -241,14 +240,14 @@ def probe_snapshot(probes: DataFrame, columns: DataFrame) -> DataFrame:
     )
 
 
-def carry_forward(current: DataFrame, previous: DataFrame, **join_options) -> DataFrame:
+def carry_forward(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Probes with the schema of this scan, or of the previous one where this scan failed.
 
     A failed probe without history is left out; a probe no longer asked for too.
     """
     before = previous.select("object_uri", F.map_entries("columns").alias("_before"))
     return (
-        lookup_join(current, before, ["object_uri"], "left", **join_options)
+        current.join(before, ["object_uri"], "left")
         .withColumn("columns", F.coalesce("columns", F.map_from_entries("_before")))
         .where("columns is not null")
         .drop("_before")

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.names import reader_for
 from vigilake.functions.text_types import infer_text_type, pick_type, render_type
-from vigilake.operators.scale import lookup_join
 from vigilake.session import cut_lineage
 from vigilake.sources.files import detect_encoding, label_files, source_path
 from vigilake.sources.text import document_rows, infer_json_columns, payload_columns
@@ -98,14 +97,14 @@ def decoded_lines(
     """
     lines = raw_lines(spark, root, kind, modified_after)
     mine = census.where(reader_for(F.col("path")) == kind)
-    narrow = lookup_join(lines, mine.where("encoding not like 'utf-16%'"), ["path"]).select(
+    narrow = lines.join(mine.where("encoding not like 'utf-16%'"), ["path"]).select(
         "path", "encoding", "line_id", decoded(F.col("raw"), F.col("encoding")).alias("line"))
     # Only the paths come to the driver, where a reader's file list lives anyway.
     paths = [r.path for r in mine.where("encoding like 'utf-16%'").select("path").toLocalIterator()]
     if not paths:
         return narrow
     content = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
-    wide = lookup_join(content.select("path", "content"), mine, ["path"]).select(
+    wide = content.select("path", "content").join(mine, ["path"]).select(
         "path", "encoding", F.posexplode(F.split(decoded(F.col("content"), F.col("encoding")), "\r?\n")).alias("n", "line"))
     at = F.struct(F.lit(0).cast("bigint").alias("block"), F.col("n").cast("bigint").alias("n"))
     return narrow.unionByName(wide.select("path", "encoding", at.alias("line_id"), "line"))
@@ -133,7 +132,8 @@ def json_documents(spark: SparkSession, root: str, modified_after: str | None =
 def csv_cells(line: Column, delimiter: str) -> Column:
     """Cells of one CSV line, quotes removed."""
     d = "\\" + delimiter if not delimiter.isalnum() and delimiter != "\t" else delimiter
-    cell = f'{d}("(?:[^"]|"")*"|[^{d}]*)'
+    # Possessive, so that a long cell takes no stack.
+    cell = f'{d}("[^"]*+(?:""[^"]*+)*+"|[^{d}]*+)'
     cells = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(cell), F.lit(1))
     return F.transform(cells, lambda c: F.when(
         c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
@@ -174,6 +174,12 @@ def parquet_footers(listing: DataFrame) -> DataFrame:
         import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import from_arrow_type
 
+        def type_text(kind) -> str:
+            try:
+                return from_arrow_type(kind).simpleString()
+            except Exception:  # noqa: BLE001  a type that Spark lacks keeps the file's own name for it
+                return str(kind)
+
         for batch in batches:
             rows = []
             for path in batch["path"]:
@@ -183,8 +189,9 @@ def parquet_footers(listing: DataFrame) -> DataFrame:
                         file = pq.ParquetFile(handle)
                     except pa.ArrowInvalid:
                         continue
-                    columns = [(f.name, from_arrow_type(f.type).simpleString()) for f in file.schema_arrow]
-                    rows.append((path, columns, file.metadata.num_rows))
+                    # Of columns with one name the last stands for it.
+                    columns = {f.name: type_text(f.type) for f in file.schema_arrow}
+                    rows.append((path, list(columns.items()), file.metadata.num_rows))
             yield pd.DataFrame(rows, columns=["path", "entries", "num_rows"])
 
     spread = listing.select("path").repartition("path")

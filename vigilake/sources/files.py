@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions.names import base_name, file_type, reader_for
-from vigilake.operators.scale import lookup_join
 
 LISTING_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -35,13 +34,13 @@ def label_files(files: DataFrame) -> DataFrame:
     return files.withColumn("filetype", file_type(F.col("path"))).withColumn("reader", reader_for(F.col("path")))
 
 
-def newer_than_highwater(listing: DataFrame, scans: DataFrame, **join_options) -> DataFrame:
+def newer_than_highwater(listing: DataFrame, scans: DataFrame) -> DataFrame:
     """Files changed after their source's last scan; all files of a source never scanned."""
     last = scans.groupBy(F.col("server").alias("source")).agg(
         F.max_by("last_modified", F.struct("scan_time", "scan_id")).alias("_highwater"))
     start = F.lit("1970-01-01 00:00:00").cast("timestamp")
     return (
-        lookup_join(listing, last, ["source"], "left", **join_options)
+        listing.join(last, ["source"], "left")
         .where(F.col("mtime") > F.coalesce("_highwater", start))
         .drop("_highwater")
     )

@@ -8,7 +8,7 @@ from vigilake.fixed import MSSQL_PORT, ORACLE_PORT
 from vigilake.operators.profile import profile_query, scale_counts
 
 
-def crawl_fields(tables: dict[str, DataFrame]) -> DataFrame:
+def crawl_fields(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """``owner_uri, name, type, uri`` of every column of the given tables (uri to table).
 
     Reads schemas only, no rows.
@@ -18,7 +18,6 @@ def crawl_fields(tables: dict[str, DataFrame]) -> DataFrame:
         for uri, df in tables.items()
         for field in df.schema.fields
     ]
-    spark = next(iter(tables.values())).sparkSession
     return spark.createDataFrame(rows, "owner_uri string, name string, type string, uri string")
 
 

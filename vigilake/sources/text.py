@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilake.fixed import SAMPLE_RATE, SAMPLE_ROWS
+from vigilake.fixed import SAMPLE_RATE
 from vigilake.functions.text_types import infer_text_type, json_value_type, pick_type, render_type
+from vigilake.operators.scale import places
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
@@ -16,6 +17,12 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     return spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, inferSchema=False, quote='"', escape='"')
 
 
+def parsed_json(text: str) -> Column:
+    """Text as a variant, null if it is no JSON; of repeated keys in an object the last counts."""
+    SparkSession.getActiveSession().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json(text)
+
+
 def _typed(integers: Column, numbers: Column, strings: Column) -> Column:
     return render_type(pick_type(integers, numbers, strings))
 
@@ -60,13 +67,13 @@ def infer_json_columns(
     docs: DataFrame, column: str, keys: Sequence[str] = (), lenient_numbers: bool = False
 ) -> DataFrame:
     """``keys, name, type`` of JSON lines: top-level members of the objects in ``column``."""
-    objects = docs.select(*keys, F.try_parse_json(column).alias("v")).where("v is not null")
+    objects = docs.select(*keys, parsed_json(column).alias("v")).where("v is not null")
     return _columns_from_votes(_object_votes(objects, keys, lenient_numbers), keys)
 
 
 def records_of(payloads: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Records ``keys, v`` of JSON documents: the elements of an array, or the lone object."""
-    parsed = payloads.select(*keys, F.try_parse_json(column).alias("_doc")).where("_doc is not null")
+    parsed = payloads.select(*keys, parsed_json(column).alias("_doc")).where("_doc is not null")
     is_list = F.schema_of_variant("_doc").startswith("ARRAY")
     elements = parsed.where(is_list).select(*keys, F.explode(
         F.try_variant_get("_doc", "$", "array<variant>")).alias("v"))
@@ -83,19 +90,21 @@ def payload_columns(
 def document_rows(docs: DataFrame, column: str) -> DataFrame:
     """Adds ``num_rows`` per JSON document: an array's length, 1 for an object, else null."""
     # The text classes below only pick a branch; the parser decides what is valid.
-    parsed = F.try_parse_json(column)
+    parsed = parsed_json(column)
     shape = F.regexp_extract(F.schema_of_variant(parsed), "^[A-Z]+", 0)
     return docs.withColumn("num_rows", F.when(shape == "OBJECT", F.lit(1)).when(
         shape == "ARRAY", F.json_array_length(column)).cast("bigint"))
 
 
 def systematic_sample(
-    rows: DataFrame, order: str, every: int = SAMPLE_RATE, first: int = SAMPLE_ROWS, keys: Sequence[str] = ()
+    rows: DataFrame, order: str, every: int = SAMPLE_RATE, first: int | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows 0, ``every``, 2x``every``, ... of the first ``first`` rows, per key or overall.
+    """Rows 0, ``every``, 2x``every``, ... of all rows, or of the first ``first``, per key or overall.
 
-    The head is a top-k (cut in every map task), so only ``first`` rows are numbered.
+    A head is a top-k (cut in every map task), so only ``first`` rows are numbered.
     """
+    if first is None:
+        return places(rows, keys, [order]).where(F.col("_at") % every == 0).drop("_at")
     if keys:
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
         head = rows.withColumn("_at", place).where(F.col("_at") <= first)
