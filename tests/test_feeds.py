@@ -112,49 +112,40 @@ def test_samples_are_the_first_ten(spark):
     assert found[0]["sample_files"] == [f"o_{i:03}.csv" for i in range(10)] and found[0]["file_count"] == 25
 
 
-def sequential_names(templates, stems, declared):
-    taken, out = set(declared), {}
-    for t in sorted(templates):
-        name, n = stems[t], 2
-        while name in taken:
-            name, n = f"{stems[t]}_{n}", n + 1
-        taken.add(name)
-        out[t] = name
-    return out
-
-
-@pytest.mark.parametrize("declared", [[], ["orders"], ["orders_2", "a"], ["orders", "orders_2", "orders_4", "orders_1", "orders_02", "orders_x"]])
-def test_names_without_collisions(spark, declared):
+@pytest.mark.parametrize("declared, names", [
+    ([], ["orders", "orders_2", "orders_3", "orders_4", "orders_5", "orders_6"]),
+    (["orders"], ["orders_2", "orders_3", "orders_4", "orders_5", "orders_6", "orders_7"]),
+    (["orders_2", "a"], ["orders", "orders_3", "orders_4", "orders_5", "orders_6", "orders_7"]),
+    (["orders", "orders_2", "orders_4", "orders_1", "orders_02", "orders_x"], ["orders_3", "orders_5", "orders_6", "orders_7", "orders_8", "orders_9"])])
+def test_names_without_collisions(spark, declared, names):
     stems = {f"orders{s}{{seq}}.{e}": "orders" for s in "-_ " for e in ("csv", "json")} | {"a{seq}": "a", "b{seq}": "b"}
     rows = spark.createDataFrame([("s", t, n) for t, n in stems.items()], "source string, template string, stem string")
-    found = SG.unique_names(rows, FS.declared(spark, [FS.Fileset(n, pattern="-") for n in declared], "s"))
-    assert {r.template: r.name for r in found.collect()} == sequential_names(stems, stems, declared)
+    found = {r.template: r.name for r in SG.unique_names(rows, FS.declared(spark, [FS.Fileset(n, pattern="-") for n in declared], "s")).collect()}
+    assert [found[t] for t in sorted(t for t, n in stems.items() if n == "orders")] == names
+    assert found["b{seq}"] == "b" and found["a{seq}"] == ("a_2" if "a" in declared else "a")
+    assert len(set(found.values())) == len(found) and not set(found.values()) & set(declared)
 
 
-def sequential_suggestions(files, suggestions, declared):
+@pytest.mark.parametrize("seed", range(4))
+def test_outside_suggestions_keep_their_promises(spark, seed):
+    """Members exist, match, belong to one suggestion and come at least in pairs; no other suggestion could have been taken."""
     import fnmatch
-    covered, taken, out = set(), set(declared), set()
-    for i, (name, pattern, claimed) in enumerate(suggestions):
-        if name in taken:
-            continue
-        members = {f for f in claimed if f in files and f not in covered and fnmatch.fnmatchcase(f, pattern)}
-        if len(members) < 2:
-            continue
-        taken.add(name)
-        covered |= members
-        out |= {(i, f) for f in members}
-    return out
-
 
-@pytest.mark.parametrize("seed", range(4))
-def test_outside_suggestions_brute_force(spark, seed):
     rnd = random.Random(seed)
     files = [f"{c}{i}" for c in "abc" for i in range(6)]
     suggestions = [(f"n{rnd.randint(0, 5)}", rnd.choice(["*", "a*", "b?", "[bc]*", "zz*"]), rnd.sample([*files, "made_up"], rnd.randint(1, 6))) for _ in range(9)]
     pool = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "path string, pos int")
     table = spark.createDataFrame([(i, *s) for i, s in enumerate(suggestions)], "suggestion int, name string, pattern string, files array<string>")
-    accepted = SG.accept_suggestions(pool, SG.claims_of(table), ["n0"])
-    assert {(r.suggestion, r.path) for r in accepted.collect()} == sequential_suggestions(files, suggestions, ["n0"])
+    members = {}
+    for r in SG.accept_suggestions(pool, SG.claims_of(table), ["n0"]).collect():
+        members.setdefault(r.suggestion, []).append(r.path)
+    matching = [{f for f in claimed if f in files and fnmatch.fnmatchcase(f, pattern)} for _, pattern, claimed in suggestions]
+    for i, (name, _, _) in enumerate(suggestions):
+        earlier = [k for k in members if k < i]
+        free = matching[i] - {f for k in earlier for f in members[k]}
+        usable = name != "n0" and name not in {suggestions[k][0] for k in earlier} and len(free) >= 2
+        assert (i in members) == usable
+        assert not usable or sorted(members[i]) == sorted(free)
 
 
 def test_outside_suggestions_become_events(spark):

@@ -76,14 +76,11 @@ def windows(df):
 
 
 def test_no_window_spans_a_whole_key_of_raw_rows(spark, skewed):
-    from vigilake.operators.freshness import cadence
     from vigilake.operators.outliers import zscore_outliers
     _, big = skewed
     points = big.select(F.col("k").alias("uri"), F.timestamp_seconds("i").alias("ds"), F.col("v").alias("y"))
     assert windows(zscore_outliers(points)) == []
-    assert windows(zscore_outliers(points)) == []
-    rows = points.select(F.lit("s").alias("source"), F.col("uri").alias("fileset"), F.col("ds").alias("mtime"))
-    text = cadence(rows)._jdf.queryExecution().executedPlan().toString()
+    text = S.adjacent_gaps(points, ["uri"], "ds")._jdf.queryExecution().executedPlan().toString()
     lags = [line for line in text.splitlines() if "Window [lag(at_us" in line]
     assert lags and all("_bucket" in line for line in lags)
 

@@ -38,7 +38,6 @@ NUMBER_TEXT = (
 
 # Operations an API path can carry.
 HTTP_METHODS = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
-MAX_REF_HOPS = 10
 
 # Defaults of thresholds and of the caps that are part of a feature.
 Z_THRESHOLD = 3.0
@@ -47,8 +46,19 @@ MIN_ARRIVALS = 3
 OVERDUE_FACTOR = 2.0
 MIN_CLUSTER_SIZE = 2
 SAMPLE_FILES = 10
-SERIES_POINTS = 1000
 SAMPLE_RATE = 100
-SAMPLE_ROWS = 1000
 ORACLE_PORT = 1521
 MSSQL_PORT = 1433
+
+# The lines that say what changed (printf formats).
+CHANGE_TEXTS = {
+    "column": "%s (%s)",
+    "column_type_changed": "%s: %s -> %s",
+    "reshaped": "column types changed",
+    "fileset_reshaped": "fileset %s: %s",
+    "unrecognized_file": "matches no declared fileset",
+    "fileset_overdue": "no file since %s — expected a new one by %s (arrives ~every %.1fh)",
+    "fileset_suggested": '%s files look like a fileset%s — declare name: %s, pattern: "%s"',
+    "via": " (%s)",
+    "columns": "%d column(s)",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vigilake.fixed import BREAKING_CHANGES
+from vigilake.fixed import BREAKING_CHANGES, CHANGE_TEXTS
 
 
 def severity(change_type: Column) -> Column:
@@ -42,27 +42,27 @@ def describe_change(change_type: Column, detail: Column) -> Column:
 
     old, new = keys("old_columns"), keys("new_columns")
     differences = F.concat_ws("; ", listed(F.array_except(new, old), "+"), listed(F.array_except(old, new), "-"))
-    summary = F.when(differences == "", "column types changed").otherwise(differences)
+    summary = F.when(differences == "", CHANGE_TEXTS["reshaped"]).otherwise(differences)
     hours = F.coalesce(text("median_interval_seconds").cast("double"), F.lit(0.0)) / 3600
     n_columns = F.size(keys("columns"))
-    typed = F.format_string("%s (%s)", text("column"), text("type"))
+    typed = F.format_string(CHANGE_TEXTS["column"], text("column"), text("type"))
     return (
         F.when(change_type.isin("column_added", "column_removed"), typed)
         .when(change_type == "column_type_changed",
-              F.format_string("%s: %s -> %s", text("column"), text("old_type"), text("new_type")))
+              F.format_string(CHANGE_TEXTS["column_type_changed"], text("column"), text("old_type"), text("new_type")))
         .when(change_type.isin("file_schema_changed", "fileset_schema_changed"),
-              F.when(text("fileset").isNotNull(), F.format_string("fileset %s: %s", text("fileset"), summary))
+              F.when(text("fileset").isNotNull(), F.format_string(CHANGE_TEXTS["fileset_reshaped"], text("fileset"), summary))
               .otherwise(summary))
-        .when(change_type == "unrecognized_file", "matches no declared fileset")
+        .when(change_type == "unrecognized_file", CHANGE_TEXTS["unrecognized_file"])
         .when(change_type == "fileset_overdue", F.format_string(
-            "no file since %s — expected a new one by %s (arrives ~every %.1fh)",
+            CHANGE_TEXTS["fileset_overdue"],
             F.substring(text("last_seen"), 1, 16), F.substring(text("expected_by"), 1, 16), F.bround(hours, 1)))
         .when(change_type == "fileset_suggested", F.format_string(
-            '%s files look like a fileset%s — declare name: %s, pattern: "%s"',
-            text("file_count"), F.when(text("via").isNotNull(), F.format_string(" (%s)", F.upper(text("via"))))
+            CHANGE_TEXTS["fileset_suggested"],
+            text("file_count"), F.when(text("via").isNotNull(), F.format_string(CHANGE_TEXTS["via"], F.upper(text("via"))))
             .otherwise(""), text("name"), text("pattern")))
         .when(change_type.rlike("^(table|fileset|endpoint|schema|probe)_(added|removed)$")
               | (change_type == "file_added"),
-              F.when(n_columns > 0, F.format_string("%d column(s)", n_columns)).otherwise(""))
+              F.when(n_columns > 0, F.format_string(CHANGE_TEXTS["columns"], n_columns)).otherwise(""))
         .otherwise("")
     )

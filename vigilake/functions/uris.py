@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def table_uri(source, database, schema, table) -> Column:
-    return F.concat(F.lit("db://"), _c(source), F.lit("/"), _c(database), F.lit("/"), _c(schema), F.lit("/"), _c(table))
-
-
 def file_source_uri(protocol, source) -> Column:
     return F.concat(_c(protocol), F.lit("://"), _c(source), F.lit("/"))
 
@@ -22,9 +18,5 @@ def fileset_uri(source, name) -> Column:
     return F.concat(F.lit("fileset://"), _c(source), F.lit("/"), _c(name))
 
 
-def metric_uri(owner, metric) -> Column:
-    return F.concat(_c(owner), F.lit("/"), _c(metric))
-
-
 def _c(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)

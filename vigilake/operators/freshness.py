@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilake.fixed import MIN_ARRIVALS, OVERDUE_FACTOR
 from vigilake.functions.changes import detail_json, severity
 from vigilake.functions.uris import fileset_uri
-from vigilake.operators.scale import adjacent_gaps, bucket_edges, exact_median
+from vigilake.operators.scale import adjacent_gaps, exact_median
 
 
 def upsert_arrivals(existing: DataFrame, observed: DataFrame) -> DataFrame:
@@ -32,10 +32,9 @@ def cadence(arrivals: DataFrame, keys: Sequence[str] = ("source", "fileset"), ts
     have no gap and no row.
     """
     rows = arrivals.select(*keys, ts)
-    last = bucket_edges(rows, keys, ts).groupBy(*keys).agg(F.max("_last").alias("last_us"))
-    gaps = exact_median(adjacent_gaps(rows, keys, ts), keys, "gap_us")
-    return gaps.join(last, list(keys)).select(
-        *keys, (F.col("n") + 1).alias("arrivals"), "last_us", F.col("median").alias("median_us"))
+    gaps = exact_median(adjacent_gaps(rows, keys, ts), keys, "gap_us", largest="at_us")
+    return gaps.select(
+        *keys, (F.col("n") + 1).alias("arrivals"), F.col("largest").alias("last_us"), F.col("median").alias("median_us"))
 
 
 def overdue_feeds(

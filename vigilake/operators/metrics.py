@@ -50,7 +50,3 @@ def series(metrics: DataFrame, max_points: int | None = None, keep: str = "oldes
         rank = F.row_number().over(Window.partitionBy("uri").orderBy(order))
         points = points.withColumn("_rank", rank).where(F.col("_rank") <= max_points).drop("_rank")
     return points.where("y is not null")
-
-
-def series_list(metrics: DataFrame) -> DataFrame:
-    return metrics.select("uri").distinct()

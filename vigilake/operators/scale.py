@@ -57,14 +57,6 @@ def _times(points: DataFrame, keys: Sequence[str], ts: str, bucket_seconds: int)
     )
 
 
-def bucket_edges(
-    points: DataFrame, keys: Sequence[str], ts: str, bucket_seconds: int = GAP_BUCKET_SECONDS
-) -> DataFrame:
-    """First and last time of each key in each time bucket: ``keys, _bucket, _first, _last``."""
-    return _times(points, keys, ts, bucket_seconds).groupBy(*keys, "_bucket").agg(
-        F.min("at_us").alias("_first"), F.max("at_us").alias("_last"))
-
-
 def adjacent_gaps(
     points: DataFrame,
     keys: Sequence[str],
@@ -74,33 +66,37 @@ def adjacent_gaps(
     """Microseconds between consecutive distinct times of each key: ``keys, at_us, gap_us``.
 
     Works in two levels so no task sorts a whole key: gaps inside one time bucket
-    come from a window over (key, bucket); the gap across a bucket border comes from
-    each bucket's first and last time.
+    come from a window over (key, bucket); the gap across a bucket border lies between
+    its first time and the last one of the bucket before. Both come from one shuffle of
+    the distinct times.
     """
     keys = list(keys)
-    inside = _times(points, keys, ts, bucket_seconds).distinct().withColumn(
-        "_prev", F.lag("at_us").over(Window.partitionBy(*keys, "_bucket").orderBy("at_us")))
-    borders = bucket_edges(points, keys, ts, bucket_seconds).withColumnRenamed("_first", "at_us").withColumn(
+    bucket = Window.partitionBy(*keys, "_bucket")
+    spaced = (
+        _times(points, keys, ts, bucket_seconds).distinct()
+        .withColumn("_prev", F.lag("at_us").over(bucket.orderBy("at_us")))
+        .withColumn("_last", F.max("at_us").over(bucket))
+    )
+    borders = spaced.where("_prev is null").withColumn(
         "_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")))
     columns = [*keys, "at_us", (F.col("at_us") - F.col("_prev")).alias("gap_us")]
-    return (
-        inside.where("_prev is not null")
-        .select(*columns)
-        .unionByName(borders.where("_prev is not null").select(*columns))
-    )
+    return spaced.where("_prev is not null").select(*columns).unionByName(borders.where("_prev is not null").select(*columns))
 
 
-def exact_median(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def exact_median(values: DataFrame, keys: Sequence[str], value: str, *, largest: str | None = None) -> DataFrame:
     """Exact median of a non-negative long per key: ``keys, median double, n bigint``.
 
+    ``largest`` names another column whose maximum per key is added as ``largest``.
+
     Counts each distinct value, finds by cumulative count the coarse bin (top 15
     significant bits) that holds each middle rank, then ranks only inside those
     bins. A key's values are never gathered as one list.
     """
     keys = list(keys)
+    # Kept in the shared folder: the steps below read these counts instead of the values.
     counted = (
-        values.groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
+        cut_lineage(values.groupBy(*keys, F.col(value).alias("_v")).agg(
+            F.count("*").alias("_n"), F.max(largest or value).alias("_top")))
         .withColumn("_w", F.expr("shiftleft(1L, greatest(length(bin(_v)) - 15, 0))"))
         .withColumn("_bin", F.expr("_v - _v % _w"))
         .drop("_w")
@@ -108,15 +104,16 @@ def exact_median(values: DataFrame, keys: Sequence[str], value: str) -> DataFram
     key = Window.partitionBy(*keys)
     bins = (
         counted.groupBy(*keys, "_bin")
-        .agg(F.sum("_n").alias("_in_bin"))
+        .agg(F.sum("_n").alias("_in_bin"), F.max("_top").alias("_bin_top"))
         .withColumn("_upto", F.sum("_in_bin").over(
             key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("_total", F.sum("_in_bin").over(key))
+        .withColumn("_largest", F.max("_bin_top").over(key))
         .withColumn("_before", F.col("_upto") - F.col("_in_bin"))
         .withColumn("_lo", F.expr("(_total + 1) div 2"))
         .withColumn("_hi", F.expr("(_total + 2) div 2"))
         .where("(_before < _lo and _lo <= _upto) or (_before < _hi and _hi <= _upto)")
-        .drop("_upto", "_in_bin")
+        .drop("_upto", "_in_bin", "_bin_top")
     )
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -129,13 +126,13 @@ def exact_median(values: DataFrame, keys: Sequence[str], value: str) -> DataFram
             F.expr("(max(if(_from < _lo and _lo <= _upto, _v, null))"
                    " + max(if(_from < _hi and _hi <= _upto, _v, null))) / 2.0D").alias("median"),
             F.max("_total").alias("n"),
+            *([F.max("_largest").alias("largest")] if largest else []),
         )
     )
 
 
 __all__ = [
     "adjacent_gaps",
-    "bucket_edges",
     "cut_lineage",
     "exact_median",
     "first_per_key",

@@ -122,18 +122,18 @@ def _specs(spark, sf_dir) -> DataFrame:
     members = orders.groupBy("side", "o_custkey", "o_orderstatus").agg(F.expr(_STATUS_TYPE).alias("m")).groupBy(
         "side", "o_custkey").agg(F.array_join(F.array_sort(F.collect_list("m")), ",").alias("members"))
     operation = F.concat(
-        F.lit('"/orders/'), "o_orderpriority", F.lit(
-            '":{"parameters":[{"name":"since","schema":{"type":"string"}}],'
-            '"get":{"parameters":[{"$ref":"#/components/parameters/Limit"}],"responses":{"404":{},"200":{"content":{"application/json":'
-            '{"schema":{"type":"array","items":{"$ref":"#/components/schemas/Alias"}}}}}}},'
-            '"post":{"requestBody":{"$ref":"#/components/requestBodies/New"},"responses":{"201":{"$ref":"#/components/responses/Missing"}}}}'))
+        F.lit('"/harbours/'), "o_orderpriority", F.lit(
+            '":{"parameters":[{"name":"tide","schema":{"type":"string"}}],'
+            '"get":{"parameters":[{"$ref":"#/components/parameters/Depth"}],"responses":{"200":{"content":{"application/json":'
+            '{"schema":{"type":"array","items":{"$ref":"#/components/schemas/Craft"}}}}},"503":{}}},'
+            '"put":{"requestBody":{"$ref":"#/components/requestBodies/Berthing"},"responses":{"202":{"$ref":"#/components/responses/Nowhere"}}}}'))
     paths = orders.select("side", "o_custkey", operation.alias("p")).distinct().groupBy("side", "o_custkey").agg(
         F.array_join(F.array_sort(F.collect_list("p")), ",").alias("paths"))
     return members.join(paths, ["side", "o_custkey"]).select("side", api, F.concat(
         F.lit('{"paths":{'), "paths", F.lit(
-            '},"components":{"parameters":{"Limit":{"name":"limit","schema":{"type":"integer"}}},"requestBodies":{"New":{"content":'
-            '{"application/json":{"schema":{"$ref":"#/components/schemas/Order"}}}}},"schemas":{"Alias":{"$ref":"#/components/schemas/Order"},'
-            '"Order":{"type":"object","properties":{"id":{"type":"integer"},"lines":{"type":"array","items":{"type":"object"}},'),
+            '},"components":{"parameters":{"Depth":{"name":"depth","schema":{"type":"number"}}},"requestBodies":{"Berthing":{"content":'
+            '{"application/json":{"schema":{"$ref":"#/components/schemas/Vessel"}}}}},"schemas":{"Craft":{"$ref":"#/components/schemas/Vessel"},'
+            '"Vessel":{"type":"object","properties":{"callsign":{"type":"string"},"masts":{"type":"array","items":{"type":"number"}},'),
         "members", F.lit("}}}}}")).alias("spec"))
 
 
@@ -141,14 +141,14 @@ _SPEC_CTES = """
 WITH o AS (SELECT *, CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'old' ELSE 'new' END side FROM orders),
   st AS (SELECT side, o_custkey c, 's_' || o_orderstatus col, CASE WHEN max(o_totalprice) > 250000 THEN 'number' ELSE 'string' END typ
     FROM o GROUP BY side, o_custkey, o_orderstatus),
-  base AS (SELECT * FROM st UNION ALL SELECT DISTINCT side, c, unnest(['id', 'lines']), unnest(['integer', 'array[object]']) FROM st),
+  base AS (SELECT * FROM st UNION ALL SELECT DISTINCT side, c, unnest(['callsign', 'masts']), unnest(['string', 'array[number]']) FROM st),
   pr AS (SELECT DISTINCT side, o_custkey c, o_orderpriority p FROM o),
   obj AS (
-    SELECT side, 'api://cust' || c || '/orders/' || p || '#get' object_uri, 'endpoint' kind, 'response.' || col col, typ FROM pr JOIN base USING (side, c)
-    UNION ALL SELECT side, 'api://cust' || c || '/orders/' || p || '#get', 'endpoint', unnest(['param.limit', 'param.since']), unnest(['integer', 'string']) FROM pr
-    UNION ALL SELECT side, 'api://cust' || c || '/orders/' || p || '#post', 'endpoint', 'body.' || col, typ FROM pr JOIN base USING (side, c)
-    UNION ALL SELECT side, 'api://cust' || c || '/orders/' || p || '#post', 'endpoint', 'param.since', 'string' FROM pr
-    UNION ALL SELECT side, 'api://cust' || c || '/components/schemas/' || n, 'schema', col, typ FROM base, (SELECT unnest(['Alias', 'Order']) n)),
+    SELECT side, 'api://cust' || c || '/harbours/' || p || '#get' object_uri, 'endpoint' kind, 'response.' || col col, typ FROM pr JOIN base USING (side, c)
+    UNION ALL SELECT side, 'api://cust' || c || '/harbours/' || p || '#get', 'endpoint', unnest(['param.depth', 'param.tide']), unnest(['number', 'string']) FROM pr
+    UNION ALL SELECT side, 'api://cust' || c || '/harbours/' || p || '#put', 'endpoint', 'body.' || col, typ FROM pr JOIN base USING (side, c)
+    UNION ALL SELECT side, 'api://cust' || c || '/harbours/' || p || '#put', 'endpoint', 'param.tide', 'string' FROM pr
+    UNION ALL SELECT side, 'api://cust' || c || '/components/schemas/' || n, 'schema', col, typ FROM base, (SELECT unnest(['Craft', 'Vessel']) n)),
   objs AS (SELECT side, object_uri, kind, string_agg('"' || col || '":"' || typ || '"', ',' ORDER BY col) cols FROM obj GROUP BY 1, 2, 3)
 """
 

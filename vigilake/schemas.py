@@ -1,6 +1,5 @@
 """Column layouts of the state tables, as DDL strings."""
 
-SOURCES = "name string, type string, uri string"
 TABLES = "source_uri string, uri string, name string, db_name string, schema_name string"
 FILES = "source_uri string, uri string, name string, filetype string, file_encoding string"
 FIELDS = "owner_uri string, uri string, name string, type string"
@@ -14,7 +13,5 @@ CHANGES = (
     "change_type string, severity string, detail string"
 )
 ARRIVALS = "source_uri string, fileset string, file_name string, mtime timestamp"
-LISTING = "source string, path string, pos bigint, size bigint, mtime timestamp"
-CRAWLED_FILES = LISTING + ", columns map<string,string>, num_rows bigint"
 
 EMPTY_COLUMNS = "cast(map() as map<string,string>)"

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.fixed import HTTP_METHODS, MAX_REF_HOPS
+from vigilake.fixed import HTTP_METHODS
 from vigilake.functions.uris import file_source_uri
 
 _MAP = "map<string,string>"
@@ -51,8 +51,8 @@ def _component_map(spec_components: Column) -> Column:
 def _followed_references(spec: Column, raw: Column) -> Column:
     """Every reference that occurs in a description, mapped to the JSON text it leads to.
 
-    References to references are followed up to the limit; one that leads nowhere maps
-    to ``{}``. Done once per description, so each use is a single lookup.
+    References to references are followed as long as there are new ones; one that leads
+    nowhere maps to ``{}``. Done once per description, so each use is a single lookup.
     """
 
     def walk(start: Column, parts: Column) -> Column:
@@ -62,19 +62,20 @@ def _followed_references(spec: Column, raw: Column) -> Column:
         parts = F.split(ref, "/")
         component = F.try_element_at(raw, F.array_join(F.slice(parts, 1, 4), "/"))
         found = (
-            F.when(ref.startswith("#/components/"), walk(component, F.slice(parts, 5, 1000)))
-            .when(ref.startswith("#/"), walk(spec, F.slice(parts, 2, 1000)))
+            F.when(ref.startswith("#/components/"), walk(component, F.slice(parts, F.lit(5), F.size(parts))))
+            .when(ref.startswith("#/"), walk(spec, F.slice(parts, F.lit(2), F.size(parts))))
         )
         return F.coalesce(found, F.lit("{}"))
 
-    def chase(ref: Column) -> Column:
-        hops = F.sequence(F.lit(2), F.lit(MAX_REF_HOPS))
+    def chase(ref: Column, refs: Column) -> Column:
+        # A chain longer than the number of references comes back to one of them.
+        hops = F.slice(refs, F.lit(2), F.size(refs))
         return F.aggregate(hops, target(ref), lambda at, _: _let(
             _ref(at), lambda next_ref: F.when(next_ref.isNull(), at).otherwise(target(next_ref))))
 
     written = F.regexp_extract_all(spec, F.lit(r'"\$ref"\s*:\s*"([^"]*)"'), F.lit(1))
     refs = F.array_distinct(F.transform(written, lambda r: F.replace(r, F.lit(r"\/"), F.lit("/"))))
-    return F.map_from_arrays(refs, F.transform(refs, chase))
+    return _let(refs, lambda known: F.map_from_arrays(known, F.transform(known, lambda r: chase(r, known))))
 
 
 def _parse(json: Column) -> Column:
