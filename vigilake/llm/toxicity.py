@@ -1,11 +1,11 @@
 """Toxicity: compression-distance classification with zstandard dictionaries.
 
-Two dictionaries are trained on labelled text: one on ordinary documents, one on the words of toxic documents that hold
-letter sequences ordinary documents hardly have. A window is one word between spaces, written twice, since the codec
+Two dictionaries are trained on labelled text: one on ordinary documents, one on those stretches of toxic documents
+whose letter sequences ordinary documents hardly have. A window is one word between spaces, written twice, since the codec
 stores shorter input uncompressed; its distance is its compressed length under the ordinary dictionary less that under
 the toxic one. Windows at or above a calibrated threshold count as toxic, and a logistic curve over their number and
-their share gives the document's score. Threshold and curve are fitted on labelled documents that the dictionaries did
-not see.
+their share gives the document's score. Threshold, curve and the toxic dictionary's size are chosen on labelled documents
+that the dictionaries did not see.
 
 Fitting uses at most ``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled documents (those with the smallest md5 of their id),
 with whole texts, on the driver: that bound holds for any input. Scoring is one pass over the documents without a
@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from vigilake.llm.common import table
 
-MOST_TOXIC, MOST_ORDINARY = 1500, 3000
+MOST_TOXIC, MOST_ORDINARY = 1500, 6000
 REMEMBERED = 300_000
 PIECE_CHARS = 1 << 20
 PUNCTUATION = ".,;:!?\"'()#*$%&|<>"
-#: Letters of a sequence, spaces at word ends included; how much commoner it must be among toxic documents, and in how many.
-SEQUENCE, COMMONER, LEAST_DOCUMENTS = 5, 25.0, 3
-TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 2048, 16384, 19
+#: Letters of a sequence, spaces at word ends included; how much commoner it must be among toxic documents, and in which
+#: share of them it must occur.
+SEQUENCE, COMMONER, LEAST_SHARE = 5, 25.0, 0.015
+TOXIC_BYTES, ORDINARY_BYTES, LEVEL = (2048, 4096, 8192), 16384, 19
 THRESHOLDS = range(1, 9)
 
 
@@ -69,6 +70,16 @@ def sequences(word: str) -> set[str]:
     return {s[i : i + SEQUENCE] for i in range(max(1, len(s) - SEQUENCE + 1))}
 
 
+def stretches(word: str, telling: set[str]) -> str:
+    """The letters of a word, spaces at its ends included, that telling sequences cover."""
+    s = f" {word} "
+    keep = [False] * len(s)
+    for i in range(max(1, len(s) - SEQUENCE + 1)):
+        if s[i : i + SEQUENCE] in telling:
+            keep[i : i + SEQUENCE] = [True] * min(SEQUENCE, len(s) - i)
+    return "".join(c for c, k in zip(s, keep, strict=True) if k)
+
+
 class Distance:
     """How much shorter a word gets under the toxic dictionary than under the ordinary one."""
 
@@ -129,25 +140,23 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     for t, k in seen:
         counts[k].update(set().union(*map(sequences, set(plain_words(t)))))
         n[k] += 1
-    telling = {s for s, c in counts[1].items() if c >= min(LEAST_DOCUMENTS, n[1]) and c / n[1] > COMMONER * (counts[0][s] + 0.5) / (n[0] + 1)}
-    chosen = [" ".join(w for w in plain_words(t) if not telling.isdisjoint(sequences(w))) for t, k in seen if k]
-    toxic = dictionary(TOXIC_BYTES, [f" {c} ".encode() for c in chosen if c])
+    least = max(2, math.ceil(LEAST_SHARE * n[1]))
+    telling = {s for s, c in counts[1].items() if c >= min(least, n[1]) and c / n[1] > COMMONER * (counts[0][s] + 0.5) / (n[0] + 1)}
+    chosen = ["".join(stretches(w, telling) for w in plain_words(t)) for t, k in seen if k]
     ordinary = dictionary(ORDINARY_BYTES, [f" {' '.join(plain_words(t))} ".encode() for t, k in seen if not k][:1500])
-    distance, known = Distance(toxic, ordinary), {}
-    found = []
-    for t, _ in held:
-        words = plain_words(t)
-        for w in words:
-            if w not in known:
-                known[w] = distance(w)
-        found.append(np.array([known[w] for w in words] or [-99]))
+    held_words = [Counter(plain_words(t)) for t, _ in held]
     y = np.array([k for _, k in held], dtype=float)
     best = None
-    for threshold in THRESHOLDS:
-        x = np.array([features(int((d >= threshold).sum()), int((d > -99).sum())) for d in found])
-        w, loss = fit_curve(x, y)
-        if best is None or loss < best[0]:
-            best = (loss, Model(toxic, ordinary, threshold, tuple(float(v) for v in w)))
+    for size in TOXIC_BYTES:
+        toxic = dictionary(size, [c.encode() for c in chosen if c])
+        distance = Distance(toxic, ordinary)
+        known = {w: distance(w) for w in set().union(*held_words)}
+        for threshold in THRESHOLDS:
+            hits = [sum(n for w, n in c.items() if known[w] >= threshold) for c in held_words]
+            x = np.array([features(h, c.total()) for h, c in zip(hits, held_words, strict=True)])
+            w, loss = fit_curve(x, y)
+            if best is None or loss < best[0]:
+                best = (loss, Model(toxic, ordinary, threshold, tuple(float(v) for v in w)))
     return best[1]
 
 
