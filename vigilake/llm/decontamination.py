@@ -5,9 +5,10 @@ passage is a query against the index of test items; all items whose BM25 score r
 item itself are retrieved, not just a top k. A retrieved item is a leak if the passage holds at least ``OVERLAP`` of its
 five-word shingles and at least ``PART_OVERLAP`` of those of its question (first half) and of its answer (second half).
 
-Scores are stored as shares of the item's own score, so one threshold serves all items. Before a passage is searched, a
-sum of its words' weights per item, for all passages of a batch at once, shows whether any item can reach the
-threshold; repeated words make the sum larger than the score, so no item is lost.
+Scores are stored as shares of the item's own score, so one threshold serves all items. An item's light terms are those
+of least weight that together stay below ``LIGHT``; without enough of the other, heavy ones it cannot reach the threshold.
+So before a passage is searched, the heavy shares of its words are summed per item, for all passages of a batch at once;
+light terms are taken as present, so the sum is never below the score and no item is lost.
 
 The index is built from at most about ``ITEMS_AT_ONCE`` items at a time; more items are searched in blocks, each a pass
 over the documents. Documents are never shuffled.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from vigilake.llm.common import table
 
 K1, B = 1.2, 0.75
-SHARE = 0.5
+SHARE, LIGHT = 0.5, 0.3
 SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.8, 0.5
 #: Postings of a block.
 BLOCK = 8
@@ -69,10 +70,25 @@ class Index:
         self.postings = [([k for k, _ in p], [v for _, v in p]) for p in postings.values()]
         self.block_max = [[max(v[i : i + BLOCK]) for i in range(0, len(v), BLOCK)] for _, v in self.postings]
         self.most = [max(v) for _, v in self.postings]
-        # The same postings end to end, for the bound over many passages.
-        self.starts = np.concatenate([[0], np.cumsum([len(k) for k, _ in self.postings])]).astype(np.int64)
-        self.flat_items = np.array([k for ks, _ in self.postings for k in ks], dtype=np.int64)
-        self.flat_shares = np.array([v for _, vs in self.postings for v in vs], dtype=np.float64)
+        # Heavy postings end to end, for the bound over many passages.
+        light = np.zeros(len(cut))
+        heavy: list[list[tuple[int, float]]] = [[] for _ in postings]
+        by_item: list[list[tuple[float, int]]] = [[] for _ in cut]
+        for t, p in enumerate(postings.values()):
+            for k, v in p:
+                by_item[k].append((v, t))
+        for k, terms in enumerate(by_item):
+            for v, t in sorted(terms):
+                if light[k] + v < LIGHT:
+                    light[k] += v
+                else:
+                    heavy[t].append((k, v))
+        self.needed = SHARE - 1e-9 - light
+        self.starts = np.concatenate([[0], np.cumsum([len(h) for h in heavy])]).astype(np.int64)
+        self.flat_items = np.array([k for h in heavy for k, _ in h], dtype=np.int64)
+        self.flat_shares = np.array([v for h in heavy for _, v in h], dtype=np.float64)
+        # Only terms that are heavy somewhere need a look.
+        self.heavy_terms = {t: n for t, n in self.terms.items() if heavy[n]}
 
     def search(self, terms: list[int], share: float = SHARE) -> list[tuple[int, float]]:
         """All (item, score share) of at least ``share``: block-max WAND over the terms' postings."""
@@ -133,9 +149,9 @@ class Index:
         return tuple(len(p & passage) / len(p) for p in parts)
 
     def hopeful(self, codes: np.ndarray, texts: np.ndarray) -> list[tuple[int, int]]:
-        """(text, begin) of the passages in which some item's weights could reach the threshold.
+        """(text, begin) of the passages in which some item could reach the threshold.
 
-        ``codes`` are term numbers (-1: none) of the words of several texts end to end, ``texts`` where each begins.
+        ``codes`` are numbers of heavy terms (-1: none) of the words of several texts end to end, ``texts`` where each begins.
         """
         step = self.span
         position = np.arange(len(codes)) - np.repeat(texts[:-1], np.diff(texts))
@@ -144,15 +160,14 @@ class Index:
         window = np.repeat(first[:-1], np.diff(texts)) + position // step
         hit = codes >= 0
         terms, window, inner = codes[hit], window[hit], (position // step > 0)[hit]
+        # A passage is two steps long: a word lies in that of its own step and in the one before. Each word counts once.
+        pairs = np.unique(np.concatenate([window, window[inner] - 1]) * len(self.terms) + np.concatenate([terms, terms[inner]]))
+        window, terms = pairs // len(self.terms), pairs % len(self.terms)
         sizes = self.starts[terms + 1] - self.starts[terms]
         flat = np.repeat(self.starts[terms] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        cell = np.repeat(window, sizes) * len(self.ids) + self.flat_items[flat]
-        before = np.repeat(inner, sizes)
-        # A passage is two steps long: its own step and the next one.
-        both = np.concatenate([cell, cell[before] - len(self.ids)])
-        cells, inverse = np.unique(both, return_inverse=True)
-        sums = np.bincount(inverse, weights=np.concatenate([self.flat_shares[flat], self.flat_shares[flat][before]]), minlength=len(cells))
-        reach = np.unique(cells[sums >= SHARE - 1e-9] // len(self.ids))
+        cells, inverse = np.unique(np.repeat(window, sizes) * len(self.ids) + self.flat_items[flat], return_inverse=True)
+        sums = np.bincount(inverse, weights=self.flat_shares[flat], minlength=len(cells))
+        reach = np.unique(cells[sums >= self.needed[cells % len(self.ids)]] // len(self.ids))
         text = np.searchsorted(first, reach, side="right") - 1
         return [(int(t), int((r - first[t]) * step)) for t, r in zip(text, reach, strict=True)]
 
@@ -194,7 +209,7 @@ def searcher(index: Index, keep_text: bool):
         out: list[dict] = [{} for _ in texts]
         if not cut or not index.ids:
             return out
-        known = index.terms
+        known = index.heavy_terms
         texts_at = np.concatenate([[0], np.cumsum([len(w) for w in cut])]).astype(np.int64)
         codes = np.fromiter((known.get(w, -1) for words in cut for w in words), dtype=np.int64, count=int(texts_at[-1]))
         for k, begin in index.hopeful(codes, texts_at):
