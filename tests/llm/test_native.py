@@ -118,6 +118,24 @@ def test_quality_counts_equal_brute_force(spark, odd_docs, documents):
     assert quality_rules.score(odd_docs, ratios).count() == odd_docs.count()
 
 
+def test_score_is_the_mean_log_ratio_of_words_and_pairs(spark):
+    import math
+
+    bins = 1 << 20
+    rows = [(1, "a b a c", True), (2, "b a d", False), (3, None, True), (4, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _trusted boolean")
+    counts = quality_rules.bin_counts(docs, "text", F.col("_trusted"), bins)
+    words = [(t or "").split() for _, t, _ in rows]
+    grams = [[*w, *[" ".join(w[i:i + 2]) for i in range(len(w))]] for w in words]
+    raw, target = Counter(g for x in grams for g in x), Counter(g for x, (_, _, k) in zip(grams, rows, strict=True) if k for g in x)
+    # The last word's pair is the word alone, so it shares the word's bin.
+    assert sorted((r.raw, r.target) for r in counts.collect()) == sorted((raw[g], target[g]) for g in raw)
+    ratio = {g: math.log((target[g] + 1) / (sum(target.values()) + bins)) - math.log((raw[g] + 1) / (sum(raw.values()) + bins)) for g in raw}
+    found = {r.doc_id: r.score for r in quality_rules.score(docs, quality_rules.log_ratios(counts, bins)).collect()}
+    for (doc_id, _, _), x in zip(rows, grams, strict=True):
+        assert abs(found[doc_id] - (sum(ratio[g] for g in x) / len(x) if x else 0)) < 1e-9
+
+
 def test_quality_score_separates_what_the_trusted_rows_are_unlike(spark):
     docs = quality_rules.op8_quality_rules(spark, SF_DIR).join(spark.read.parquet(f"{SF_DIR}/labels.parquet"), "doc_id")
     good = docs.filter("quality = 1 and not base_failed")

@@ -26,7 +26,7 @@ from vigilake.llm.common import let, table, text_of, up_to, words_of
 BINS = 16384
 #: Nats per n-gram below which a document is taken for unlike the trusted text. Ordinary text of the trusted kind lies
 #: around 0 whatever its length; text that shares few n-grams with it lies far below.
-MIN_SCORE = -0.25
+MIN_SCORE = -0.15
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -34,19 +34,24 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 
 
+def pairs_of(words: Column, body) -> Column:
+    """``body(word, next word)`` of every word; the last word's next is null, and hashes ignore it."""
+    return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), body)
+
+
 def ngram_bins(words: Column, bins: int = BINS) -> Column:
-    """Bin of every word and of every pair of neighbours."""
-    single = F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(bins)))
-    pair = F.zip_with(words, F.slice(words, 2, 2147483647), lambda a, b: F.when(b.isNotNull(), F.pmod(F.hash(a, b), F.lit(bins))))
-    return F.concat(single, F.filter(pair, lambda x: x.isNotNull()))
+    """Bin of every word and of every word with the one after it."""
+    return F.concat(
+        F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(bins))), pairs_of(words, lambda a, b: F.pmod(F.hash(a, b), F.lit(bins))))
 
 
 def bin_counts(docs: DataFrame, text: str, trusted: Column, bins: int = BINS) -> DataFrame:
     """(bin, raw, target): n-gram counts over all rows and over the trusted ones, in one pass."""
     grams = docs.select(ngram_bins(words_of(text_of(text)), bins).alias("_grams"), F.coalesce(trusted, F.lit(False)).cast("int").alias("_t"))
     return (
-        grams.select("_t", F.explode("_grams").alias("bin"))
-        .groupBy("bin")
+        # Outer, as a plain explode makes Spark work the arrays out once more to filter empty ones early.
+        grams.select("_t", F.explode_outer("_grams").alias("bin"))
+        .filter("bin is not null").groupBy("bin")
         .agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
     )
 
@@ -71,13 +76,10 @@ def constant_array(values: list[float]) -> Column:
 
 def likelihood_score(words: Column, ratios: list[float]) -> Column:
     """Mean log ratio of the n-grams; 0 without words."""
-    model = constant_array(ratios)
-
-    def mean(grams: Column) -> Column:
-        total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(model, b))
-        return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(F.lit(0.0))
-
-    return let(ngram_bins(words, len(ratios)), mean)
+    model, bins = constant_array(ratios), F.lit(len(ratios))
+    both = pairs_of(words, lambda a, b: F.get(model, F.pmod(F.hash(a), bins)) + F.get(model, F.pmod(F.hash(a, b), bins)))
+    total = F.aggregate(both, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(F.size(words) > 0, total / (2 * F.size(words))).otherwise(F.lit(0.0))
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -102,7 +104,11 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(placed, repeats)).otherwise(F.lit(0))
 
     def hashed(w: Column) -> Column:
-        return F.transform(up_to(F.size(w) - (window - 1)), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)]))
+        """Hash of every window: each step takes one more word into the hashes of all windows."""
+        out = F.transform(w, lambda x: F.xxhash64(x))
+        for k in range(1, window):
+            out = F.zip_with(out, F.slice(w, F.lit(k + 1), F.size(w)), lambda h, x: F.xxhash64(h, x))
+        return F.slice(out, F.lit(1), F.greatest(F.size(w) - (window - 1), F.lit(0)))
 
     return let(let(words, hashed), covered)
 
@@ -137,7 +143,8 @@ def score(docs: DataFrame, ratios: list[float], text: str = "text", min_score: f
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``_trusted``: its label says quality 1."""
     good = labels.filter("quality = 1").select("doc_id").distinct().withColumn("_trusted", F.lit(True))
-    return docs.join(good, "doc_id", "left")
+    # Both sides are shuffled at any size, so that cost grows with the input.
+    return docs.join(good.hint("merge"), "doc_id", "left")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
