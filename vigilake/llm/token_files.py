@@ -34,7 +34,7 @@ from vigilake.session import new_scratch_path
 
 END_ID = 1
 #: Different words a worker remembers.
-CACHED = 200_000
+CACHED = 500_000
 #: Documents that are encoded at a time.
 ROWS = 256
 #: Latin letters, then closing punctuation.
