@@ -3,8 +3,8 @@
 Every stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet in the shared folder and read
 again as the next one's docs. All but the last return the columns of ``documents``.
 
-The toxicity model is fitted on labelled rows of the stage's own documents; of each near-duplicate group the row with the
-smallest doc_id stays; documents that leak a benchmark item go; mixing samples towards the target shares; the last
+The toxicity model is fitted on labelled rows of the stage's own documents; of each near-duplicate group (similarity 0.8
+or more over five words) the row with the smallest doc_id stays; documents that leak a benchmark item go; mixing samples towards the target shares; the last
 stage writes token files and returns one row per document read back from them.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vigilake.llm.common import stash, table
 from vigilake.llm.decontamination import without_leaks
 from vigilake.llm.mixing import sampled
-from vigilake.llm.near_dedup import survivors
+from vigilake.llm.near_dedup import GENERAL_PERCENT, survivors
 from vigilake.llm.token_files import default_vocabulary, token_output
 from vigilake.llm.toxicity import fit_from, without_toxic
 from vigilake.session import new_scratch_path
@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return survivors(docs)
+    return survivors(docs, GENERAL_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

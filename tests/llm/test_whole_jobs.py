@@ -3,7 +3,8 @@
 import random
 import string
 
-from vigilake.llm import secret_scan
+import corpus_pipeline
+from vigilake.llm import near_dedup, secret_scan
 
 
 def pem(seed, lines=8, end="\n", closed=True):
@@ -31,3 +32,14 @@ def test_a_value_that_many_repositories_of_one_owner_hold_is_copied(spark):
     found = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert found[0].spans == [] and (found[0].n_live, found[0].n_copied) == (0, 1)
     assert found[1000].n_live == 1 and [(h.n_repositories, h.n_owners) for h in found[1000].held] == [(3, 1)]
+
+
+def test_pipeline_drops_near_copies_from_similarity_80_on(spark):
+    words = [f"w{i}" for i in range(104)]
+    # 100 shingles; a change in the last k words renews k of them: similarity (100 - k) / (100 + k).
+    texts = [" ".join(words[: 104 - k] + [f"{k}e{i}" for i in range(k)]) for k in (0, 10, 13)]
+    for k, left, strict in ((1, [0], [0, 1]), (2, [0, 1], [0, 1])):
+        docs = spark.createDataFrame([(0, texts[0]), (1, texts[k])], "doc_id long, text string")
+        assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == left
+        assert sorted(r.doc_id for r in near_dedup.survivors(docs).collect()) == strict
+    assert near_dedup.miss_probability(0.8, near_dedup.rows_of_band(80)) < 3e-7

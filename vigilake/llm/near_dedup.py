@@ -4,7 +4,7 @@
    its SuperMinHash signature. Documents of equal sets are one node from here on, so exact copies cost one row each.
 2. Nodes that share a band key are candidates. Each is linked with the smallest node of the bucket (a sum and a join,
    no pairs); connected components of these links are clusters. Two linked documents share a band with a probability
-   above 0.9999997 (see ``miss_probability``), and no bucket is capped.
+   above 0.9999997 at either similarity (see ``miss_probability``), and no bucket is capped.
 3. Inside a cluster all sets are compared in full. Clusters of more than ``BLOCK`` nodes are dealt over blocks that share
    some ``HUBS`` nodes; what ends up outside the cluster's largest component is then compared with every node of the
    cluster, block by block. So every pair is compared or already connected, and a task sees two blocks at most. Tasks
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,11 @@ from vigilake.llm.graphs import Union, components
 
 #: Fixed values of the task.
 SHINGLE = 5
-PERCENT = 85
+#: Similarity from which sets are near copies: op10's own, and the general one (the pipeline's).
+PERCENT, GENERAL_PERCENT = 85, 80
 BANDS, ROWS_OF_BAND = 32, 6
 PLACES = BANDS * ROWS_OF_BAND
+GENERAL_ROWS_OF_BAND = 5
 BLOCK, HUBS = 512, 64
 #: Different words a worker remembers; documents taken together; columns of a comparison at a time.
 CACHED, ROWS, COLUMNS = 200_000, 256, 8192
@@ -50,9 +53,14 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
-def miss_probability(similarity: float = PERCENT / 100) -> float:
+def rows_of_band(percent: int = PERCENT) -> int:
+    """Places of a band: fewer for a lower similarity, so that as few pairs are missed."""
+    return ROWS_OF_BAND if percent >= PERCENT else GENERAL_ROWS_OF_BAND
+
+
+def miss_probability(similarity: float = PERCENT / 100, rows: int = ROWS_OF_BAND) -> float:
     """Chance that two sets share no band."""
-    return (1 - similarity**ROWS_OF_BAND) ** BANDS
+    return (1 - similarity**rows) ** (PLACES // rows)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -112,15 +120,16 @@ def superminhash(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
     return least
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    parts = signature.view(np.uint64).reshape(BANDS, ROWS_OF_BAND)
-    key = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * MIX[0])
-    for k in range(ROWS_OF_BAND):
+def band_keys(signature: np.ndarray, rows: int = ROWS_OF_BAND) -> np.ndarray:
+    bands = len(signature) // rows
+    parts = signature[: bands * rows].view(np.uint64).reshape(bands, rows)
+    key = mixed(np.arange(1, bands + 1, dtype=np.uint64) * MIX[0])
+    for k in range(rows):
         key = mixed(key * MIX[0] ^ parts[:, k])
     return key.view(np.int64)
 
 
-def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def described(batches: Iterator[pa.RecordBatch], rows: int = ROWS_OF_BAND) -> Iterator[pa.RecordBatch]:
     """(…, text) to (…, n_shingles, digest, bands)."""
     for whole in batches:
         for a in range(0, whole.num_rows, ROWS):
@@ -130,16 +139,16 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = shingle_set(text)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_keys(superminhash(s)) if len(s) else [])
+                bands.append(band_keys(superminhash(s), rows) if len(s) else [])
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=[*kept, "n_shingles", "digest", "bands"])
 
 
-def linked(sizes_a: np.ndarray, sizes_b: np.ndarray, both: np.ndarray) -> np.ndarray:
-    """Whether 100 * intersection >= PERCENT * union."""
-    return (100 + PERCENT) * both >= PERCENT * (sizes_a + sizes_b)
+def linked(sizes_a: np.ndarray, sizes_b: np.ndarray, both: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union."""
+    return (100 + percent) * both >= percent * (sizes_a + sizes_b)
 
 
 def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -161,7 +170,7 @@ def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
     return out
 
 
-def forest(nodes: list[int], sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
+def forest(nodes: list[int], sets: list[np.ndarray], sides: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links of a spanning forest among the sets; where ``sides`` has both 1 and 0, rows of side 1 are compared with all."""
     union, out = Union(len(nodes)), []
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
@@ -174,18 +183,18 @@ def forest(nodes: list[int], sets: list[np.ndarray], sides: list[int]) -> list[t
             for i, shared in zip(chosen[a : a + BLOCK], common(sets, chosen[a : a + BLOCK], np.arange(len(nodes))), strict=True)
         ]
     for i, shared in rows:
-        for j in np.flatnonzero(linked(sizes[i], sizes, shared)):
+        for j in np.flatnonzero(linked(sizes[i], sizes, shared, percent)):
             if j != i and union.join(int(i), int(j)):
                 out.append((nodes[i], nodes[j]))
     return out
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compared(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Rows (job, node, side, text), equal jobs together, to the links (a, b) that hold."""
 
     def links(rows: dict[int, tuple[int, str]]) -> list[tuple[int, int]]:
         nodes = list(rows)
-        return forest(nodes, [shingle_set(rows[n][1]) for n in nodes], [rows[n][0] for n in nodes]) if len(nodes) > 1 else []
+        return forest(nodes, [shingle_set(rows[n][1]) for n in nodes], [rows[n][0] for n in nodes], percent) if len(nodes) > 1 else []
 
     def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
@@ -203,19 +212,19 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(found + links(rows))
 
 
-def compare(jobs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+def compare(jobs: DataFrame, texts: DataFrame, label: str, percent: int = PERCENT) -> DataFrame:
     """Links of all jobs (job, node, side) over the texts (node, text)."""
     rows = jobs.join(texts, "node")
-    return stash(rows.repartition("job").sortWithinPartitions("job").select("job", "node", "side", "text").mapInArrow(compared, "a long, b long"), label)
+    return stash(rows.repartition("job").sortWithinPartitions("job").select("job", "node", "side", "text").mapInArrow(partial(compared, percent=percent), "a long, b long"), label)
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: _row, doc_id, _text (hash of the text), n_shingles, digest, bands; kept in the shared folder."""
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"), "text")
-    return stash(rows.mapInArrow(described, "_row long, doc_id long, _text long, n_shingles long, digest binary, bands array<bigint>"), "described")
+    return stash(rows.mapInArrow(partial(described, rows=rows_of_band(percent)), "_row long, doc_id long, _text long, n_shingles long, digest binary, bands array<bigint>"), "described")
 
 
-def node_components(docs: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def node_components(docs: DataFrame, facts: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(digest, node, ...) of every different set, and (node, component) of the nodes that have links."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "_text", "bands"))
     nodes = stash(
@@ -237,14 +246,14 @@ def node_components(docs: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataF
     hub = (F.col("_size") > BLOCK) & (F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("_size") / HUBS)) == 0)
     own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = members.withColumn("_block", F.explode(F.when(hub, F.sequence(F.lit(0), blocks - 1)).otherwise(own)))
-    links = compare(dealt.select(F.xxhash64("cluster", "_block").alias("job"), "node", F.lit(0).alias("side")), texts, "links")
+    links = compare(dealt.select(F.xxhash64("cluster", "_block").alias("job"), "node", F.lit(0).alias("side")), texts, "links", percent)
     large = members.filter(F.col("_size") > BLOCK)
     if large.limit(1).count():
-        links = links.unionByName(rest_of_large(large, links, texts))
+        links = links.unionByName(rest_of_large(large, links, texts, percent))
     return nodes, components(links, "groups")
 
 
-def rest_of_large(large: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+def rest_of_large(large: DataFrame, links: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between nodes outside a large cluster's largest component and all of its nodes."""
     grouped = large.join(components(links, "first-groups"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = grouped.groupBy("cluster", "component").agg(F.count("*").alias("_n"))
@@ -258,13 +267,13 @@ def rest_of_large(large: DataFrame, links: DataFrame, texts: DataFrame) -> DataF
     as_row = cells.filter("_out").select("cluster", "node", row.alias("_r"), F.explode(F.sequence(F.lit(0), F.col("_columns") - 1)).alias("_c"), F.lit(1).alias("side"))
     as_column = cells.select("cluster", "node", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"), column.alias("_c"), F.lit(0).alias("side"))
     jobs = as_row.unionByName(as_column)
-    return compare(jobs.select(F.xxhash64("cluster", "_r", "_c").alias("job"), "node", "side"), texts, "more-links")
+    return compare(jobs.select(F.xxhash64("cluster", "_r", "_c").alias("job"), "node", "side"), texts, "more-links", percent)
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: _row, doc_id, _text, n_shingles, component_id, _first (the row that stays)."""
-    facts = describe(docs)
-    nodes, found = node_components(docs, facts)
+    facts = describe(docs, percent)
+    nodes, found = node_components(docs, facts, percent)
     joined = nodes.select("digest", "node", "doc_id").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("_l"))
     labelled = stash(
@@ -279,14 +288,14 @@ def grouped(docs: DataFrame) -> DataFrame:
     return with_set.unionByName(alone)
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``; kept: doc_id is the component's."""
-    return grouped(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return grouped(docs, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def survivors(docs: DataFrame) -> DataFrame:
+def survivors(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group, and all rows without shingles, in the columns of ``docs``."""
-    stay = grouped(docs).filter("_first").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), (F.col("n_shingles") > 0).alias("_once")).distinct()
+    stay = grouped(docs, percent).filter("_first").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), (F.col("n_shingles") > 0).alias("_once")).distinct()
     rows = docs.select(F.struct("*").alias("_r"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_t"))
     kept = rows.join(stay.hint("merge"), (F.col("_t") == F.col("_hash")) & F.col("_doc").eqNullSafe(F.col("_id")), "inner")
     once = kept.filter("_once").dropDuplicates(["_doc", "_t"])
