@@ -1,4 +1,9 @@
-"""Texts of public licences and of the notices that name them. (name, text)."""
+"""Texts of public licences and of the notices that name them. (name, text).
+
+TEMPLATES has notices and short licences, BODIES the long licences as a whole, from the files beside this module.
+"""
+
+from importlib.resources import files
 
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -58,3 +63,39 @@ original software. 3. This notice may not be removed or altered from any source
 publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
 purpose, commercial or non-commercial, and by any means."""),
 ]
+
+#: Creative Commons: name and how the long notice calls it.
+CC = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+TEMPLATES += [(f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k in CC]
+TEMPLATES += [(f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {v} 4.0 International License.") for k, v in CC.items() if k not in {"BY", "BY-SA"}]
+TEMPLATES += [(f"CC-{k}-3.0", f"Licensed under CC {k} 3.0.") for k in CC]
+TEMPLATES += [(f"CC-{k}-3.0", f"This work is licensed under a Creative Commons {v} 3.0 Unported License.") for k, v in CC.items()]
+
+_BSD_2 = next(t for n, t in TEMPLATES if n == "BSD-2-Clause")
+_GPL = next(t for n, t in TEMPLATES if n == "GPL-3.0" and len(t) > 500)
+TEMPLATES += [
+    ("BSD-3-Clause", _BSD_2.replace("THIS SOFTWARE IS PROVIDED", """3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written
+permission. THIS SOFTWARE IS PROVIDED""", 1)),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", _GPL.replace("either version 3", "either version 2")),
+    ("LGPL-3.0", _GPL.replace("GNU General Public", "GNU Lesser General Public").replace("GNU\nGeneral Public", "GNU Lesser General Public")),
+    ("LGPL-2.1", _GPL.replace("GNU General Public", "GNU Lesser General Public").replace("GNU\nGeneral Public", "GNU Lesser General Public").replace("version 3", "version 2.1")),
+    ("AGPL-3.0", _GPL.replace("GNU General Public", "GNU Affero General Public").replace("GNU\nGeneral Public", "GNU Affero General Public")),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+]
+
+BODIES = [
+    (name, files("vigilake.llm").joinpath(f"licences/{file}.txt").read_text(encoding="utf-8"))
+    for name, file in [
+        ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"),
+        ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"),
+    ]
+]
