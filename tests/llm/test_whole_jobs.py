@@ -1,10 +1,15 @@
 """What an operator must find beyond its plain cases: each of these was once cut short."""
 
+import os
 import random
+import re
 import string
 
 import corpus_pipeline
-from vigilake.llm import near_dedup, secret_scan
+from vigilake.llm import licence_scan, near_dedup, secret_scan
+from vigilake.llm.licence_templates import BODIES, TEMPLATES
+
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def pem(seed, lines=8, end="\n", closed=True):
@@ -43,3 +48,33 @@ def test_pipeline_drops_near_copies_from_similarity_80_on(spark):
         assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == left
         assert sorted(r.doc_id for r in near_dedup.survivors(docs).collect()) == strict
     assert near_dedup.miss_probability(0.8, near_dedup.rows_of_band(80)) < 3e-7
+
+
+def in_paragraphs(text, n):
+    words = text.split()
+    step = -(-len(words) // n)
+    return "\n\n".join("\n".join(" ".join(words[i:i + step][j:j + 9]) for j in range(0, step, 9)) for i in range(0, len(words), step))
+
+
+def test_licences_are_found_anywhere_in_a_text(spark):
+    prose = " ".join(random.Random(3).choices("the of and work copy file river stone you may under a lamp soft rain".split(), k=400))
+    long = {(n, t) for n, t in TEMPLATES if len(t) > 500}
+    texts = [(n, f"{prose}\n\n{in_paragraphs(t, 4)}\n\n{prose}") for n, t in [*long, *BODIES]]
+    texts += [(n, f"{prose} {t} {prose}") for n, t in TEMPLATES if len(t) < 200]
+    texts += [("MIT", f"{prose} released under\nthe MIT License. {prose}")]
+    found = {r.doc_id: r.licences for r in licence_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (name, _) in enumerate(texts):
+        assert name in {x.licence for x in found[i]}, (i, name, found[i])
+    assert licence_scan.scan(spark.createDataFrame([(prose * 3,)], "text string")).collect()[0].licences == []
+
+
+def test_every_licence_notice_of_the_documents_is_found(spark):
+    docs = spark.read.parquet(f"{SF_DIR.replace('sf0.001', 'sf0.01')}/documents.parquet").filter("text rlike '[Ll]icense'")
+    found = {r.doc_id: {x.licence for x in r.licences} for r in licence_scan.scan(docs.select("doc_id", "text")).collect()}
+    names = {"MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0", "GNU General Public License, version 3": "GPL-3.0", "CC BY-NC 4.0": "CC-BY-NC-4.0"}
+    seen = set()
+    for r in docs.collect():
+        want = {n for k, n in names.items() if k in r.text}
+        assert want <= found[r.doc_id] and (want or not re.search(r"[Ll]icensed under", r.text)), (r.doc_id, found[r.doc_id])
+        seen |= want
+    assert "CC-BY-NC-4.0" in seen

@@ -1,9 +1,11 @@
 """Licence scans: normalised text compared to licence templates by Dice coefficient over word bigrams.
 
-A text is compared whole, by paragraph (lines up to an empty one) and by line, so a notice inside a longer document is
-found. Text is lower-cased and everything but letters and digits becomes a space. A unit with n different bigrams can
+A text is compared whole, by paragraph (lines up to an empty one) and by line. What none of these settles is searched for
+stretches of any words in a row, over lines and paragraphs: a licence of several paragraphs, or a notice inside a longer
+line. A stretch gives way to a better one that overlaps it. Text is lower-cased and everything but letters and digits becomes a space. A unit with n different bigrams can
 reach a Dice coefficient of d with a template of m bigrams only if n lies between d / (2 - d) * m and
-(2 - d) / d * m: these bounds prune templates, and units whose word count no template admits are never cut into bigrams.
+(2 - d) / d * m: these bounds prune templates, and units whose word count no template admits are never cut into bigrams. Texts without any of some word beginnings (``stems_of``)
+can meet no template and are left at once.
 Templates are a constant of the plan (a parameter; some tens of texts), so nothing is shuffled.
 
 Defined results: null, empty and one-word texts match nothing. Every row of the input gives a row, repeated rows
@@ -13,15 +15,20 @@ included. Of equally good templates of one licence the first counts. Columns bes
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm.common import let, table, text_of, up_to
-from vigilake.llm.licence_templates import TEMPLATES
+from vigilake.llm.licence_templates import BODIES, TEMPLATES
 
 DICE = 0.8
+#: Words that any text holds: no stems.
+COMMON = set("a an and are by for in is of or the this to under other which these those there their either means such".split())
 
 
 def normalised(text: str) -> list[str]:
@@ -29,34 +36,109 @@ def normalised(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
+def bigrams_of(text: str) -> list[str]:
+    words = normalised(text)
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+
+
+def hashed(bigram: str) -> int:
+    """As Spark's xxhash64."""
+    value = xxhash.xxh64_intdigest(bigram.encode(), seed=42)
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
 def template_column(templates: list[tuple[str, str]], dice: float) -> tuple[Column, int, float]:
     """Constant array of (licence, n, least, most, bigrams); the smallest and largest number of bigrams admitted."""
     rows, bounds = [], []
     for name, text in templates:
-        words = normalised(text)
-        pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+        pairs = bigrams_of(text)
         least, most = dice / (2 - dice) * len(pairs), (2 - dice) / dice * len(pairs)
         bounds.append((least, most))
-        rows.append(F.struct(
-            F.lit(name).alias("licence"), F.lit(len(pairs)).alias("n"), F.lit(least).alias("least"), F.lit(most).alias("most"),
-            F.array(*[F.lit(p) for p in pairs]).alias("bigrams"),
-        ))
-    return F.array(*rows), min(int(b[0]) for b in bounds), max(b[1] for b in bounds)
+        rows.append({"licence": name, "n": len(pairs), "least": least, "most": most, "bigrams": [hashed(p) for p in pairs]})
+    schema = "array<struct<licence:string,n:int,least:double,most:double,bigrams:array<bigint>>>"
+    return F.from_json(F.lit(json.dumps(rows)), schema), min(int(b[0]) for b in bounds), max(b[1] for b in bounds)
+
+
+def stems_of(templates: list[tuple[str, str]], dice: float) -> list[str] | None:
+    """Beginnings of words of which every text that meets a template holds one; None where there are none.
+
+    What meets a template of m bigrams holds dice / (2 - dice) * m of them, so it cannot miss all those with a stem once
+    the ones without are fewer.
+    """
+    open_ = [(len(p), set(p)) for _, text in templates if (p := bigrams_of(text))]
+    stems: list[str] = []
+    while open_ := [(m, left) for m, left in open_ if len(left) >= dice / (2 - dice) * m]:
+        # Longer words are rarer; short ones where a template has no others left.
+        gain = next((g for short in (5, 2) if (g := Counter(
+            stem for _, left in open_ for pair in left for stem in {w[:6] for w in pair.split() if len(w) >= short and w.isascii() and w not in COMMON}))), None)
+        if not gain:
+            return None
+        stems.append(max(sorted(gain), key=gain.get))
+        open_ = [(m, {p for p in left if not any(w.startswith(stems[-1]) for w in p.split())}) for m, left in open_]
+    return stems
+
+
+def cleaned(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}\n]+", " ")
+
+
+def one_line(unit: Column) -> Column:
+    return F.trim(F.translate(unit, "\n", " "))
+
+
+def units(clean: Column) -> Column:
+    """Different lines, paragraphs and the whole of a cleaned text."""
+    return F.array_distinct(F.transform(F.concat(F.split(clean, "\n"), F.split(clean, r"\n *\n"), F.array(clean)), one_line))
 
 
-def units(text: Column) -> Column:
-    """Different lines, paragraphs and the whole of a text, normalised."""
-    clean = F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}\n]+", " ")
+def bigram_hashes(words: Column) -> Column:
+    """Of every word and the next one, in order."""
+    return F.transform(up_to(F.size(words) - 1), lambda i: F.xxhash64(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))))
 
-    def cut(t: Column) -> Column:
-        whole = F.concat(F.split(t, "\n"), F.split(t, r"\n *\n"), F.array(t))
-        return F.array_distinct(F.transform(whole, lambda u: F.trim(F.translate(u, "\n", " "))))
 
-    return let(clean, cut)
+def words_in(unit: Column) -> Column:
+    return F.array_remove(F.split(unit, " "), "")
+
+
+def windows(hashes: Column, known: Column, dice: float) -> Column:
+    """Array of (licence, dice): the best stretch of each template, unless a better one overlaps it.
+
+    The best stretch begins and ends where an unbroken run of a template's bigrams does, as one more of them only raises
+    the coefficient. Of a stretch at least ``dice``, at most (2 / dice - 2) * m different bigrams are not the template's; twice
+    as many may stand in it with repeats.
+    """
+
+    def stretch(t: Column) -> Column:
+        places = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(t["bigrams"], h), i)), lambda i: i.isNotNull())
+
+        def of_runs(p: Column) -> Column:
+            edge = lambda step: F.filter(
+                F.transform(p, lambda x, k: F.when(F.coalesce(F.abs(F.get(p, k + step) - x) != 1, F.lit(True)), F.struct(x.alias("p"), k.alias("k")))),
+                lambda e: e.isNotNull())
+
+            def best(ends: Column) -> Column:
+                def admitted(s: Column, e: Column) -> Column:
+                    hits = e["k"] - s["k"] + 1
+                    return (hits >= t["least"]) & (e["p"] - s["p"] + 1 - hits <= 2 * (2 / dice - 2) * t["n"])
+
+                pairs = F.flatten(F.transform(edge(-1), lambda s: F.transform(
+                    F.filter(ends, lambda e: admitted(s, e)), lambda e: F.struct(s["p"].alias("a"), e["p"].alias("b")))))
+                return F.array_max(F.transform(pairs, lambda w: let(
+                    F.array_distinct(F.slice(hashes, w["a"] + 1, w["b"] - w["a"] + 1)), lambda x: F.struct(
+                        (2.0 * F.size(F.array_intersect(x, t["bigrams"])) / (F.size(x) + t["n"])).alias("dice"), w["a"].alias("a"), w["b"].alias("b")))))
+
+            return let(edge(1), best)
+
+        return let(let(places, of_runs), lambda w: F.struct(t["licence"].alias("licence"), w["dice"].alias("dice"), w["a"].alias("a"), w["b"].alias("b")))
+
+    near = let(F.array_distinct(hashes), lambda d: F.filter(known, lambda t: F.size(F.array_intersect(d, t["bigrams"])) >= t["least"]))
+    found = F.filter(F.transform(near, stretch), lambda w: w["dice"] >= dice)
+    alone = let(found, lambda ws: F.filter(ws, lambda w: ~F.exists(ws, lambda v: (v["dice"] > w["dice"]) & (v["a"] <= w["b"]) & (w["a"] <= v["b"]))))
+    return F.transform(alone, lambda w: F.struct(w["licence"].alias("licence"), w["dice"].alias("dice")))
 
 
 def matches(text: Column, templates: list[tuple[str, str]], dice: float = DICE) -> Column:
-    """Array of (licence, dice) of every unit and template with at least ``dice``."""
+    """Array of (licence, dice) of every unit and template, and of every stretch of the rest, with at least ``dice``."""
     known, fewest, most_bigrams = template_column(templates, dice)
     empty = F.array().cast("array<struct<licence:string,dice:double>>")
 
@@ -68,18 +150,40 @@ def matches(text: Column, templates: list[tuple[str, str]], dice: float = DICE)
         return F.filter(scored, lambda s: s["dice"] >= dice)
 
     def unit(words: Column) -> Column:
-        pairs = F.array_distinct(F.transform(up_to(F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))))
+        pairs = F.array_distinct(bigram_hashes(words))
         # Fewer words than the smallest template's bound cannot reach it; the largest bound holds for different bigrams.
         return F.when(F.size(words) - 1 >= max(fewest, 1), let(pairs, lambda b: F.when(F.size(b) <= most_bigrams, compare(b)).otherwise(empty))).otherwise(empty)
 
-    cleaned = F.transform(units(text), lambda u: let(F.array_remove(F.split(u, " "), ""), unit))
-    return F.flatten(cleaned)
+    def whole(clean: Column) -> Column:
+        scored = F.filter(F.transform(units(clean), lambda u: F.struct(u.alias("u"), let(words_in(u), unit).alias("m"))), lambda x: F.size(x["m"]) > 0)
+
+        def with_rest(found: Column) -> Column:
+            names = F.transform(found, lambda x: x["u"])
+            # What a unit has settled is a word that no template has.
+            left = lambda parts: F.transform(parts, lambda x: F.when(F.array_contains(names, one_line(x)), F.lit("|")).otherwise(x))
+            paragraphs = F.concat_ws("\n", left(F.split(clean, r"\n *\n")))
+            rest = F.when(F.array_contains(names, one_line(clean)), F.lit("")).otherwise(F.concat_ws(" ", left(F.split(paragraphs, "\n"))))
+            stretches = let(let(words_in(rest), bigram_hashes), lambda h: windows(h, known, dice))
+            return F.concat(F.flatten(F.transform(found, lambda x: x["m"])), stretches)
+
+        return let(scored, with_rest)
+
+    def lowered(low: Column) -> Column:
+        stems = stems_of(templates, dice)
+        if stems is None:
+            return let(cleaned(low), whole)
+        possible = F.lit(False)
+        for stem in stems:
+            possible = possible | low.contains(stem)
+        return F.when(possible, let(cleaned(low), whole)).otherwise(empty)
+
+    return let(F.lower(text), lowered)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, text: str = "text", dice: float = DICE) -> DataFrame:
     """``docs`` without its text, with ``licences``: array of (licence, dice), the best unit of each licence, by name."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    found = matches(text_of(text), templates or TEMPLATES, dice)
+    found = matches(text_of(text), templates or TEMPLATES + BODIES, dice)
 
     def best(m: Column) -> Column:
         names = F.array_sort(F.array_distinct(F.transform(m, lambda x: x["licence"])))
