@@ -6,7 +6,7 @@ import re
 import string
 
 import corpus_pipeline
-from vigilake.llm import licence_scan, near_dedup, secret_scan
+from vigilake.llm import licence_scan, near_dedup, quality_rules, secret_scan
 from vigilake.llm.licence_templates import BODIES, TEMPLATES
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -78,3 +78,15 @@ def test_every_licence_notice_of_the_documents_is_found(spark):
         assert want <= found[r.doc_id] and (want or not re.search(r"[Ll]icensed under", r.text)), (r.doc_id, found[r.doc_id])
         seen |= want
     assert "CC-BY-NC-4.0" in seen
+
+
+def test_kept_rows_score_like_the_trusted_ones(spark):
+    rows = [(s / 1000, False) for s in range(1, 2001)] + [(-9.0, True)]
+    trusted = spark.createDataFrame(rows, "score double, base_failed boolean")
+    assert abs(quality_rules.least_trusted(trusted) - 0.002) < 0.0011
+    assert quality_rules.least_trusted(trusted.limit(0)) == float("-inf")
+    path = SF_DIR.replace("sf0.001", "sf0.1")
+    out = quality_rules.op8_quality_rules(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").filter("not base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    print(n)
+    assert n.get((1, False), 0) <= 0.002 * n[1, True] and n.get((0, True), 0) <= 0.05 * n[0, False]

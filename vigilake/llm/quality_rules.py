@@ -3,7 +3,8 @@
 Words and word pairs of every text are hashed into a fixed number of bins. Two multinomials over the bins are
 counted in one pass: over all rows (raw) and over the rows that are trusted (target). A document's score is the
 mean of log(target / raw) over its n-grams, so length cancels; every document with a score of at least
-``min_score`` that passes the base rules is kept.
+``min_score`` that passes the base rules is kept. The query takes ``min_score`` from the scores of all trusted rows that
+pass the base rules: their ``LOW_SHARE`` quantile.
 
 The model is one number per bin: its size is the parameter ``bins``, whatever the corpus. It goes to the tasks as a
 constant of the plan, so scoring needs no join and no shuffle.
@@ -21,12 +22,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import let, table, text_of, up_to, words_of
+from vigilake.llm.common import let, stash, table, text_of, up_to, words_of
 
 BINS = 16384
-#: Nats per n-gram below which a document is taken for unlike the trusted text. Ordinary text of the trusted kind lies
-#: around 0 whatever its length; text that shares few n-grams with it lies far below.
-MIN_SCORE = -0.15
+#: Share of the trusted rows that pass the base rules that may score below what is kept, and the inverse of the error in it.
+LOW_SHARE, LOW_ACCURACY = 0.001, 20000
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -126,7 +126,7 @@ def base_rules(words: Column, text: Column) -> dict[str, Column]:
     }
 
 
-def score(docs: DataFrame, ratios: list[float], text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+def score(docs: DataFrame, ratios: list[float], text: str = "text", min_score: float = -math.inf) -> DataFrame:
     """``docs`` without its text, with the counts, ``score``, ``base_failed`` and ``kept``."""
     rest = [c for c in docs.columns if c not in {text, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"}]
     body = text_of(text)
@@ -147,9 +147,19 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(good.hint("merge"), "doc_id", "left")
 
 
+def least_trusted(trusted: DataFrame, share: float = LOW_SHARE) -> float:
+    """The score that all but ``share`` of the trusted rows reach; rows that fail the base rules do not count."""
+    low = trusted.filter("not base_failed").agg(F.percentile_approx("score", share, LOW_ACCURACY)).first()[0]
+    return -math.inf if low is None else low
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios = log_ratios(bin_counts(with_trust(docs, table(spark, sf_dir, "labels")), "text", F.col("_trusted")))
-    return score(docs, ratios).select(
+    labels = table(spark, sf_dir, "labels")
+    ratios = log_ratios(bin_counts(with_trust(docs, labels), "text", F.col("_trusted")))
+    # Numbers only: scored once, read for the threshold and for the result.
+    scored = stash(score(docs, ratios), "scores")
+    least = least_trusted(with_trust(scored, labels).filter("_trusted"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score")
     )
