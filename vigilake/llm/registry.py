@@ -7,6 +7,7 @@ from vigilake.llm.mixing import MIXING_SQL, op2_mixing
 from vigilake.llm.near_dedup import op10_near_dedup
 from vigilake.llm.quality_rules import op8_quality_rules
 from vigilake.llm.secret_scan import op3_secret_scan
+from vigilake.llm.spelling_variants import op13_spelling_variants
 from vigilake.llm.suffix_dedup import op1_suffix_dedup
 from vigilake.llm.token_files import op9_token_files
 from vigilake.llm.toxicity import op4_toxicity
@@ -22,4 +23,5 @@ REGISTRY = {
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_token_files": (op9_token_files, None),
     "op10_near_dedup": (op10_near_dedup, None),
+    "op13_spelling_variants": (op13_spelling_variants, None),
 }
