@@ -3,8 +3,8 @@
 Words and word pairs of every text are hashed into a fixed number of bins. Two multinomials over the bins are
 counted in one pass: over all rows (raw) and over the rows that are trusted (target). A document's score is the
 mean of log(target / raw) over its n-grams, so length cancels; every document with a score of at least
-``min_score`` that passes the base rules is kept. The query takes ``min_score`` from the scores of all trusted rows that
-pass the base rules: their ``LOW_SHARE`` quantile.
+``min_score`` that passes the base rules is kept. The query takes ``min_score`` from the scores of trusted rows that
+pass the base rules: their exact ``LOW_SHARE`` quantile. Those rows, one in ``HELD_OUT``, are not in the target counts.
 
 The model is one number per bin: its size is the parameter ``bins``, whatever the corpus. It goes to the tasks as a
 constant of the plan, so scoring needs no join and no shuffle.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from vigilake.llm.common import let, stash, table, text_of, up_to, words_of
 
 BINS = 16384
-#: Share of the trusted rows that pass the base rules that may score below what is kept, and the inverse of the error in it.
-LOW_SHARE, LOW_ACCURACY = 0.001, 20000
+#: Share of the trusted rows that pass the base rules that may score below what is kept; one of how many sets the threshold.
+LOW_SHARE, HELD_OUT = 0.001, 5
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -34,24 +34,24 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 
 
-def pairs_of(words: Column, body) -> Column:
-    """``body(word, next word)`` of every word; the last word's next is null, and hashes ignore it."""
-    return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), body)
+def word_hashes(words: Column) -> Column:
+    """64-bit hash of every word: the text is hashed once, all else is made of these numbers."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def ngram_bins(words: Column, bins: int = BINS) -> Column:
-    """Bin of every word and of every word with the one after it."""
-    return F.concat(
-        F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(bins))), pairs_of(words, lambda a, b: F.pmod(F.hash(a, b), F.lit(bins))))
+def pair_hashes(hashes: Column) -> Column:
+    """Of every word and the one after it; the last word's pair is the word alone."""
+    return F.zip_with(hashes, F.slice(hashes, F.lit(2), F.size(hashes)), lambda a, b: F.when(b.isNull(), a).otherwise(F.xxhash64(a, b)))
 
 
 def bin_counts(docs: DataFrame, text: str, trusted: Column, bins: int = BINS) -> DataFrame:
     """(bin, raw, target): n-gram counts over all rows and over the trusted ones, in one pass."""
-    grams = docs.select(ngram_bins(words_of(text_of(text)), bins).alias("_grams"), F.coalesce(trusted, F.lit(False)).cast("int").alias("_t"))
+    grams = docs.select(
+        let(word_hashes(words_of(text_of(text))), lambda h: F.concat(h, pair_hashes(h))).alias("_grams"), F.coalesce(trusted, F.lit(False)).cast("int").alias("_t"))
     return (
         # Outer, as a plain explode makes Spark work the arrays out once more to filter empty ones early.
-        grams.select("_t", F.explode_outer("_grams").alias("bin"))
-        .filter("bin is not null").groupBy("bin")
+        grams.select("_t", F.explode_outer("_grams").alias("_gram"))
+        .filter("_gram is not null").groupBy(F.pmod("_gram", F.lit(bins)).alias("bin"))
         .agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
     )
 
@@ -74,22 +74,31 @@ def constant_array(values: list[float]) -> Column:
     return F.from_json(F.lit("[" + ",".join(repr(v) for v in values) + "]"), "array<double>")
 
 
-def likelihood_score(words: Column, ratios: list[float]) -> Column:
+def likelihood_score(hashes: Column, pairs: Column, ratios: list[float]) -> Column:
     """Mean log ratio of the n-grams; 0 without words."""
     model, bins = constant_array(ratios), F.lit(len(ratios))
-    both = pairs_of(words, lambda a, b: F.get(model, F.pmod(F.hash(a), bins)) + F.get(model, F.pmod(F.hash(a, b), bins)))
-    total = F.aggregate(both, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(words) > 0, total / (2 * F.size(words))).otherwise(F.lit(0.0))
+    sum_of = lambda grams: F.aggregate(grams, F.lit(0.0), lambda acc, x: acc + F.get(model, F.pmod(x, bins).cast("int")))
+    return F.when(F.size(hashes) > 0, (sum_of(hashes) + sum_of(pairs)) / (2 * F.size(hashes))).otherwise(F.lit(0.0))
 
 
-def repeated_words(words: Column, window: int = WINDOW) -> Column:
+def window_hashes(hashes: Column, pairs: Column, window: int = WINDOW) -> Column:
+    """Of every window of ``window`` (two or more) words: pairs, doubled as long as they fit, then word by word."""
+    out, n = pairs, 2
+    while n < window:
+        more, step = (out, n) if 2 * n <= window else (hashes, 1)
+        out = F.zip_with(out, F.slice(more, F.lit(n + 1), F.size(more)), lambda a, b: F.xxhash64(a, b))
+        n += step
+    return F.slice(out, F.lit(1), F.greatest(F.size(hashes) - (window - 1), F.lit(0)))
+
+
+def repeated_words(hashes: Column, pairs: Column, window: int = WINDOW) -> Column:
     """Number of words inside windows of ``window`` words that occur twice or more in the text.
 
     Windows are compared by 64-bit hash; the covered words come from one pass over the sorted repeats.
     """
 
-    def covered(hashes: Column) -> Column:
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def covered(found: Column) -> Column:
+        placed = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def repeats(s: Column) -> Column:
             same = lambda a, b: F.coalesce(F.get(s, a)["h"] == F.get(s, b)["h"], F.lit(False))
@@ -101,28 +110,21 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
             ordered = F.array_sort(hit)
             return F.aggregate(ordered, start.cast("struct<n:int,last:bigint>"), lambda a, i: step(a, i.cast("bigint")), lambda a: a["n"])
 
-        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(placed, repeats)).otherwise(F.lit(0))
-
-    def hashed(w: Column) -> Column:
-        """Hash of every window: each step takes one more word into the hashes of all windows."""
-        out = F.transform(w, lambda x: F.xxhash64(x))
-        for k in range(1, window):
-            out = F.zip_with(out, F.slice(w, F.lit(k + 1), F.size(w)), lambda h, x: F.xxhash64(h, x))
-        return F.slice(out, F.lit(1), F.greatest(F.size(w) - (window - 1), F.lit(0)))
+        return F.when(F.size(F.array_distinct(found)) < F.size(found), let(placed, repeats)).otherwise(F.lit(0))
 
-    return let(let(words, hashed), covered)
+    return let(window_hashes(hashes, pairs, window), covered)
 
 
-def base_rules(words: Column, text: Column) -> dict[str, Column]:
-    """The plain counts of a text."""
+def base_rules(hashes: Column, pairs: Column, text: Column) -> dict[str, Column]:
+    """The plain counts of a text; ``hashes`` and ``pairs``: of its words."""
     blank = F.translate(text, " \t\n\x0b\x0c\r", "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
     return {
-        "n_words": F.size(words).cast("long"),
+        "n_words": F.size(hashes).cast("long"),
         "word_chars": F.length(blank).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(words).cast("long"),
+        "n_repeat_words": repeated_words(hashes, pairs).cast("long"),
     }
 
 
@@ -132,9 +134,9 @@ def score(docs: DataFrame, ratios: list[float], text: str = "text", min_score: f
     body = text_of(text)
     counted = docs.select(
         *[F.col(f"`{c}`") for c in rest],
-        let(F.struct(body.alias("t"), words_of(body).alias("w")), lambda x: F.struct(
-            *[c.alias(name) for name, c in base_rules(x["w"], x["t"]).items()], likelihood_score(x["w"], ratios).alias("score")
-        )).alias("_facts"),
+        let(F.struct(body.alias("t"), word_hashes(words_of(body)).alias("h")), lambda x: let(pair_hashes(x["h"]), lambda p: F.struct(
+            *[c.alias(name) for name, c in base_rules(x["h"], p, x["t"]).items()], likelihood_score(x["h"], p, ratios).alias("score")
+        ))).alias("_facts"),
     ).select(*[F.col(f"`{c}`") for c in rest], "_facts.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= min_score))
@@ -148,18 +150,39 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def least_trusted(trusted: DataFrame, share: float = LOW_SHARE) -> float:
-    """The score that all but ``share`` of the trusted rows reach; rows that fail the base rules do not count."""
-    low = trusted.filter("not base_failed").agg(F.percentile_approx("score", share, LOW_ACCURACY)).first()[0]
-    return -math.inf if low is None else low
+    """The score that all but ``share`` of the trusted rows reach, rounded down to 1e-6; rows that fail the base rules do not count.
+
+    The exact order statistic: rows are counted per hundredth first and then per millionth inside the hundredth that
+    holds the rank, so at most some thousand numbers come to the driver and the order of tasks does not matter.
+    """
+    steps = trusted.filter("not base_failed").select(F.floor(F.col("score") * 1000000).cast("long").alias("q")).filter("q is not null")
+    rank = None
+    for width in (10000, 1):
+        inside = steps if rank is None else steps.filter(F.floor(F.col("q") / 10000) == coarse)
+        rows = sorted(inside.groupBy(F.floor(F.col("q") / width).cast("long").alias("b")).count().collect())
+        if not rows:
+            return -math.inf
+        if rank is None:
+            rank = int(share * sum(n for _, n in rows))
+        for coarse, n in rows:
+            if rank < n:
+                break
+            rank -= n
+    return coarse / 1000000
+
+
+def held_out(doc_id: Column) -> Column:
+    """The trusted rows that set the threshold; the model is counted without them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT == 0, F.lit(False))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
-    ratios = log_ratios(bin_counts(with_trust(docs, labels), "text", F.col("_trusted")))
+    ratios = log_ratios(bin_counts(with_trust(docs, labels), "text", F.col("_trusted") & ~held_out(F.col("doc_id"))))
     # Numbers only: scored once, read for the threshold and for the result.
     scored = stash(score(docs, ratios), "scores")
-    least = least_trusted(with_trust(scored, labels).filter("_trusted"))
+    least = least_trusted(with_trust(scored, labels).filter(F.col("_trusted") & held_out(F.col("doc_id"))))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score")
     )
