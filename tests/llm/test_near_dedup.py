@@ -16,7 +16,7 @@ def sets_of(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(docs):
+def brute(docs, percent=85):
     """{doc_id: (size, component)} by comparing all different sets."""
     by = {}
     for doc_id, text in docs:
@@ -40,7 +40,7 @@ def brute(docs):
                 if j < k:
                     shared[j] = shared.get(j, 0) + 1
         for j, n in shared.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 parent[find(k)] = find(j)
     low = {}
     for k, s in enumerate(sets):
@@ -50,10 +50,10 @@ def brute(docs):
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, percent=85):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.groups(docs).collect()}
-    want = brute(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.groups(docs, percent).collect()}
+    want = brute(rows, percent)
     assert got == {d: (n, c, c == d) for d, (n, c) in want.items()}
     return docs, want
 
@@ -84,6 +84,17 @@ def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
     check(spark, near_copies(260, 8, seed=8))
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80])
+def test_lower_similarities_miss_no_link(spark, percent):
+    rows = [r for k in range(6) for r in near_copies(14, int((100 - percent) * 0.25), seed=30 + k, first=100 * k)]
+    _, want = check(spark, rows, percent)
+    assert 6 < len({c for _, c in want.values()}) < len(rows)
+    assert nd.miss_probability(percent / 100, nd.rows_of_band(percent)) <= nd.MOST_MISSED
+    assert (nd.rows_of_band(85), nd.rows_of_band(80)) == (6, 5)
+    with pytest.raises(ValueError, match="too low"):
+        nd.rows_of_band(1)
+
+
 def test_odd_texts_and_ids(spark, odd_docs, no_docs):
     usable = [(r.doc_id, r.text) for r in odd_docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
     check(spark, [*usable, (20, "A B c"), (21, "a b\x0bC"), (22, "a\xa0b c"), (23, "x\x1cy z")])

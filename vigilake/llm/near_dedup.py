@@ -2,9 +2,10 @@
 
 1. One pass over the texts gives each document the number of its shingles, a digest of its set and the band keys of
    its SuperMinHash signature. Documents of equal sets are one node from here on, so exact copies cost one row each.
-2. Nodes that share a band key are candidates. Each is linked with the smallest node of the bucket (a sum and a join,
-   no pairs); connected components of these links are clusters. Two linked documents share a band with a probability
-   above 0.9999997 at either similarity (see ``miss_probability``), and no bucket is capped.
+2. Nodes that share a band key are candidates. A bucket's head is its smallest node; a node and all heads of its buckets
+   are linked with the least of them (sums and a join, no pairs; about one link a node). Connected components of these links are
+   clusters. Two linked documents share a band with a probability above 0.999999 at any similarity asked for (see ``rows_of_band``),
+   and no bucket is capped.
 3. Inside a cluster all sets are compared in full. Clusters of more than ``BLOCK`` nodes are dealt over blocks that share
    some ``HUBS`` nodes; what ends up outside the cluster's largest component is then compared with every node of the
    cluster, block by block. So every pair is compared or already connected, and a task sees two blocks at most. Tasks
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import stash, table
+from vigilake.llm.common import salted_join, stash, table
 from vigilake.llm.graphs import Union, components
 
 #: Fixed values of the task.
@@ -42,7 +43,8 @@ SHINGLE = 5
 PERCENT, GENERAL_PERCENT = 85, 80
 BANDS, ROWS_OF_BAND = 32, 6
 PLACES = BANDS * ROWS_OF_BAND
-GENERAL_ROWS_OF_BAND = 5
+#: Chance to miss a pair of just the similarity asked for.
+MOST_MISSED = 1e-6
 BLOCK, HUBS = 512, 64
 #: Different words a worker remembers; documents taken together; columns of a comparison at a time.
 CACHED, ROWS, COLUMNS = 200_000, 256, 8192
@@ -53,16 +55,19 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
-def rows_of_band(percent: int = PERCENT) -> int:
-    """Places of a band: fewer for a lower similarity, so that as few pairs are missed."""
-    return ROWS_OF_BAND if percent >= PERCENT else GENERAL_ROWS_OF_BAND
-
-
 def miss_probability(similarity: float = PERCENT / 100, rows: int = ROWS_OF_BAND) -> float:
     """Chance that two sets share no band."""
     return (1 - similarity**rows) ** (PLACES // rows)
 
 
+def rows_of_band(percent: int = PERCENT) -> int:
+    """Places of a band: as many as leave a pair of just this similarity a chance of ``MOST_MISSED`` at most to share none."""
+    fit = [r for r in range(1, ROWS_OF_BAND + 1) if miss_probability(percent / 100, r) <= MOST_MISSED]
+    if not fit:
+        raise ValueError(f"similarity of {percent} percent is too low for {PLACES} places")
+    return max(fit)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bits of 64-bit numbers well mixed."""
     x = (x ^ (x >> np.uint64(30))) * MIX[1]
@@ -232,10 +237,12 @@ def node_components(docs: DataFrame, facts: DataFrame, percent: int = PERCENT) -
         .select("digest", F.col("_f._row").alias("node"), F.col("_f.doc_id").alias("doc_id"), F.col("_f._text").alias("_text"), F.col("_f.bands").alias("bands")), "nodes")
     placed = nodes.select("node", F.explode("bands").alias("key"))
     heads = placed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("_n")).filter("_n > 1").select("key", "head")
-    candidates = placed.join(heads.hint("merge"), "key").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    # Of a node's bucket heads (one per band at most) the least stands for all: the node and the other heads are linked with it.
+    of_node = placed.join(heads.hint("merge"), "key").groupBy("node").agg(F.min("head").alias("b"), F.collect_set("head").alias("_heads"))
+    candidates = of_node.select(F.explode(F.array_union(F.array("node"), "_heads")).alias("a"), "b").filter("a <> b").distinct()
     clusters = components(candidates, "clusters").withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("_size"))
-    members = stash(clusters.join(sizes.hint("merge"), "cluster"), "members")
+    members = stash(salted_join(clusters, sizes, "cluster", F.col("node")), "members")
     # Texts of the clusters' nodes: the only ones that are shuffled on.
     where = members.join(nodes.select("node", "doc_id", "_text"), "node").select("node", "doc_id", "_text")
     original = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
@@ -258,9 +265,10 @@ def rest_of_large(large: DataFrame, links: DataFrame, texts: DataFrame, percent:
     grouped = large.join(components(links, "first-groups"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = grouped.groupBy("cluster", "component").agg(F.count("*").alias("_n"))
     main = counts.groupBy("cluster").agg(F.max(F.struct("_n", "component")).alias("_m")).select("cluster", F.col("_m.component").alias("_main"))
-    outside = stash(grouped.join(main.hint("merge"), "cluster").withColumn("_out", F.col("component") != F.col("_main")).select("cluster", "node", "_size", "_out"), "outside")
+    outside = stash(
+        salted_join(grouped, main, "cluster", F.col("node")).withColumn("_out", F.col("component") != F.col("_main")).select("cluster", "node", "_size", "_out"), "outside")
     n_out = outside.filter("_out").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_rows"))
-    cells = outside.join(n_out.hint("merge"), "cluster").withColumn("_columns", F.ceil(F.col("_size") / BLOCK).cast("int"))
+    cells = salted_join(outside, n_out, "cluster", F.col("node")).filter("_rows is not null").withColumn("_columns", F.ceil(F.col("_size") / BLOCK).cast("int"))
     # Job (row, column): outside nodes of the row against all nodes of the column.
     column = F.pmod(F.xxhash64("node"), F.col("_columns")).cast("int")
     row = F.pmod(F.xxhash64("node", F.lit(2)), F.col("_rows")).cast("int")
@@ -277,7 +285,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     joined = nodes.select("digest", "node", "doc_id").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("_l"))
     labelled = stash(
-        joined.join(least.hint("merge"), "component").select("digest", F.col("_l.doc_id").alias("_component"), F.col("_l.node").alias("_stays")), "labelled")
+        salted_join(joined, least, "component", F.col("node")).select("digest", F.col("_l.doc_id").alias("_component"), F.col("_l.node").alias("_stays")), "labelled")
     # A set that many documents share is one row here and a hot key there: salted.
     salts = 16
     rows = facts.drop("bands").withColumn("_salt", F.when(F.col("digest").isNotNull(), F.pmod("_row", F.lit(salts)).cast("int")))
