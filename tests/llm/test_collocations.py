@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare
 from vigilake.llm import collocations as co
@@ -71,21 +72,54 @@ def test_query_equals_its_sql(spark):
     assert message is None and rows > 50, message
 
 
-def test_colliding_fingerprints_are_told_apart(monkeypatch):
+class Shared:
+    """As a broadcast variable: everything marked."""
+
+    value = b"\xff" * (co.BITS // 8)
+
+
+def places_of(words, hashes=None):
     numbers = co.Numbers()
-    words = "a b c a d c a b c".split() + ["\n"]
     codes = np.array([numbers[w] for w in words])
-    places = co.Places(codes, np.zeros(len(numbers.words), dtype=np.uint64), "en")
-    at = places.starts(2)
-    assert len(np.unique(places.fingerprints(at, 2))) == 1
-    assert sorted(co.phrases_at(places, at, 2, numbers.words)) == [("a b", 2), ("a d", 1), ("b c", 2), ("c a", 2), ("d c", 1)]
+    known = np.array(numbers.hashes, dtype=np.uint64)
+    return numbers, co.Places(codes, np.zeros(len(codes), dtype=np.int64), known if hashes is None else known * np.uint64(hashes), "en")
+
+
+def test_colliding_fingerprints_are_told_apart_by_words():
+    words = [*"a b c a d c a b c".split(), "\n"]
+    numbers, places = places_of(words, hashes=0)
+    assert len(np.unique(places.fingerprints(places.starts(2), 2))) == 1
+    bits = np.frombuffer(Shared.value, dtype=np.uint8)
+    for level, most in ((1, 1), (2, 2), (3, 5)):
+        found = {}
+        for n, at, count in co.grams(places, level, [bits, bits]):
+            assert level - 1 <= n + 1 and n <= most
+            found.update({tuple(words[a:a + n]): c for a, c in zip(at.tolist(), count.tolist(), strict=True)})
+    want = {}
+    for i in range(9):
+        for n in range(1, 6):
+            if i + n <= 9:
+                want[tuple(words[i:i + n])] = want.get(tuple(words[i:i + n]), 0) + 1
+    assert found == want
+
+
+def test_phrases_that_disagree_are_recounted_by_their_words():
+    text = "x y z. x y q"
+    numbers, places = places_of(["x", "y", "z", "\n", "x", "y", "q", "\n"])
+    key, second = int(places.fingerprints(np.array([0]), 2).view(np.int64)[0]), int(places.fingerprints(np.array([0]), 2, 1)[0] >> np.uint64(40))
+    for n, total, agrees in ((2, 2 * second, True), (2, 2 * second + 1, False), (3, 2 * second, False)):
+        wanted = [{"fingerprint": key, "n": n, "second": total}, {"fingerprint": 7, "n": 100, "second": None}]
+        rows = next(co.read_phrases(iter([pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text], "wanted": [wanted]})]))).to_pylist()
+        assert rows == [{"lang": "en", "fingerprint": key, "phrase": "x y", "words": 2, "n": n, "agrees": agrees}, {"lang": "en", "fingerprint": 7, "phrase": None, "words": 0, "n": 100, "agrees": False}]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "doc": [1], "text": [text]})
+    counts = {r["phrase"]: r["n"] for b in co.recounter(Shared)(iter([batch])) for r in b.to_pylist()}
+    assert counts == {"x": 2, "y": 2, "z": 1, "q": 1, "x y": 2, "y z": 1, "y q": 1, "x y z": 1, "x y q": 1}
 
 
 def test_prefix_fingerprints_do_not_depend_on_the_place():
-    numbers = co.Numbers()
-    codes = np.array([numbers[w] for w in "x y z w x y z\n".replace("\n", " \n").split(" ")])
-    places = co.Places(codes, np.array(numbers.hashes, dtype=np.uint64), "en")
+    _, places = places_of("x y z w x y z \n".split(" "))
     assert places.fingerprints(np.array([0]), 3) == places.fingerprints(np.array([4]), 3)
+    assert places.fingerprints(np.array([0]), 3, 1) == places.fingerprints(np.array([4]), 3, 1) != places.fingerprints(np.array([0]), 3)
     assert places.starts(3).tolist() == [0, 1, 2, 3, 4]
 
 
