@@ -2,7 +2,9 @@
 
 A text is compared whole, by paragraph (lines up to an empty one) and by line. What none of these settles is searched for
 stretches of any words in a row, over lines and paragraphs: a licence of several paragraphs, or a notice inside a longer
-line. A stretch gives way to a better one that overlaps it. Text is lower-cased and everything but letters and digits becomes a space. A unit with n different bigrams can
+line. For each template the stretch is looked for in whose words the template's bigrams most outweigh others: runs of sums over the
+text (``stretch``), so the work grows with its length however damaged its licences are. A stretch gives way to a better one that
+overlaps it. Text is lower-cased and everything but letters and digits becomes a space. A unit with n different bigrams can
 reach a Dice coefficient of d with a template of m bigrams only if n lies between d / (2 - d) * m and
 (2 - d) / d * m: these bounds prune templates, and units whose word count no template admits are never cut into bigrams. Texts without any of some word beginnings (``stems_of``)
 can meet no template and are left at once.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +30,8 @@ from vigilake.llm.common import let, table, text_of, up_to
 from vigilake.llm.licence_templates import BODIES, TEMPLATES
 
 DICE = 0.8
+#: Templates whose marks share a number; rounds in which a stretch's coefficient is raised.
+MARKS, ROUNDS = 60, 3
 #: Words that any text holds: no stems.
 COMMON = set("a an and are by for in is of or the this to under other which these those there their either means such".split())
 
@@ -54,12 +59,13 @@ def template_column(templates: list[tuple[str, str]], dice: float) -> tuple[Colu
         pairs = bigrams_of(text)
         least, most = dice / (2 - dice) * len(pairs), (2 - dice) / dice * len(pairs)
         bounds.append((least, most))
-        rows.append({"licence": name, "n": len(pairs), "least": least, "most": most, "bigrams": [hashed(p) for p in pairs]})
-    schema = "array<struct<licence:string,n:int,least:double,most:double,bigrams:array<bigint>>>"
+        rows.append({"licence": name, "n": len(pairs), "places": len(normalised(text)) - 1, "least": least, "most": most, "bigrams": [hashed(p) for p in pairs]})
+    schema = "array<struct<licence:string,n:int,places:int,least:double,most:double,bigrams:array<bigint>>>"
     return F.from_json(F.lit(json.dumps(rows)), schema), min(int(b[0]) for b in bounds), max(b[1] for b in bounds)
 
 
-def stems_of(templates: list[tuple[str, str]], dice: float) -> list[str] | None:
+@lru_cache(maxsize=8)
+def stems_of(templates: tuple[tuple[str, str], ...], dice: float) -> list[str] | None:
     """Beginnings of words of which every text that meets a template holds one; None where there are none.
 
     What meets a template of m bigrams holds dice / (2 - dice) * m of them, so it cannot miss all those with a stem once
@@ -100,41 +106,123 @@ def words_in(unit: Column) -> Column:
     return F.array_remove(F.split(unit, " "), "")
 
 
-def windows(hashes: Column, known: Column, dice: float) -> Column:
-    """Array of (licence, dice): the best stretch of each template, unless a better one overlaps it.
+def cuckoo_table(values: list[int]) -> tuple[list[int | None], int]:
+    """The numbers in a table of 2^bits places, each at one of its two places (``places_of``)."""
+    bits = max(4, (2 * len(values)).bit_length())
+    while True:
+        table: list[int | None] = [None] * (1 << bits)
+        if all(_placed(table, v, bits) for v in values):
+            return table, bits
+        bits += 1
 
-    The best stretch begins and ends where an unbroken run of a template's bigrams does, as one more of them only raises
-    the coefficient. Of a stretch at least ``dice``, at most (2 / dice - 2) * m different bigrams are not the template's; twice
-    as many may stand in it with repeats.
-    """
 
-    def stretch(t: Column) -> Column:
-        places = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(t["bigrams"], h), i)), lambda i: i.isNotNull())
+def places_of(value: int, bits: int) -> tuple[int, int]:
+    return value & (1 << bits) - 1, value >> 32 & (1 << bits) - 1
+
+
+def _placed(table: list[int | None], value: int, bits: int) -> bool:
+    at = places_of(value, bits)[0]
+    for _ in range(500):
+        value, table[at] = table[at], value
+        if value is None:
+            return True
+        first, second = places_of(value, bits)
+        at = second if at == first else first
+    return False
+
 
-        def of_runs(p: Column) -> Column:
-            edge = lambda step: F.filter(
-                F.transform(p, lambda x, k: F.when(F.coalesce(F.abs(F.get(p, k + step) - x) != 1, F.lit(True)), F.struct(x.alias("p"), k.alias("k")))),
-                lambda e: e.isNotNull())
+def marks(hashes: Column, templates: list[tuple[str, str]]) -> list[Column]:
+    """Per 60 templates: for every hash the templates that hold it, one bit each; two looks into a constant table, however many bigrams there are."""
+    held: dict[int, int] = {}
+    for t, (_, text) in enumerate(templates):
+        for pair in bigrams_of(text):
+            held[hashed(pair)] = held.get(hashed(pair), 0) | 1 << t
+    table, bits = cuckoo_table(sorted(held))
+    keys = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+    low = F.lit((1 << bits) - 1)
 
-            def best(ends: Column) -> Column:
-                def admitted(s: Column, e: Column) -> Column:
-                    hits = e["k"] - s["k"] + 1
-                    return (hits >= t["least"]) & (e["p"] - s["p"] + 1 - hits <= 2 * (2 / dice - 2) * t["n"])
+    def looked_up(first: int) -> Column:
+        masks = F.from_json(F.lit(json.dumps([0 if v is None else held[v] >> first & (1 << MARKS) - 1 for v in table])), "array<bigint>")
 
-                pairs = F.flatten(F.transform(edge(-1), lambda s: F.transform(
-                    F.filter(ends, lambda e: admitted(s, e)), lambda e: F.struct(s["p"].alias("a"), e["p"].alias("b")))))
-                return F.array_max(F.transform(pairs, lambda w: let(
-                    F.array_distinct(F.slice(hashes, w["a"] + 1, w["b"] - w["a"] + 1)), lambda x: F.struct(
-                        (2.0 * F.size(F.array_intersect(x, t["bigrams"])) / (F.size(x) + t["n"])).alias("dice"), w["a"].alias("a"), w["b"].alias("b")))))
+        def look(h: Column) -> Column:
+            a, b = h.bitwiseAND(low).cast("int"), F.shiftright(h, 32).bitwiseAND(low).cast("int")
+            return F.when(F.get(keys, a) == h, F.get(masks, a)).when(F.get(keys, b) == h, F.get(masks, b)).otherwise(F.lit(0).cast("bigint"))
 
-            return let(edge(1), best)
+        return F.transform(hashes, look)
 
-        return let(let(places, of_runs), lambda w: F.struct(t["licence"].alias("licence"), w["dice"].alias("dice"), w["a"].alias("a"), w["b"].alias("b")))
+    return [looked_up(first) for first in range(0, len(templates), MARKS)]
+
+
+def stretch(found: Column, bit: Column, dice: Column, most: Column) -> Column:
+    """(sum, a, b): the places a to b where 2 - dice for every bigram of the template, less dice for every other one, sum up most.
+
+    A stretch ends at ``most`` places with bigrams of the template: what follows is another copy.
+    """
+    kind = "struct<at:int,sum:double,from:int,hits:int,best:double,a:int,b:int>"
+    start = F.struct(*[F.lit(v).alias(n) for n, v in (("at", 0), ("sum", 0.0), ("from", 0), ("hits", 0), ("best", 0.0), ("a", -1), ("b", -1))]).cast(kind)
 
-    near = let(F.array_distinct(hashes), lambda d: F.filter(known, lambda t: F.size(F.array_intersect(d, t["bigrams"])) >= t["least"]))
-    found = F.filter(F.transform(near, stretch), lambda w: w["dice"] >= dice)
-    alone = let(found, lambda ws: F.filter(ws, lambda w: ~F.exists(ws, lambda v: (v["dice"] > w["dice"]) & (v["a"] <= w["b"]) & (w["a"] <= v["b"]))))
-    return F.transform(alone, lambda w: F.struct(w["licence"].alias("licence"), w["dice"].alias("dice")))
+    def step(acc: Column, mask: Column) -> Column:
+        hit = mask.bitwiseAND(bit) != 0
+        on = (acc["sum"] > 0) & (acc["hits"] < most)
+        total = F.when(on, acc["sum"]).otherwise(0.0) + F.when(hit, 2.0 - dice).otherwise(-dice)
+        begin = F.when(on, acc["from"]).otherwise(acc["at"])
+        better = total > acc["best"]
+        return F.struct(
+            (acc["at"] + 1).alias("at"), total.alias("sum"), begin.alias("from"), (F.when(on, acc["hits"]).otherwise(0) + hit.cast("int")).alias("hits"),
+            F.when(better, total).otherwise(acc["best"]).alias("best"), F.when(better, begin).otherwise(acc["a"]).alias("a"),
+            F.when(better, acc["at"]).otherwise(acc["b"]).alias("b")).cast(kind)
+
+    return F.aggregate(found, start, step, lambda acc: F.struct(acc["best"].alias("sum"), acc["a"].alias("a"), acc["b"].alias("b")))
+
+
+def windows(hashes: Column, known: Column, templates: list[tuple[str, str]], dice: float) -> Column:
+    """Array of (licence, dice): the best stretch of each template, unless a better one overlaps it.
+
+    2 * hits - d * length is d times the template's size or more only where the coefficient is d or more. So the stretch with the
+    largest such sum is taken for d = ``dice``, and again for the coefficient that it has, ``ROUNDS`` times: the coefficient
+    never falls, and where it stays no stretch has a larger one. The search counts bigrams as often as they stand there, the
+    coefficient once; as copies may follow each other, it goes from both ends and a stretch ends where a whole template can be in it.
+    """
+    near = let(F.array_distinct(hashes), lambda d: F.filter(
+        F.transform(known, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.size(F.array_intersect(d, x["t"]["bigrams"])) >= x["t"]["least"]))
+
+    def search(near: Column, *found: Column) -> Column:
+        def of_template(x: Column) -> Column:
+            t = x["t"]
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (x["i"] % MARKS).cast("int"))
+            mine = found[0] if len(found) == 1 else F.element_at(F.array(*found), (x["i"] / MARKS).cast("int") + 1)
+
+            def judged(w: Column) -> Column:
+                return let(F.array_distinct(F.slice(hashes, w["a"] + 1, w["b"] - w["a"] + 1)), lambda d: F.struct(
+                    t["licence"].alias("licence"), F.when(w["a"] < 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(d, t["bigrams"])) / (F.size(d) + t["n"])).alias("dice"),
+                    w["a"].alias("a"), w["b"].alias("b")))
+
+            last = F.size(hashes) - 1
+            back = F.reverse(mine)
+            turned = lambda w: F.struct(w["sum"].alias("sum"), F.when(w["a"] < 0, -1).otherwise(last - w["b"]).alias("a"), (last - w["a"]).alias("b"))
+
+            def raised(best: Column, rounds: int) -> Column:
+                if not rounds:
+                    return best
+                again = let(let(stretch(mine, bit, best["dice"], t["places"]), judged), lambda r: F.when(r["dice"] > best["dice"], raised(r, rounds - 1)).otherwise(best))
+                return F.when(best["dice"] >= dice, again).otherwise(best)
+
+            def from_both_ends(w: Column) -> Column:
+                ways = F.array(judged(w), let(let(stretch(back, bit, F.lit(dice), t["places"]), turned), judged))
+                return let(ways, lambda v: F.when(F.get(v, 1)["dice"] > F.get(v, 0)["dice"], F.get(v, 1)).otherwise(F.get(v, 0)))
+
+            # Far from the sum that a stretch needs there is none.
+            return let(stretch(mine, bit, F.lit(dice), t["places"]), lambda w: F.when(
+                w["sum"] >= 0.5 * dice * t["n"], let(from_both_ends(w), lambda r: raised(r, ROUNDS))))
+
+        hits = F.filter(F.transform(near, of_template), lambda w: w["dice"] >= dice)
+        alone = let(hits, lambda ws: F.filter(ws, lambda w: ~F.exists(ws, lambda v: (v["dice"] > w["dice"]) & (v["a"] <= w["b"]) & (w["a"] <= v["b"]))))
+        return F.transform(alone, lambda w: F.struct(w["licence"].alias("licence"), w["dice"].alias("dice")))
+
+    empty = F.array().cast("array<struct<licence:string,dice:double>>")
+    masks = marks(hashes, templates)
+    together = F.struct(*[m.alias(f"m{i}") for i, m in enumerate(masks)])
+    return let(near, lambda x: F.when(F.size(x) == 0, empty).otherwise(let(together, lambda m: search(x, *[m[f"m{i}"] for i in range(len(masks))]))))
 
 
 def matches(text: Column, templates: list[tuple[str, str]], dice: float = DICE) -> Column:
@@ -163,13 +251,13 @@ def matches(text: Column, templates: list[tuple[str, str]], dice: float = DICE)
             left = lambda parts: F.transform(parts, lambda x: F.when(F.array_contains(names, one_line(x)), F.lit("|")).otherwise(x))
             paragraphs = F.concat_ws("\n", left(F.split(clean, r"\n *\n")))
             rest = F.when(F.array_contains(names, one_line(clean)), F.lit("")).otherwise(F.concat_ws(" ", left(F.split(paragraphs, "\n"))))
-            stretches = let(let(words_in(rest), bigram_hashes), lambda h: windows(h, known, dice))
+            stretches = let(let(words_in(rest), bigram_hashes), lambda h: windows(h, known, templates, dice))
             return F.concat(F.flatten(F.transform(found, lambda x: x["m"])), stretches)
 
         return let(scored, with_rest)
 
     def lowered(low: Column) -> Column:
-        stems = stems_of(templates, dice)
+        stems = stems_of(tuple(templates), dice)
         if stems is None:
             return let(cleaned(low), whole)
         possible = F.lit(False)
