@@ -106,3 +106,61 @@ def test_batch_threshold_includes_its_value(spark):
     df = points(spark, u=[0.0] * 9 + [10.0]).select(F.lit("o").alias("org_id"), "uri", F.lit("b").alias("batch_id"), F.col("ds").alias("ts"), F.col("y").alias("metric_value"))
     z = Z.batch_anomalies(df, "b", 2.0).first().z_score
     assert Z.batch_anomalies(df, "b", z).count() == 1
+
+
+def weekly(spark, weeks=10, broken=31, trend=0.5, uri="w"):
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for d in range(7 * weeks):
+        y = 1e6 + trend * d + [0, 3, 5, 4, 2, -20, -22][d % 7] + (0.3 if d % 2 else -0.3)
+        rows.append((uri, start + dt.timedelta(days=d), y + (15 if d == broken else 0)))
+    return spark.createDataFrame(rows, "uri string, ds timestamp, y double")
+
+
+def test_season_finds_the_broken_day_that_a_trend_misses(spark):
+    points = weekly(spark)
+    found = Z.seasonal_outliers(points, width=0.999, harmonics=3).collect()
+    assert [r.ds for r in found] == [dt.datetime(2024, 1, 1) + dt.timedelta(days=31)]
+    assert dt.datetime(2024, 2, 1) not in [r.ds for r in Z.band_outliers(points, width=0.999).collect()]
+    named = Z.detect_outliers(points, "seasonal", config={"harmonics": 3})
+    assert named.columns == ["uri", "ds", "observed", "lower", "upper"] and named.where("ds = '2024-02-01'").count() == 1
+
+
+def test_season_equals_least_squares(spark):
+    rng = np.random.default_rng(1)
+    start = dt.datetime(2020, 1, 1)
+    rows = []
+    for k, n in enumerate((12, 40, 200, 11)):
+        days = np.sort(rng.choice(500, n, replace=False))
+        rows += [(f"s{k}", start + dt.timedelta(days=int(d), hours=int(rng.integers(24))), float(rng.normal(50, 9))) for d in days]
+    rows += [("flat", start + dt.timedelta(days=7 * i), 3.0) for i in range(20)] + [("s1", start, None)]
+    points = spark.createDataFrame(rows, "uri string, ds timestamp, y double")
+    found = {(r.uri, r.ds): (r.lower, r.upper) for r in Z.seasonal_outliers(points).collect()}
+    want = {}
+    for uri in ("s0", "s1", "s2"):
+        own = [(t, y) for u, t, y in rows if u == uri and y is not None]
+        t = np.array([(x - min(t for t, _ in own)).total_seconds() / 86400 for x, _ in own])
+        y = np.array([v for _, v in own])
+        a = np.stack([np.ones_like(t), t, *[f(2 * np.pi * k * t / 7) for k in (1, 2) for f in (np.sin, np.cos)]], axis=1)
+        fit = a @ np.linalg.lstsq(a, y, rcond=None)[0]
+        spread = np.sqrt(np.mean((y - fit) ** 2)) * 1.2815515655446004
+        want.update({(uri, x): (f - spread, f + spread) for (x, v), f in zip(own, fit) if v < f - spread or v > f + spread})
+    assert set(found) == set(want)
+    assert all(np.allclose(found[k], want[k], atol=1e-6) for k in want)
+
+
+def test_moments_merge_to_those_of_the_whole(spark):
+    rng = np.random.default_rng(2)
+    rows = [("o", f"u{int(rng.integers(6))}", int(rng.integers(4)), DAY + dt.timedelta(hours=i), float(1e6 + rng.normal())) for i in range(400)]
+    rows += [("o", "new", 3, DAY, 5.0), ("o", "old", 0, DAY, 6.0), ("o", "nulls", 1, DAY, None)]
+    points = spark.createDataFrame(rows, "org_id string, uri string, batch_id int, ts timestamp, metric_value double")
+    state = Z.moments(points.where("batch_id = 0"))
+    for b in (1, 2, 3):
+        state = Z.merge_moments(state, Z.moments(points.where(f"batch_id = {b}")))
+    whole = {r.uri: (r.n, r["mean"], r.m2) for r in Z.moments(points).collect()}
+    merged = {r.uri: (r.n, r["mean"], r.m2) for r in state.collect()}
+    assert set(whole) == set(merged) and all(np.allclose(whole[k], merged[k], rtol=1e-7, atol=1e-6) for k in whole)
+    batch = points.where("batch_id = 3")
+    full = {(r.uri, r.ts): r.z_score for r in Z.batch_anomalies(points, 3, threshold=1.5).collect()}
+    running = {(r.uri, r.ts): r.z_score for r in Z.running_anomalies(state, batch, threshold=1.5).collect()}
+    assert set(full) == set(running) and len(full) > 3 and all(abs(full[k] - running[k]) < 1e-4 for k in full)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from vigilake.operators import outliers as Z
 from vigilake.operators import profile as P
 from vigilake.plans import inputs as I
 from vigilake.plans.inputs import load, table_uri_of, with_ctes
+from vigilake.session import cut_lineage
 from vigilake.sources.tables import crawl_fields
 
 # Numeric and text columns of the given tables, for the SQL side.
@@ -188,6 +191,44 @@ def forecast_band(spark, sf_dir) -> DataFrame:
     return found.select("uri", show_ts("ds"), *[rounded(c, 3) for c in ("observed", "lower", "upper")])
 
 
+def seasonal_band(spark, sf_dir) -> DataFrame:
+    found = Z.seasonal_outliers(M.series(I.metrics(spark, sf_dir)))
+    return found.select("uri", show_ts("ds"), *[rounded(c, 3) for c in ("observed", "lower", "upper")])
+
+
+def _season_sql() -> str:
+    """The band by Gram-Schmidt: each column less what the ones before it explain, sums over the series as windows."""
+    columns = ["1.0::DOUBLE", "t", *[f"{f}(t * {2 * math.pi / 7 * k!r})" for k in (1, 2) for f in ("sin", "cos")]]
+    sql = ", s AS (SELECT uri, ts, metric_value y, epoch_us(ts) / 86400000000.0 x FROM metrics)"
+    sql += ", c AS (SELECT *, count(*) OVER w n, y - avg(y) OVER w yc, avg(y) OVER w m, x - min(x) OVER w t FROM s WINDOW w AS (PARTITION BY uri) QUALIFY n >= 12)"
+    before, named = "c", []
+    for j, column in enumerate(columns):
+        sql += f", f{j} AS (SELECT *, {column} r{j}, {column} w{j} FROM {before})"
+        before = f"f{j}"
+        for k in named:
+            sql += (f", f{j}_{k} AS (SELECT * REPLACE (w{j} - CASE WHEN u{k} THEN q{k} * sum(w{j} * q{k}) OVER (PARTITION BY uri) / sum(q{k} * q{k}) OVER (PARTITION BY uri) ELSE 0 END AS w{j}) FROM {before})")
+            before = f"f{j}_{k}"
+        sql += f", g{j} AS (SELECT *, w{j} q{j}, sum(w{j} * w{j}) OVER (PARTITION BY uri) > 1e-9 * sum(r{j} * r{j}) OVER (PARTITION BY uri) u{j} FROM {before})"
+        before = f"g{j}"
+        named.append(j)
+    fit = " + ".join(f"CASE WHEN u{j} THEN q{j} * sum(yc * q{j}) OVER (PARTITION BY uri) / sum(q{j} * q{j}) OVER (PARTITION BY uri) ELSE 0 END" for j in named)
+    sql += f", fitted AS (SELECT uri, ts, y, m + {fit} fit FROM {before})"
+    sql += ", band AS (SELECT *, sqrt(avg((y - fit) * (y - fit)) OVER (PARTITION BY uri)) * 1.2815515655446004 s FROM fitted)"
+    return with_ctes("metrics", sql + f"""
+SELECT uri, {sql_ts('ts', 'ds')}, round(y + 1.3e-7, 3) AS observed, round(fit - s + 1.3e-7, 3) AS "lower", round(fit + s + 1.3e-7, 3) AS "upper"
+FROM band WHERE y < fit - s OR y > fit + s""")
+
+
+def running_anomalies(spark, sf_dir) -> DataFrame:
+    """The anomalies of the last batch from moments that were kept and merged twice; older points are not read for them."""
+    pushes = I.pushes(spark, sf_dir)
+    first, second, last = (pushes.where(w) for w in (
+        "batch_id < '2024-01-15'", "batch_id >= '2024-01-15' and batch_id < '2024-01-30'", "batch_id = '2024-01-30'"))
+    state = cut_lineage(Z.merge_moments(Z.moments(first), Z.moments(second)))
+    found = Z.running_anomalies(Z.merge_moments(state, Z.moments(last)), last, threshold=1.5)
+    return found.select("org_id", "uri", "batch_id", show_ts(), "metric_value", rounded("z_score", 4), "algorithm")
+
+
 def batch_anomalies(spark, sf_dir) -> DataFrame:
     found = Z.batch_anomalies(I.pushes(spark, sf_dir), "2024-01-30", threshold=1.5)
     return found.select("org_id", "uri", "batch_id", show_ts(), "metric_value", rounded("z_score", 4), "algorithm")
@@ -221,6 +262,12 @@ SELECT uri, {sql_ts('ds')}, round(y + 1.3e-7, 4) AS y, round(z + 1.3e-7, 4) AS z
   spread AS (SELECT uri, stddev_pop(y - fit) * 1.2815515655446004 s FROM resid GROUP BY uri)
 SELECT uri, {sql_ts('ts', 'ds')}, round(y + 1.3e-7, 3) AS observed, round(fit - s + 1.3e-7, 3) AS "lower", round(fit + s + 1.3e-7, 3) AS "upper"
 FROM resid JOIN spread USING (uri) WHERE y < fit - s OR y > fit + s""")),
+    "seasonal_band": (seasonal_band, _season_sql()),
+    "running_anomalies": (running_anomalies, with_ctes("pushes", f"""
+, scored AS (SELECT *, count(*) OVER w n, stddev_pop(metric_value) OVER w s,
+    abs(metric_value - avg(metric_value) OVER w) d FROM pushes WHERE batch_id <= '2024-01-30' WINDOW w AS (PARTITION BY org_id, uri))
+SELECT org_id, uri, batch_id, {sql_ts('ts')}, metric_value, round(d / s + 1.3e-7, 4) AS z_score, 'zscore' AS algorithm
+FROM scored WHERE n >= 3 AND s > 0 AND d / s >= 1.5 AND batch_id = '2024-01-30'""")),
     "batch_anomalies": (batch_anomalies, with_ctes("pushes", f"""
 , scored AS (SELECT *, count(*) OVER w n, stddev_pop(metric_value) OVER w s,
     abs(metric_value - avg(metric_value) OVER w) d FROM pushes WINDOW w AS (PARTITION BY org_id, uri))

@@ -13,11 +13,16 @@ from vigilake.plans.inputs import load, with_ctes
 from vigilake.plans.profile_queries import COLUMNS, OTHER, show_ts, sql_ts
 from vigilake.session import new_scratch_path
 from vigilake.sources import apispec as A
+from vigilake.sources import crawl as C
+from vigilake.sources import csv_files as CF
 from vigilake.sources import files as FL
+from vigilake.sources import json_arrays as JA
 from vigilake.sources import text as T
 from vigilake.streaming import listing as SL
+from vigilake.streaming import overdue as SO
 from vigilake.streaming import windows as SW
 
+SESSION_GAP = "30 MINUTES"
 _CSV_TABLES = ["customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
@@ -199,7 +204,105 @@ def windowed_stream(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(table).select("uri", show_ts(), "metric_name", "metric_value")
 
 
+def _event_stream(spark, sf_dir) -> DataFrame:
+    load(spark, sf_dir, "events")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn(
+        "ts", F.col("ts").cast("timestamp"))
+
+
+def live_overdue(spark, sf_dir) -> DataFrame:
+    """Feeds per user that have stopped, as the stream of all events notices them."""
+    arrivals = _event_stream(spark, sf_dir).select(
+        F.lit(I.SOURCE).alias("source"), F.concat(F.lit("user"), "user_id").alias("fileset"), F.col("ts").alias("mtime"))
+    table, checkpoint = new_scratch_path(spark, "overdue"), new_scratch_path(spark, "checkpoint")
+    with SO.timers(spark):
+        SL.append_new(SO.stream_overdue(arrivals), table, checkpoint)
+    return spark.read.parquet(table).select("source", "fileset", show_ts("last_seen"), "median_interval_seconds", show_ts("expected_by"))
+
+
+_LIVE_SQL = f"""
+WITH times AS (SELECT DISTINCT user_id, epoch_us(ts) us FROM events),
+  gaps AS (SELECT user_id, us, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) gap FROM times),
+  binned AS (SELECT user_id, us, gap - gap % (1::BIGINT << greatest(0, length(bin(gap)) - {SO.BIN_BITS})) AS gap FROM gaps),
+  feeds AS (SELECT user_id, max(us) last_us, median(gap) med, count(*) n FROM binned GROUP BY user_id HAVING count(*) >= 3),
+  due AS (SELECT *, floor(last_us + 2.0::DOUBLE * med)::BIGINT exp_us FROM feeds WHERE med > 0)
+SELECT 'lake' AS source, 'user' || user_id AS fileset, {sql_ts('make_timestamp(last_us)', 'last_seen')},
+  floor(med / 1000000)::BIGINT AS median_interval_seconds, {sql_ts('make_timestamp(exp_us)', 'expected_by')}
+FROM due WHERE exp_us // 1000 + 1 <= (SELECT epoch_ms(max(ts) - INTERVAL 1 HOUR) FROM events)"""
+
+
+def arrival_sessions(spark, sf_dir) -> DataFrame:
+    """Bursts of events per type, closed behind the watermark."""
+    found = SW.session_metrics(_event_stream(spark, sf_dir), F.col("event_type"), "ts", {"arrivals": F.count("*"), "largest": F.max("value")}, SESSION_GAP)
+    table, checkpoint = new_scratch_path(spark, "sessions"), new_scratch_path(spark, "checkpoint")
+    SW.append_closed(found, table, checkpoint)
+    return spark.read.parquet(table).select("owner", show_ts("opened"), show_ts("closed"), "arrivals", "largest")
+
+
+def _written_csv(spark, sf_dir) -> str:
+    """All documents as CSV files in four dialects, texts with their line breaks and quotes."""
+    root = new_scratch_path(spark, "csv")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", (F.col("doc_id") / 8).alias("share"), "text")
+    for i, delimiter in enumerate(CF.DELIMITERS):
+        docs.where(F.pmod("doc_id", F.lit(len(CF.DELIMITERS))) == i).write.csv(
+            f"{root}/dialect{i}", sep=delimiter, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return root
+
+
+def _dialect():
+    return F.regexp_extract("path", "/(dialect[0-9])/", 1).alias("dialect")
+
+
+def crawl_csv(spark, sf_dir) -> DataFrame:
+    """Columns and types of CSV files whose delimiter and header nobody tells."""
+    root = _written_csv(spark, sf_dir)
+    found = C.crawl_files(spark, root, FL.list_files(spark, root, I.SOURCE, glob="*.csv"), delimiter=None, header=None)
+    return found.select(_dialect(), F.explode("columns").alias("name", "type")).distinct()
+
+
+def csv_record_rows(spark, sf_dir) -> DataFrame:
+    """Delimiter, header and number of records of the same files; a record may stand on many lines."""
+    root = _written_csv(spark, sf_dir)
+    lines = C.raw_lines(spark, root, "csv").select("path", "line_id", F.col("raw").cast("string").alias("line"))
+    _, files = CF.csv_columns(CF.csv_records(lines, CF.find_delimiters(lines)), None)
+    return files.groupBy(_dialect(), "delimiter").agg(F.bool_and("has_header").alias("has_header"), F.sum("num_rows").alias("num_rows"))
+
+
+def json_array_crawl(spark, sf_dir) -> DataFrame:
+    """All orders as JSON arrays over many lines, about 200,000 in each, typed and counted by element."""
+    orders = load(spark, sf_dir, "orders")
+    parts = max(4, orders.count() // 200_000)
+    rows = orders.select(
+        F.pmod(F.xxhash64("o_orderkey"), F.lit(parts)).alias("part"), F.col("o_orderkey").alias("k"),
+        F.to_json(F.struct("o_orderkey", "o_totalprice", F.concat("o_orderpriority", F.lit(', "[{\\'), "o_orderstatus").alias("note"),
+                           F.array(F.struct("o_custkey", F.col("o_custkey").alias("again"))).alias("lines"))).alias("json"))
+    ends = rows.groupBy("part").agg(F.min("k").alias("_first"), F.max("k").alias("_last"))
+    line = F.concat(F.when(F.col("k") == F.col("_first"), "[").otherwise(""), "json", F.when(F.col("k") == F.col("_last"), "]").otherwise(","))
+    root = new_scratch_path(spark, "json")
+    rows.join(ends, "part").select("part", "k", line.alias("line")).repartition(parts, "part").sortWithinPartitions("part", "k").select(
+        "part", "line").write.partitionBy("part").text(root)
+    records, counts = JA.array_records(JA.array_elements(JA.comma_pieces(spark, [root])), T.parsed_json)
+    total = counts.agg(F.sum("num_rows").alias("num_rows"))
+    return T.record_columns(records, ["path"]).select("name", "type").distinct().join(F.broadcast(total))
+
+
 QUERIES = {
+    "live_overdue": (live_overdue, _LIVE_SQL),
+    "arrival_sessions": (arrival_sessions, f"""
+WITH e AS (SELECT event_type, ts, value, coalesce(ts > lag(ts) OVER w + INTERVAL {SESSION_GAP}, true) AS starts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+  s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT event_type AS owner, {sql_ts('min(ts)', 'opened')}, {sql_ts('max(ts)', 'closed')}, count(*) AS arrivals, max(value) AS largest
+FROM s GROUP BY event_type, session HAVING max(ts) + INTERVAL {SESSION_GAP} <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""),
+    "crawl_csv": (crawl_csv, """
+SELECT DISTINCT 'dialect' || (doc_id % 4) AS dialect, unnest(['doc_id', 'lang', 'n_chars', 'share', 'text']) AS name,
+  unnest(['integer/string', 'string', 'integer/string', 'number/string', 'string']) AS type FROM documents"""),
+    "csv_record_rows": (csv_record_rows, """
+SELECT 'dialect' || (doc_id % 4) AS dialect, [',', ';', chr(9), '|'][doc_id % 4 + 1] AS delimiter, true AS has_header, count(*) AS num_rows
+FROM documents GROUP BY doc_id % 4"""),
+    "json_array_crawl": (json_array_crawl, """
+SELECT unnest(['o_orderkey', 'o_totalprice', 'note', 'lines']) AS name, unnest(['integer/string', 'number/string', 'string', 'string']) AS type,
+  (SELECT count(*) FROM orders) AS num_rows"""),
     "infer_csv_schema": (infer_csv_schema, _csv_sql()),
     "infer_json_schema": (infer_json_schema, _JSON_SQL.format(where="true", by="o_orderpriority") + """
 UNION ALL SELECT event_type, 'k', 'integer/string' FROM events GROUP BY event_type"""),

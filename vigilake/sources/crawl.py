@@ -7,17 +7,18 @@ like any other input, and all files of one format share one job.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions.names import reader_for
-from vigilake.functions.text_types import infer_text_type, pick_type, render_type
 from vigilake.session import cut_lineage
+from vigilake.sources.csv_files import DELIMITERS, csv_cells, csv_columns, csv_records, find_delimiters
 from vigilake.sources.files import detect_encoding, label_files, source_path
-from vigilake.sources.text import document_rows, infer_json_columns, payload_columns
+from vigilake.sources.json_arrays import array_elements, array_records, comma_pieces
+from vigilake.sources.text import document_rows, infer_json_columns, parsed_json, payload_columns, record_columns
 
 # The characters cp1252 has at bytes where latin-1 has control codes.
 CP1252_BYTES = "".join(map(chr, (
@@ -25,6 +26,8 @@ CP1252_BYTES = "".join(map(chr, (
     0x96, 0x97, 0x98, 0x99, 0x9A, 0x9B, 0x9C, 0x9E, 0x9F)))
 CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
+#: Bytes from which a JSON array is read by element.
+SPLIT_ABOVE = 64 << 20
 _GLOBS = {kind: "*.{%s,%s.gz}" % (2 * ("".join(f"[{c}{c.upper()}]" for c in kind),)) for kind in ("csv", "jsonl", "json")}
 
 
@@ -103,7 +106,7 @@ def decoded_lines(
     paths = [r.path for r in mine.where("encoding like 'utf-16%'").select("path").toLocalIterator()]
     if not paths:
         return narrow
-    content = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
+    content = spark.read.format("binaryFile").load(_escaped(paths))
     wide = content.select("path", "content").join(mine, ["path"]).select(
         "path", "encoding", F.posexplode(F.split(decoded(F.col("content"), F.col("encoding")), "\r?\n")).alias("n", "line"))
     at = F.struct(F.lit(0).cast("bigint").alias("block"), F.col("n").cast("bigint").alias("n"))
@@ -121,45 +124,52 @@ def decoded(raw: Column, encoding: Column) -> Column:
     )
 
 
-def json_documents(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
-    """``path, encoding, doc``: a JSON document is one value, so each file is one row."""
-    whole = _reader(spark, "json", modified_after).text(root, wholetext=True).select(
-        source_path().alias("path"), F.col("value").cast("binary").alias("raw"))
+def _escaped(paths: Sequence[str]) -> list[str]:
+    """Paths that a reader takes as they are, not as patterns."""
+    return [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
+
+
+def json_documents(
+    spark: SparkSession, root: str, modified_after: str | None = None, most_bytes: int | None = None, besides: Sequence[str] = (),
+) -> DataFrame:
+    """``path, encoding, doc``: one row per file, of at most ``most_bytes``, and of the files ``besides`` whatever their size."""
+    small = _reader(spark, "json", modified_after).text(root, wholetext=True)
+    if most_bytes is not None:
+        small = small.where(F.col("_metadata.file_size") <= most_bytes)
+    whole = small.select(source_path().alias("path"), F.col("value").cast("binary").alias("raw"))
+    if besides:
+        whole = whole.unionByName(spark.read.text(_escaped(besides), wholetext=True).select(source_path().alias("path"), F.col("value").cast("binary").alias("raw")))
     return whole.withColumn("encoding", detect_encoding(F.col("raw"))).select(
         "path", "encoding", decoded(F.col("raw"), F.col("encoding")).alias("doc"))
 
 
-def csv_cells(line: Column, delimiter: str) -> Column:
-    """Cells of one CSV line, quotes removed."""
-    d = "\\" + delimiter if not delimiter.isalnum() and delimiter != "\t" else delimiter
-    # Possessive, so that a long cell takes no stack.
-    cell = f'{d}("[^"]*+(?:""[^"]*+)*+"|[^{d}]*+)'
-    cells = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(cell), F.lit(1))
-    return F.transform(cells, lambda c: F.when(
-        c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+def csv_schemas(lines: DataFrame, delimiter: str | None = ",", header: bool | None = True) -> DataFrame:
+    """``path, name, type`` of CSV files; ``None`` finds each file's own delimiter, or whether its first record is a header."""
+    known = DELIMITERS if delimiter is None else (delimiter,)
+    records = csv_records(lines, find_delimiters(lines) if delimiter is None else delimiter, known)
+    return csv_columns(records, header, known)[0]
 
 
-def csv_schemas(lines: DataFrame, delimiter: str = ",") -> DataFrame:
-    """``path, name, type`` of CSV files whose first line names the columns.
+def large_documents(spark: SparkSession, listing: DataFrame, split_above: int) -> tuple[DataFrame | None, list[str]]:
+    """Elements ``path, encoding, element, text`` of the large JSON files that begin an array, and the paths of the other large ones.
 
-    One aggregate per (file, position): the earliest cell is the name, and its own
-    vote is taken off the tally again. Cells beyond the header are ignored.
+    The paths of large files come to the driver, where a reader's file list lives anyway.
     """
-    votes = ("integer", "number", "string")
-    kept = lines.where(F.trim("line") != "")
-    cells = kept.select("path", "line_id", F.posexplode(csv_cells(F.regexp_replace("line", "\r$", ""), delimiter)).alias("at", "cell"))
-    kind = infer_text_type(F.col("cell"))
-    tallied = cells.groupBy("path", "at").agg(
-        F.min_by("cell", "line_id").alias("name"), F.min("line_id").alias("_first"),
-        *[F.count_if(kind == v).alias(v) for v in votes])
-    own = infer_text_type(F.col("name"))
-    less = {v: F.col(v) - F.when(own == v, 1).otherwise(0) for v in votes}
-    # One row per column of a file: a file's header is its earliest line.
-    header = F.min("_first").over(Window.partitionBy("path"))
-    typed = tallied.withColumn("_header", header).where("_first = _header and name != ''").select(
-        "path", "at", "name", render_type(pick_type(less["integer"], less["number"], less["string"])).alias("type"))
-    # Of columns with one name the last stands for it.
-    return typed.groupBy("path", "name").agg(F.max_by("type", "at").alias("type"))
+    large = listing.where((F.col("reader") == "json") & (F.col("size") > split_above)).select("path")
+    paths = [r.path for r in large.toLocalIterator()]
+    if not paths:
+        return None, []
+    pieces = comma_pieces(spark, _escaped(paths))
+    census = line_census(pieces.select("path", F.encode("piece", "ISO-8859-1").alias("raw")), file_heads(large))
+    begins = pieces.groupBy("path").agg(F.min_by(F.substring(F.regexp_replace("piece", r"^(?:\xef\xbb\xbf)?[ \t\r\n]+", ""), 1, 4), F.struct("block", "n")).alias("_begin"))
+    told = cut_lineage(census.join(begins, "path", "left").withColumn(
+        "_array", F.coalesce(F.col("_begin").rlike(r"^(?:\xef\xbb\xbf)?\["), F.lit(False)) & ~F.col("encoding").startswith("utf-16")))
+    others = [r.path for r in told.where("not _array").select("path").toLocalIterator()]
+    arrays = [p for p in paths if p not in set(others)]
+    if not arrays:
+        return None, others
+    elements = array_elements(comma_pieces(spark, _escaped(arrays))).join(told.select("path", "encoding"), "path")
+    return elements.select("path", "encoding", "element", decoded(F.encode("text", "ISO-8859-1"), F.col("encoding")).alias("text")), others
 
 
 def parquet_footers(listing: DataFrame) -> DataFrame:
@@ -201,12 +211,15 @@ def parquet_footers(listing: DataFrame) -> DataFrame:
 
 def crawl_files(
     spark: SparkSession, root: str, listing: DataFrame, modified_after: str | None = None,
-    get_schemas: bool = True, delimiter: str = ",", encoding: str | None = None,
+    get_schemas: bool = True, delimiter: str | None = ",", encoding: str | None = None, header: bool | None = True,
+    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """The listed files with ``encoding, columns, num_rows`` added.
 
     ``modified_after`` keeps older files from being read at all. A known ``encoding`` of
-    all text files saves the pass over their bytes that finds it. A file that cannot
+    all text files saves the pass over their bytes that finds it. ``delimiter=None`` and ``header=None`` find the CSV files'
+    delimiters and headers from all of their lines. JSON arrays of more than ``split_above`` bytes are read by element, so
+    they may be of any size; other JSON documents are one value. A file that cannot
     be parsed or has no reader has an empty schema. Rows are known for parquet and
     JSON documents only.
     """
@@ -219,23 +232,29 @@ def crawl_files(
         all_lines = reduce(DataFrame.unionByName, [raw_lines(spark, root, k, modified_after) for k in kinds])
         # One small row per file that every branch below needs: kept once, in the shared folder.
         census = cut_lineage(line_census(all_lines, file_heads(text_files)))
-    documents = json_documents(spark, root, modified_after)
+    elements, others = large_documents(spark, labelled, split_above) if get_schemas else (None, [])
+    documents = json_documents(spark, root, modified_after, split_above if get_schemas else None, others)
     encodings = census.unionByName(documents.select("path", "encoding"))
+    if elements is not None:
+        encodings = encodings.unionByName(elements.select("path", "encoding").distinct())
     result = labelled.join(encodings, "path", "left")
     empty = F.expr("cast(map() as map<string,string>)")
     if not get_schemas:
         return result.withColumn("columns", empty).withColumn("num_rows", F.lit(None).cast("bigint"))
     lines = {k: decoded_lines(spark, root, k, census, modified_after) for k in kinds}
     fields = (
-        csv_schemas(lines["csv"], delimiter)
+        csv_schemas(lines["csv"], delimiter, header)
         .unionByName(infer_json_columns(lines["jsonl"], "line", ["path"]))
         .unionByName(payload_columns(documents, "doc", ["path"]))
     )
+    rows = document_rows(documents, "doc").where("num_rows is not null").select("path", F.col("num_rows").alias("_doc_rows"))
+    if elements is not None:
+        records, counts = array_records(elements, parsed_json)
+        fields = fields.unionByName(record_columns(records, ["path"]))
+        rows = rows.unionByName(counts.select("path", F.col("num_rows").alias("_doc_rows")))
     schemas = fields.groupBy("path").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "type")))).alias("columns"),
         F.lit(None).cast("bigint").alias("num_rows"))
-    rows = document_rows(documents, "doc").where("num_rows is not null").select(
-        "path", F.col("num_rows").alias("_doc_rows"))
     parquet = parquet_footers(labelled.where("reader = 'parquet'"))
     known = schemas.unionByName(parquet)
     return (
@@ -244,3 +263,8 @@ def crawl_files(
         .withColumn("num_rows", F.coalesce("num_rows", "_doc_rows"))
         .drop("_doc_rows")
     )
+
+
+__all__ = [
+    "crawl_files", "csv_cells", "csv_schemas", "decoded", "decoded_lines", "file_heads", "json_documents", "large_documents", "line_census", "parquet_footers", "raw_lines",
+]

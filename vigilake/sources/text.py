@@ -84,7 +84,12 @@ def payload_columns(
     payloads: DataFrame, column: str, keys: Sequence[str], lenient_numbers: bool = False
 ) -> DataFrame:
     """``keys, name, type`` of JSON payloads; scalars and unparseable text give no column."""
-    return _columns_from_votes(_object_votes(records_of(payloads, column, keys), keys, lenient_numbers), keys)
+    return record_columns(records_of(payloads, column, keys), keys, lenient_numbers)
+
+
+def record_columns(records: DataFrame, keys: Sequence[str], lenient_numbers: bool = False) -> DataFrame:
+    """``keys, name, type`` of variant records ``keys, v``."""
+    return _columns_from_votes(_object_votes(records, keys, lenient_numbers), keys)
 
 
 def document_rows(docs: DataFrame, column: str) -> DataFrame:

@@ -22,6 +22,17 @@ def windowed_metrics(
         F.concat_ws("/", "_owner", "metric_name").alias("uri"), "ts", "metric_name", "metric_value")
 
 
+def session_metrics(events: DataFrame, owner: Column, ts: str, aggs: dict[str, Column], gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """``owner, opened, closed, ...`` per burst of an owner: rows with less than ``gap`` between neighbours.
+
+    Sessions merge in the stream's state as late rows join them. One is given out when the watermark has passed its last
+    row by ``gap``, so nothing can be added to it any more; ``closed`` is the time of its last row.
+    """
+    wide = events.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("_session"), owner.alias("owner")).agg(
+        F.max(ts).alias("closed"), *[c.alias(n) for n, c in aggs.items()])
+    return wide.select("owner", F.col("_session.start").alias("opened"), "closed", *aggs)
+
+
 def append_closed(metrics: DataFrame, table: str, checkpoint: str):
     """Run over everything available and append the closed windows to a parquet table."""
     query = (
