@@ -1,15 +1,16 @@
 """Toxicity: compression-distance classification with zstandard dictionaries.
 
-Two dictionaries are trained on labelled text: one on ordinary documents, one on those stretches of toxic documents
-whose letter sequences ordinary documents hardly have. A window is one word between spaces, written twice, since the codec
-stores shorter input uncompressed; its distance is its compressed length under the ordinary dictionary less that under
-the toxic one. Windows at or above a calibrated threshold count as toxic, and a logistic curve over their number and
-their share gives the document's score. Threshold, curve and the toxic dictionary's size are chosen on labelled documents
-that the dictionaries did not see.
+Two dictionaries: one of ordinary text, and one that has the same text behind what is telling of toxic documents (the
+stretches of their words whose letter sequences ordinary documents hardly have). A window is ``WINDOW`` words, ``STRIDE`` words after the
+last one; its distance is its compressed length under the ordinary dictionary less that under the toxic one. As both hold the
+same ordinary text, words of no interest compress alike and the distance is that of the rest. A document's score is a
+logistic curve over how many of its windows, and which share of them, reach each of some thresholds. The curve,
+the length of the sequences and how telling they must be are chosen on labelled documents that the dictionaries did not see.
+Dictionaries trained on whole toxic texts tell little: toxic words are one in sixty of them (figures in the README).
 
 Fitting uses at most ``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled documents (those with the smallest md5 of their id),
-with whole texts, on the driver: that bound holds for any input. Scoring is one pass over the documents without a
-shuffle; a worker remembers the distances of at most ``REMEMBERED`` words.
+with whole texts, on the driver: that bound holds for any input; the curve is then moved to the classes' true shares. Scoring
+is one pass over the documents without a shuffle; very long texts are cut into windows ``PIECE_CHARS`` characters at a time.
 
 Defined results: a null or empty text has no window and gets the curve's value at none. Repeated rows are scored each.
 Labels with a null id or class are left out; without labels of both classes every score is the share of toxic ones.
@@ -22,6 +23,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +33,26 @@ from pyspark.sql import functions as F
 
 from vigilake.llm.common import table
 
-MOST_TOXIC, MOST_ORDINARY = 1500, 6000
-REMEMBERED = 300_000
+MOST_TOXIC, MOST_ORDINARY = 1500, 4000
 PIECE_CHARS = 1 << 20
 PUNCTUATION = ".,;:!?\"'()#*$%&|<>"
-#: Letters of a sequence, spaces at word ends included; how much commoner it must be among toxic documents, and in which
+WINDOW, STRIDE, LEVEL = 6, 3, 4
+ORDINARY_BYTES = 3 << 15
+#: To choose from: letters of a sequence, spaces at word ends included; how much commoner it must be among toxic documents, and in which
 #: share of them it must occur.
-SEQUENCE, COMMONER, LEAST_SHARE = 5, 25.0, 0.015
-TOXIC_BYTES, ORDINARY_BYTES, LEVEL = (2048, 4096, 8192), 16384, 19
-THRESHOLDS = range(1, 9)
+SEQUENCES, COMMONER, LEAST_SHARES = (7, 9), (10.0, 25.0), (0.015, 0.03)
+#: At this level the codec looks up every third place of a dictionary.
+PLACES = 3
+THRESHOLDS = (1, 2, 3, 4, 6)
+#: Distance of the windows that are counted as toxic in the result.
+TOXIC_FROM = 3
 
 
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
     ordinary: bytes
-    threshold: int
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
 
 
 def pieces(text: str, chars: int = PIECE_CHARS) -> Iterator[list[str]]:
@@ -65,51 +70,62 @@ def plain_words(text: str) -> list[str]:
     return [w for piece in pieces(text) for w in (x.strip(PUNCTUATION) for x in piece) if w]
 
 
-def sequences(word: str) -> set[str]:
+def sequences(word: str, length: int) -> set[str]:
     s = f" {word} "
-    return {s[i : i + SEQUENCE] for i in range(max(1, len(s) - SEQUENCE + 1))}
+    return {s[i : i + length] for i in range(max(1, len(s) - length + 1))}
 
 
-def stretches(word: str, telling: set[str]) -> str:
+def stretches(word: str, telling: set[str], length: int) -> str:
     """The letters of a word, spaces at its ends included, that telling sequences cover."""
     s = f" {word} "
     keep = [False] * len(s)
-    for i in range(max(1, len(s) - SEQUENCE + 1)):
-        if s[i : i + SEQUENCE] in telling:
-            keep[i : i + SEQUENCE] = [True] * min(SEQUENCE, len(s) - i)
+    for i in range(max(1, len(s) - length + 1)):
+        if s[i : i + length] in telling:
+            keep[i : i + length] = [True] * min(length, len(s) - i)
     return "".join(c for c, k in zip(s, keep, strict=True) if k)
 
 
+def windows(words: list[str]) -> list[bytes]:
+    """Windows of the words: every ``STRIDE`` words one, the last ends with the text."""
+    coded = [w.encode("utf-8", "replace") for w in words]
+    return [b" " + b" ".join(coded[i : i + WINDOW]) + b" " for i in range(0, max(min(1, len(coded)), len(coded) - (WINDOW - STRIDE)), STRIDE)]
+
+
+def toxic_part(stretches: Counter) -> bytes:
+    """The stretches, the commonest last, once for each of the places that the codec may look up; of a length that leaves what follows in place."""
+    text, out = b"".join(s.encode("utf-8", "replace") for s, _ in sorted(stretches.items(), key=lambda x: (x[1], x[0]))), b""
+    for place in range(PLACES):
+        out += b"." * ((place - len(out)) % PLACES) + text
+    return out + b"." * (-len(out) % (8 * PLACES))
+
+
 class Distance:
-    """How much shorter a word gets under the toxic dictionary than under the ordinary one."""
+    """How much shorter a window gets under the toxic dictionary than under the ordinary one."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.under_toxic, self.under_ordinary = self._codec(toxic), self._codec(ordinary)
+        self.under_toxic, self.under_ordinary = self._codec(toxic + ordinary), self._codec(ordinary)
 
     @staticmethod
     def _codec(dictionary: bytes) -> zstandard.ZstdCompressor:
         options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
         if not dictionary:
             return zstandard.ZstdCompressor(level=LEVEL, **options)
-        data = zstandard.ZstdCompressionDict(dictionary)
+        data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         data.precompute_compress(LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, **options)
 
-    def __call__(self, word: str) -> int:
-        window = f" {word} {word} ".encode("utf-8", "replace")
-        return len(self.under_ordinary.compress(window)) - len(self.under_toxic.compress(window))
+    def __call__(self, found: list[bytes]) -> np.ndarray:
+        plain, toxic = self.under_ordinary.compress, self.under_toxic.compress
+        return np.fromiter((len(plain(w)) - len(toxic(w)) for w in found), dtype=np.int64, count=len(found))
 
 
-def dictionary(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary; with too little text to train on, the text itself."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+def features(distances: np.ndarray) -> list[float]:
+    counts = [int((distances >= t).sum()) for t in THRESHOLDS]
+    share = 1000.0 / max(1, len(distances))
+    return [1.0, *map(math.log1p, counts), *(math.log1p(share * c) for c in counts), *(math.log1p(int((distances <= -t).sum())) for t in (1, 2))]
 
 
-def features(hits: int, words: int) -> list[float]:
-    return [1.0, math.log1p(hits), math.log1p(1000.0 * hits / words) if words else 0.0]
+NO_TOXIC = len(features(np.zeros(0, dtype=np.int64)))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -124,74 +140,57 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50
     return w, float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Model of (text, class) pairs; two thirds make the dictionaries, one third the threshold and the curve."""
-    toxic_share = sum(y for _, y in rows) / len(rows) if rows else 0.0
-    if not 0 < toxic_share < 1:
-        base = math.log((toxic_share + 1e-3) / (1 - toxic_share + 1e-3))
-        return Model(b"", b"", 1, (base, 0.0, 0.0))
+def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> Model:
+    """Model of (text, class) pairs; two thirds make the dictionaries, one third the curve.
+
+    ``toxic_share``: share of toxic rows where the pairs were drawn from, if not that of the pairs.
+    """
+    drawn = sum(y for _, y in rows) / len(rows) if rows else 0.0
+    if not 0 < drawn < 1:
+        return Model(b"", b"", (math.log((drawn + 1e-3) / (1 - drawn + 1e-3)), *[0.0] * (NO_TOXIC - 1)))
     by_class = [[t for t, y in rows if y == k] for k in (0, 1)]
     seen, held = [], []
     for k, texts in enumerate(by_class):
-        seen += [(t, k) for i, t in enumerate(texts) if i % 3 or len(texts) < 3]
-        held += [(t, k) for i, t in enumerate(texts) if not i % 3 or len(texts) < 3]
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    n = [0, 0]
-    for t, k in seen:
-        counts[k].update(set().union(*map(sequences, set(plain_words(t)))))
-        n[k] += 1
-    least = max(2, math.ceil(LEAST_SHARE * n[1]))
-    telling = {s for s, c in counts[1].items() if c >= min(least, n[1]) and c / n[1] > COMMONER * (counts[0][s] + 0.5) / (n[0] + 1)}
-    chosen = ["".join(stretches(w, telling) for w in plain_words(t)) for t, k in seen if k]
-    ordinary = dictionary(ORDINARY_BYTES, [f" {' '.join(plain_words(t))} ".encode() for t, k in seen if not k][:1500])
-    held_words = [Counter(plain_words(t)) for t, _ in held]
+        seen += [(plain_words(t), k) for i, t in enumerate(texts) if i % 3 or len(texts) < 3]
+        held += [(windows(plain_words(t)), k) for i, t in enumerate(texts) if not i % 3 or len(texts) < 3]
+    n = [sum(1 for _, k in seen if k == c) for c in (0, 1)]
+    ordinary = b"".join(f" {' '.join(w)} ".encode("utf-8", "replace") for w, k in seen if not k)[-ORDINARY_BYTES:]
     y = np.array([k for _, k in held], dtype=float)
     best = None
-    for size in TOXIC_BYTES:
-        toxic = dictionary(size, [c.encode() for c in chosen if c])
-        distance = Distance(toxic, ordinary)
-        known = {w: distance(w) for w in set().union(*held_words)}
-        for threshold in THRESHOLDS:
-            hits = [sum(n for w, n in c.items() if known[w] >= threshold) for c in held_words]
-            x = np.array([features(h, c.total()) for h, c in zip(hits, held_words, strict=True)])
-            w, loss = fit_curve(x, y)
+    for length in SEQUENCES:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        of_word = {w: sequences(w, length) for w in set().union(*(w for w, _ in seen))}
+        for words, k in seen:
+            counts[k].update(set().union(*map(of_word.__getitem__, set(words))))
+        for commoner, share in product(COMMONER, LEAST_SHARES):
+            least = min(n[1], max(2, math.ceil(share * n[1])))
+            telling = {s for s, c in counts[1].items() if c >= least and c / n[1] > commoner * (counts[0][s] + 0.5) / (n[0] + 1)}
+            chosen = Counter(s for words, k in seen if k for w in words if not telling.isdisjoint(of_word[w]) and (s := stretches(w, telling, length)))
+            toxic = toxic_part(chosen)
+            distance = Distance(toxic, ordinary)
+            w, loss = fit_curve(np.array([features(distance(found)) for found, _ in held]), y)
             if best is None or loss < best[0]:
-                best = (loss, Model(toxic, ordinary, threshold, tuple(float(v) for v in w)))
-    return best[1]
+                best = (loss, toxic, [float(v) for v in w])
+    odds = lambda p: math.log(p / (1 - p))
+    weights = best[2]
+    weights[0] += odds(toxic_share) - odds(drawn) if toxic_share and 0 < toxic_share < 1 else 0.0
+    return Model(best[1], ordinary, tuple(weights))
 
 
 def scorer(model: Model):
     """Arrow batches (text, ...) to the same rows without text, with n_windows, n_toxic and score."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance, known, stems = Distance(model.toxic, model.ordinary), {}, {}
-
-        def toxic(word: str) -> int:
-            stem = word.strip(PUNCTUATION)
-            hit = stems.get(stem)
-            if hit is None:
-                if len(stems) >= REMEMBERED:
-                    stems.clear()
-                hit = stems[stem] = int(bool(stem) and distance(stem) >= model.threshold)
-            return hit
-
+        distance, weights = Distance(model.toxic, model.ordinary), np.array(model.weights)
         for batch in batches:
-            windows, hits = [], []
+            found = []
             for text in batch.column("text").to_pylist():
-                n = h = 0
-                for words in pieces(text or ""):
-                    new = [w for w in set(words) if w not in known]
-                    if len(known) + len(new) > REMEMBERED:
-                        known.clear()
-                        new = set(words)
-                    for w in new:
-                        known[w] = toxic(w)
-                    n += len(words)
-                    h += sum(map(known.__getitem__, words))
-                windows.append(n)
-                hits.append(h)
-            z = np.array([features(h, n) for h, n in zip(hits, windows, strict=True)]).reshape(-1, 3) @ np.array(model.weights)
-            made = {"n_windows": pa.array(windows, pa.int64()), "n_toxic": pa.array(hits, pa.int64()), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())}
+                parts = [distance(windows([w for w in (x.strip(PUNCTUATION) for x in words) if w])) for words in pieces(text or "")]
+                found.append(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64))
+            z = np.array([features(d) for d in found]).reshape(-1, NO_TOXIC) @ weights
+            made = {
+                "n_windows": pa.array([len(d) for d in found], pa.int64()), "n_toxic": pa.array([int((d >= TOXIC_FROM).sum()) for d in found], pa.int64()),
+                "score": pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())}
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made.values()], names=[*kept, *made])
 
@@ -202,8 +201,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most MOST_TOXIC and MOST_ORDINARY (text, class) of labelled rows that are not held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], float]:
+    """At most MOST_TOXIC and MOST_ORDINARY (text, class) of labelled rows that are not held out, and the share of toxic ones of all those."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     chosen = None
@@ -212,7 +211,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
         chosen = some if chosen is None else chosen.unionByName(some)
     # Bounded by the two limits, ids and classes only.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
-    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    share = usable.agg(F.avg("toxic")).first()[0]
+    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))], share or 0.0
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit_from(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(labelled_sample(docs, labels))
+    return fit(*labelled_sample(docs, labels))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
