@@ -118,3 +118,16 @@ def test_column_names_with_dots(spark):
     df = spark.createDataFrame([(1, "x"), (3, "y")], "`a.b` int, `c d` string")
     found = {r.metric_name: r.metric_value for r in P.to_metrics(P.scale_counts(P.profile_table(df, heavy=True), 100), "t", F.lit("2026-01-01").cast("timestamp")).collect()}
     assert found["a.b__max"] == 3.0 and found["c d__unique_count"] == 2.0
+
+
+def test_merged_sketches_count_like_the_sketch_of_the_whole(spark):
+    df = spark.range(40000).select((F.col("id") % 12345).alias("k"), F.concat(F.lit("v"), F.col("id") % 300).alias("few"), F.lit(None).cast("string").alias("none"))
+    parts = [P.distinct_sketches(df.where(f"k % 3 = {i}")) for i in range(3)]
+    merged = {r.name: (r.unique_count, r.rows) for r in P.sketched_counts(P.merge_sketches(*parts)).collect()}
+    whole = {r.name: (r.unique_count, r.rows) for r in P.sketched_counts(P.merge_sketches(P.distinct_sketches(df))).collect()}
+    assert set(merged) == {"k", "few", "none"} and all(merged[n][1] == whole[n][1] == 40000 for n in merged)
+    for name, exact in (("k", 12345), ("few", 300), ("none", 0)):
+        assert abs(merged[name][0] - whole[name][0]) <= 0.001 * exact and abs(merged[name][0] - exact) <= 0.05 * exact
+    again = P.sketched_counts(P.merge_sketches(parts[0], parts[0])).where("name = 'k'").first().unique_count
+    assert abs(again - 12345 / 3) <= 0.05 * 12345 / 3
+    assert P.distinct_sketches(df.select("none").limit(0)).first().rows == 0 and P.distinct_sketches(df, []).count() == 0

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COUNT_SUFFIXES = ("__null_count", "__non_null_count")
+#: log2 of a sketch's registers: an error of about 1.6 percent.
+SKETCH_PRECISION = 12
 _TEXT = (T.StringType, T.CharType, T.VarcharType)
 
 
@@ -132,3 +136,30 @@ def profile_tables(
     for part in parts[1:]:
         points = points.unionByName(part)
     return points
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str] | None = None, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """``name, sketch, rows``: a HyperLogLog sketch of the values of each column, a few kilobytes whatever their number.
+
+    Values count by their text, nulls not at all. Kept with a scan, sketches of appended partitions are merged with
+    the older ones, so a profile of the whole reads the new partitions only.
+    """
+    names = list(columns) if columns is not None else _names(df.schema, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, *_TEXT))
+    if not names:
+        return df.sparkSession.createDataFrame([], "name string, sketch binary, rows bigint")
+    aggs = [F.struct(F.hll_sketch_agg(F.col(f"`{n}`").cast("string"), precision).alias("sketch"), F.count("*").alias("rows")).alias(f"s{i}") for i, n in enumerate(names)]
+    wide = df.agg(*aggs)
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"s{i}.sketch"), F.col(f"s{i}.rows")) for i, n in enumerate(names)])).alias("s")).select("s.*")
+
+
+def merge_sketches(*parts: DataFrame) -> DataFrame:
+    """``name, sketch, rows`` of all parts together; parts of other precision take the lowest."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy("name").agg(F.hll_union_agg("sketch", True).alias("sketch"), F.sum("rows").alias("rows"))
+
+
+def sketched_counts(sketches: DataFrame) -> DataFrame:
+    """``name, unique_count, rows``: estimates, off by two percent or so at the usual precision."""
+    return sketches.select("name", F.hll_sketch_estimate("sketch").alias("unique_count"), "rows")

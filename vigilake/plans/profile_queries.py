@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +136,18 @@ def profile_approx(spark, sf_dir) -> DataFrame:
     return counts[0].join(counts[1], "name").select("name", "exact", near.alias("within"))
 
 
+def profile_sketches(spark, sf_dir) -> DataFrame:
+    """Distinct counts of all orders from sketches kept per year, beside exact ones, and whether they lie within a twentieth."""
+    orders = load(spark, sf_dir, "orders")
+    columns = [*COLUMNS["orders"][0], *COLUMNS["orders"][1]]
+    years = [orders.where(F.year("o_orderdate") == y) for y in range(1995, 2001)]
+    rest = orders.where((F.year("o_orderdate") < 1995) | (F.year("o_orderdate") > 2000) | F.col("o_orderdate").isNull())
+    kept = cut_lineage(reduce(DataFrame.unionByName, [P.distinct_sketches(part, columns) for part in [*years, rest]]))
+    counted = P.sketched_counts(P.merge_sketches(kept))
+    exact = orders.agg(*[F.count_distinct(c).alias(c) for c in columns]).unpivot([], columns, "name", "exact")
+    return counted.join(exact, "name").select("name", "rows", "exact", (F.abs(F.col("unique_count") - F.col("exact")) <= F.col("exact") * 0.05).alias("within"))
+
+
 def catalog_crawl(spark, sf_dir) -> DataFrame:
     """Every column of every table with its type and class, from the tables' schemas alone."""
     from vigilake.functions.text_types import generic_class
@@ -245,6 +258,8 @@ QUERIES = {
         profile_sampled, _wide_sql("lineitem", 10.0).replace("FROM lineitem", "FROM lineitem WHERE substr(md5(l_orderkey::VARCHAR), 1, 3) < '19a'")),
     "profile_approx": (profile_approx, " UNION ALL ".join(
         f"SELECT '{c}__unique_count' AS name, count(DISTINCT {c}) AS exact, true AS within FROM documents" for c in COLUMNS["documents"][1])),
+    "profile_sketches": (profile_sketches, " UNION ALL ".join(
+        f"SELECT '{c}' AS name, count(*) AS rows, count(DISTINCT {c}) AS exact, true AS within FROM orders" for c in [*COLUMNS["orders"][0], *COLUMNS["orders"][1]])),
     "catalog_crawl": (catalog_crawl, _crawl_sql()),
     "metric_series": (metric_series, with_ctes("metrics", f"""
 , all_points AS (SELECT * FROM metrics UNION ALL
