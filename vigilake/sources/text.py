@@ -29,15 +29,14 @@ def _typed(integers: Column, numbers: Column, strings: Column) -> Column:
 
 def infer_columns(rows: DataFrame) -> DataFrame:
     """``name, type`` of every text column, from all rows in one aggregate pass."""
-    # Classified in a projection of its own, so each value is looked at once for all three counts.
+    # The widest class wins, so one number per column is enough: its rank.
+    rank = lambda kind: F.when(kind == "string", 3).when(kind == "number", 2).when(kind == "integer", 1)
     kinds = rows.select(*[infer_text_type(F.col(f"`{name}`")).alias(name) for name in rows.columns])
-    tallied = kinds.agg(*[
-        F.struct(*[F.count_if(F.col(f"`{name}`") == t).alias(t) for t in ("integer", "number", "string")]).alias(name)
-        for name in rows.columns])
-    stacked = tallied.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("v")) for n in rows.columns])).alias("c"))
-    return stacked.select("c.name", _typed(
-        F.col("c.v.integer"), F.col("c.v.number"), F.col("c.v.string")).alias("type"))
+    widest = kinds.agg(*[F.max(rank(F.col(f"`{name}`"))).alias(name) for name in rows.columns])
+    stacked = widest.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("rank")) for n in rows.columns])).alias("c"))
+    named = F.when(F.col("c.rank") == 1, "integer").when(F.col("c.rank") == 2, "number").otherwise("string")
+    return stacked.select("c.name", render_type(named).alias("type"))
 
 
 def _columns_from_votes(votes: DataFrame, keys: Sequence[str]) -> DataFrame:
