@@ -199,3 +199,39 @@ def test_load_gap_of_the_newest_row(spark):
     assert row.gap_seconds == 5 * 86400 and abs(row.z_score - (5 - mean) / std) < 1e-9
     even = C.load_gap_zscore(df.where(F.col("loaded_at") < F.lit(START + dt.timedelta(days=4))), ["t"]).first()
     assert even.z_score is None
+
+
+def test_many_filesets_keep_the_first_match(spark):
+    import random
+    import re as regex
+    import time
+
+    from vigilake.functions.names import literal_ends, pattern_regex
+    from vigilake.operators.filesets import Fileset, match_filesets
+
+    assert literal_ends("orders_{date}.csv") == ("orders_", ".csv") and literal_ends("*") == ("", "") and literal_ends("a.b") == ("a.b", "a.b")
+    rng = random.Random(1)
+    filesets = []
+    for i in range(5000):
+        kind = i % 7
+        spec = [f"feed{i}_{{date}}.csv", f"*_part{i}.json", f"x{i % 40}*", f"feed{i - 1}_*", f"in/{i % 50}/*.csv", f"lone{i}.txt", f"[ab]{i}?.log"][kind]
+        filesets.append(Fileset(f"f{i}", pattern=spec))
+    filesets[4321] = Fileset("r", regex=r"any\d+(?P<x>z)")
+    names = [f"feed{rng.randrange(5000)}_2024010{rng.randint(1, 9)}.csv" for _ in range(150)]
+    names += [f"q_part{rng.randrange(5000)}.json" for _ in range(80)] + [f"x{rng.randrange(60)}y" for _ in range(60)] + [f"d/in/{k}/a.csv" for k in range(4)] + [f"in/{k}/a.csv" for k in range(60)]
+    names += ["any77z", "a13q.log", "b20x.log", "lone5.txt", "", "none", "feed12_", "/x1"]
+    compiled = [(f, regex.compile(f.anchored.replace(r"\z", r"\Z").replace("(?<x>", "(?P<x>"))) for f in filesets]
+    want = {n: next((f.name for f, c in compiled if c.match(n if "/" in f.spec else n.rsplit("/", 1)[-1])), None) for n in names}
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    found = {r.path: r.fileset for r in match_filesets(files, filesets).collect()}
+    assert found == want and sum(v is not None for v in want.values()) > 150
+    many = files.crossJoin(spark.range(200))
+    seconds = []
+    for some in (filesets[:201], filesets):
+        query = match_filesets(many, some).groupBy("fileset").count()
+        query.collect()
+        start = time.time()
+        query.collect()
+        seconds.append(time.time() - start)
+    assert seconds[1] < 10 and len(names) * 200 > 70000
+    assert pattern_regex("a*") and match_filesets(files, []).where("fileset is not null").count() == 0

@@ -88,6 +88,14 @@ def pattern_regex(pattern: str) -> str:
     return "^(?s:" + "".join(out) + r")\z"
 
 
+def literal_ends(pattern: str) -> tuple[str, str]:
+    """The plain text that every name a glob with tokens matches begins with, and ends with."""
+    plain = [piece if len(piece) == 1 and piece not in "*?" else None for piece in re.findall(_PIECES, pattern)]
+    first = plain.index(None) if None in plain else len(plain)
+    last = plain[::-1].index(None) if None in plain else len(plain)
+    return "".join(plain[:first]), "".join(plain[len(plain) - last :])
+
+
 def pattern_regex_col(pattern: Column) -> Column:
     """``pattern_regex`` for patterns that arrive as a column."""
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -10,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.changes import columns_json, detail_json, severity, sorted_entries
-from vigilake.functions.names import base_name, pattern_regex
+from vigilake.functions.names import base_name, literal_ends, pattern_regex
 from vigilake.functions.uris import file_uri, fileset_uri
 
-# One CASE expression holds at most this many patterns; more are chained.
-_CASE_WIDTH = 200
+# One CASE expression holds at most this many patterns; more are looked up by their plain ends, of at most so many characters.
+_CASE_WIDTH, _KEY_CHARS = 200, 32
 
 
 @dataclass(frozen=True)
@@ -43,9 +45,11 @@ class Fileset:
     def matches(self, path: Column) -> Column:
         """Whole-string match; on the base name unless the spec has a ``/``."""
         target = path if "/" in self.spec else base_name(path)
-        if self.regex:
-            return target.rlike("^(?:" + self.regex.replace("(?P<", "(?<") + r")\z")
-        return target.rlike(pattern_regex(self.pattern))
+        return target.rlike(self.anchored)
+
+    @property
+    def anchored(self) -> str:
+        return "^(?:" + self.regex.replace("(?P<", "(?<") + r")\z" if self.regex else pattern_regex(self.pattern)
 
 
 def parse_filesets(config: Iterable[dict] | None) -> list[Fileset]:
@@ -67,15 +71,44 @@ def parse_filesets(config: Iterable[dict] | None) -> list[Fileset]:
 def match_filesets(files: DataFrame, filesets: list[Fileset]) -> DataFrame:
     """Adds ``fileset``, the first declared one that matches ``path``, or null.
 
-    Patterns become literals of a CASE expression: one pass, no join, no shuffle.
+    Few patterns become literals of a CASE expression, many a table of their plain beginnings or ends, so a name meets
+    only those that it can match: one pass, no join, no shuffle.
+    """
+    if len(filesets) > _CASE_WIDTH:
+        return files.withColumn("fileset", _first_of_many(F.col("path"), filesets))
+    chain = F
+    for fileset in filesets:
+        chain = chain.when(fileset.matches(F.col("path")), F.lit(fileset.name))
+    return files.withColumn("fileset", F.lit(None).cast("string") if chain is F else chain)
+
+
+def _first_of_many(path: Column, filesets: list[Fileset]) -> Column:
+    """The first matching fileset's name, by look-ups of the name's own beginnings and ends in a constant hash table.
+
+    A pattern stands under its longer plain end (``_KEY_CHARS`` at most); one without any is met by every name.
     """
-    matched = files.withColumn("fileset", F.lit(None).cast("string"))
-    for start in range(0, len(filesets), _CASE_WIDTH):
-        chain = F
-        for fileset in filesets[start : start + _CASE_WIDTH]:
-            chain = chain.when(fileset.matches(F.col("path")), F.lit(fileset.name))
-        matched = matched.withColumn("fileset", F.coalesce("fileset", chain))
-    return matched
+    size = 1 << (2 * len(filesets)).bit_length()
+    slots: list[list[dict]] = [[] for _ in range(size)]
+    looks = set()
+    for pos, fileset in enumerate(filesets):
+        prefix, suffix = ("", "") if fileset.regex else (e for e in literal_ends(fileset.pattern))
+        at_end = len(suffix) > len(prefix)
+        text = suffix[-_KEY_CHARS:] if at_end else prefix[:_KEY_CHARS]
+        look = (at_end, "/" in fileset.spec, len(text))
+        looks.add(look)
+        key = f"{look[0]:d}{look[1]:d}{text}"
+        slots[zlib.crc32(key.encode()) % size].append({"key": key, "pos": pos, "name": fileset.name, "regex": fileset.anchored})
+    table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<key:string,pos:int,name:string,regex:string>>>")
+
+    def found(at_end: bool, whole: bool, length: int) -> Column:
+        target = path if whole else base_name(path)
+        part = F.right(target, F.lit(length)) if at_end else F.left(target, F.lit(length))
+        key = F.concat(F.lit(f"{at_end:d}{whole:d}"), part)
+        slot = F.get(table, F.pmod(F.crc32(key.cast("binary")), F.lit(size)).cast("int"))
+        hits = F.filter(slot, lambda x: (x["key"] == key) & F.rlike(target, x["regex"]))
+        return F.transform(hits, lambda x: F.struct(x["pos"].alias("pos"), x["name"].alias("name")))
+
+    return F.array_min(F.concat(*[found(*look) for look in sorted(looks)]))["name"]
 
 
 def declared(spark, filesets: list[Fileset], source: str) -> DataFrame:
