@@ -86,12 +86,35 @@ def test_leaks_in_blocks_of_items_and_pieces_of_text(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{long[: 997 * i]} {t} {long}") for i, t in items] + [(50, None), (None, items[3][1])], "doc_id long, text string")
     monkeypatch.setattr(dc, "PIECE_CHARS", 300)
     blocks = list(dc.item_blocks(bench, 5))
-    assert sorted(i for b in blocks for i, _ in b) == list(range(12)) and len(blocks) == 3
+    assert sorted(i for b, _ in blocks for i, _ in b) == list(range(12)) and len(blocks) == 3
     monkeypatch.setattr(dc, "ITEMS_AT_ONCE", 5)
     assert {(r.doc_id, r.item_id) for r in dc.leaks(docs, bench).collect()} == {(i, i) for i in range(12)} | {(None, 3)}
     assert dc.leaks(docs.limit(0), bench).count() == 0 and dc.leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [30, 5])
+def test_blocks_of_items_change_no_result(spark, documents, monkeypatch, at_once):
+    bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").limit(60).unionByName(spark.createDataFrame([(900, "three short words"), (901, ""), (902, "a b")], "item_id long, text string"))
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(9000, "x three short words y"), (9001, "the a b c")], "doc_id long, text string"))
+
+    def retrieved():
+        """Every (text, item, score) that any passage retrieves, whether it leaks or not."""
+        out = set()
+        texts = [(r.doc_id, dc.WORD.findall((r.text or "").lower())) for r in docs.limit(80).collect()]
+        for items, statistics in dc.item_blocks(bench):
+            index = dc.Index(items, statistics)
+            for doc_id, words in texts:
+                for a in range(0, len(words), index.span):
+                    terms = sorted({index.terms[w] for w in words[a:a + 2 * index.span] if w in index.terms})
+                    out |= {(doc_id, a, index.ids[k], round(s, 9)) for k, s in index.search(terms)}
+        return out
+
+    leaks = lambda: {(r.doc_id, r.item_id, round(r.score, 9)) for r in dc.leaks(docs, bench).collect()}
+    whole, found = retrieved(), leaks()
+    monkeypatch.setattr(dc, "ITEMS_AT_ONCE", at_once)
+    assert retrieved() == whole and leaks() == found and len(whole) > 2 and (9000, 900) in {f[:2] for f in found}
+
+
 BAD = ["grumbleworth", "snarkface", "vexatious"]
 
 
@@ -119,6 +142,32 @@ def test_compression_distance_separates_held_out_documents():
     assert right >= 195
 
 
+def test_toxic_documents_of_all_languages_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = toxicity.op4_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(docs, "doc_id").collect()
+    scores, labels = np.array([r.score for r in rows]), np.array([r.toxic for r in rows])
+    order = np.argsort(scores, kind="stable")
+    rank = np.empty(len(rows))
+    rank[order] = np.arange(1, len(rows) + 1)
+    positive = labels.sum()
+    assert (rank[labels == 1].sum() - positive * (positive + 1) / 2) / (positive * (len(rows) - positive)) >= 0.94
+    for lang in ("en", "de", "fr"):
+        found = [r.predicted for r in rows if r.toxic and r.lang == lang]
+        assert len(found) >= 15 and sum(found) >= 0.8 * len(found)
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.03 * sum(1 for r in rows if not r.toxic)
+
+
+def test_dictionaries_share_their_ordinary_text():
+    part = toxicity.toxic_part(toxicity.Counter({" idiot ": 9, " loser": 4}))
+    assert len(part) % 24 == 0 and {part.find(b" idiot ", k) % 3 for k in range(len(part)) if part.find(b" idiot ", k) >= 0} == {0, 1, 2}
+    ordinary = " ".join(f"word{i % 97} other{i % 31}" for i in range(4000)).encode()
+    distance = toxicity.Distance(part, ordinary[-toxicity.ORDINARY_BYTES:])
+    plain, toxic = (toxicity.windows(f"word3 other4 {w} word5 other6 word7".split()) for w in ("word9", "idiot"))
+    assert (distance(plain) <= 0).all() and distance(toxic).max() >= 2
+    assert toxicity.windows([]) == [] and len(toxicity.windows(["a"] * 6)) == 1 and len(toxicity.windows(["a"] * 7)) == 2
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2, 1) for i in range(8)] + [(None, 1, 1), (3, None, None)], "doc_id long, toxic int, quality int")
     model = toxicity.fit_from(odd_docs, labels)

@@ -11,7 +11,7 @@ So before a passage is searched, the heavy shares of its words are summed per it
 light terms are taken as present, so the sum is never below the score and no item is lost.
 
 The index is built from at most about ``ITEMS_AT_ONCE`` items at a time; more items are searched in blocks, each a pass
-over the documents. Documents are never shuffled.
+over the documents. Weights and passages follow all items, so blocks change no result. Documents are never shuffled.
 
 Defined results: null and empty texts leak nothing; items without words are left out; equal items count each. An item of
 fewer than five words is one shingle. Repeated document rows are reported each. A row with a null id keeps it.
@@ -24,13 +24,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import table
+from vigilake.llm.common import stash, table
 
 K1, B = 1.2, 0.75
 SHARE, LIGHT = 0.5, 0.3
@@ -48,21 +49,37 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items, however they are dealt over blocks: their number, mean and largest number of words, and how many hold a term."""
+
+    n: int
+    mean: float
+    longest: int
+    held: dict[str, int]
+
+
+def statistics_of(cut: list[list[str]]) -> Statistics:
+    """Of items given as words."""
+    cut = [w for w in cut if w]
+    return Statistics(len(cut), sum(map(len, cut)) / max(1, len(cut)), max(map(len, cut), default=0), Counter(t for w in cut for t in set(w)))
+
+
 class Index:
     """Postings of test items: per term the items, their shares of score, and the largest share in each block."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         cut = [(i, WORD.findall((t or "").lower())) for i, t in items]
         cut = [(i, w) for i, w in cut if w]
+        of_all = statistics or statistics_of([w for _, w in cut])
         self.ids = [i for i, _ in cut]
         self.words = [w for _, w in cut]
-        self.span = math.ceil(1.25 * max((len(w) for _, w in cut), default=0)) + SHINGLE
-        held = Counter(t for _, w in cut for t in set(w))
-        mean = sum(len(w) for _, w in cut) / max(1, len(cut))
+        self.span = math.ceil(1.25 * of_all.longest) + SHINGLE
+        held, mean = of_all.held, of_all.mean
         postings: dict[str, list[tuple[int, float]]] = {}
         for k, (_, w) in enumerate(cut):
             norm = K1 * (1 - B + B * len(w) / mean)
-            weights = {t: math.log(1 + (len(cut) - held[t] + 0.5) / (held[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in Counter(w).items()}
+            weights = {t: math.log(1 + (of_all.n - held[t] + 0.5) / (held[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in Counter(w).items()}
             own = sum(weights.values())
             for t, v in weights.items():
                 postings.setdefault(t, []).append((k, v / own))
@@ -231,26 +248,48 @@ def searcher(index: Index, keep_text: bool):
     return search
 
 
-def item_blocks(items: DataFrame, most: int = ITEMS_AT_ONCE) -> Iterator[list[tuple[int, str]]]:
-    """(item_id, text) in blocks of about ``most``, each small enough for the driver and every task."""
+def cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, text) to (block, size, terms): number of words and different words of each item."""
+    for batch in batches:
+        cut = [WORD.findall(t.lower()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("block"), pa.array(map(len, cut), pa.int64()), pa.array([sorted(set(w)) for w in cut], pa.list_(pa.string()))], names=["block", "size", "terms"])
+
+
+def item_blocks(items: DataFrame, most: int | None = None) -> Iterator[tuple[list[tuple[int, str]], Statistics | None]]:
+    """(item_id, text) in blocks of about ``most``, each small enough for the driver and every task, with the statistics of all items.
+
+    Of the document frequencies only those of the block's own terms come to the driver. One block is its own statistics.
+    """
+    most = most or ITEMS_AT_ONCE
     usable = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     n = max(1, math.ceil(usable.count() / most))
+    usable = usable.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    if n > 1:
+        sizes = stash(usable.select("block", "text").mapInArrow(cut_items, "block int, size long, terms array<string>").filter("size > 0"), "items")
+        total = sizes.agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("size").alias("longest")).first()
+        terms = sizes.select("block", F.explode("terms").alias("term"))
+        held = stash(terms.distinct().join(terms.groupBy("term").agg(F.count("*").alias("held")).hint("merge"), "term"), "held")
     for b in range(n):
-        rows = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        yield sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        rows = sorted(((r.item_id, r.text) for r in usable.filter(F.col("block") == b).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        if n == 1:
+            yield rows, None
+        else:
+            mine = {r.term: r.held for r in held.filter(F.col("block") == b).select("term", "held").collect()}
+            yield rows, Statistics(total.n, (total.words or 0) / max(1, total.n), total.longest or 0, mine)
 
 
-def with_leaks(docs: DataFrame, items: list[tuple[int, str]], keep_text: bool) -> DataFrame:
+def with_leaks(docs: DataFrame, items: list[tuple[int, str]], keep_text: bool, statistics: Statistics | None = None) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name != "_leaks" and (keep_text or f.name != "text")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"_leaks {LEAKS}"])
-    return docs.mapInArrow(searcher(Index(items), keep_text), schema)
+    return docs.mapInArrow(searcher(Index(items, statistics), keep_text), schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row per document row and leaked item."""
     out = None
-    for items in item_blocks(benchmark):
-        found = with_leaks(docs.select("doc_id", "text"), items, keep_text=False).select("doc_id", F.explode("_leaks").alias("_l")).select("doc_id", "_l.*")
+    for items, statistics in item_blocks(benchmark):
+        found = with_leaks(docs.select("doc_id", "text"), items, keep_text=False, statistics=statistics).select("doc_id", F.explode("_leaks").alias("_l")).select("doc_id", "_l.*")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -258,8 +297,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item, in its own columns."""
     out = docs.select(F.struct("*").alias("_row"), "text")
-    for items in item_blocks(benchmark):
-        out = with_leaks(out, items, keep_text=True).filter(F.size("_leaks") == 0).drop("_leaks")
+    for items, statistics in item_blocks(benchmark):
+        out = with_leaks(out, items, keep_text=True, statistics=statistics).filter(F.size("_leaks") == 0).drop("_leaks")
     return out.select("_row.*")
 
 
