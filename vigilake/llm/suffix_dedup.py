@@ -377,10 +377,11 @@ def removals(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with what is left of its texts; bytes that no longer form a character become U+FFFD."""
     left = remaining(docs).select(F.col("doc_id").alias("_id"), "_key", F.decode("kept", "UTF-8").alias("_kept")).dropDuplicates(["_id", "_key"])
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = rows.join(left.hint("merge"), (F.col("_hash") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    return joined.select(*[F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    joined = rows.join(left.hint("merge"), (F.col("_hash") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    return joined.select(*[F.col("_kept").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removals(table(spark, sf_dir, "documents"))
+    found = removals(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
