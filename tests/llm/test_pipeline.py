@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import test_models as tm
 import test_near_dedup as tn
+import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -16,20 +17,33 @@ from vigilake.llm import mixing, token_files, toxicity
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
+def plain_distances(words, model):
+    """Of windows of six words, three apart, the last of which ends with the text: lengths under both dictionaries."""
+    codecs = []
+    for content in (model.ordinary, model.toxic + model.ordinary):
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dictionary.precompute_compress(toxicity.LEVEL)
+        codecs.append(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False))
+    out, at = [], 0
+    while words and (at == 0 or at + 3 < len(words)):
+        window = f" {' '.join(words[at:at + 6])} ".encode()
+        out.append(len(codecs[0].compress(window)) - len(codecs[1].compress(window)))
+        at += 3
+    return np.array(out, dtype=np.int64)
+
+
 def test_pipeline_equals_plain_stages(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     rows = {r.doc_id: r for r in docs.collect()}
     # Toxicity: the model's own scores, one document at a time.
     model = toxicity.fit_from(docs, labels)
-    distance = toxicity.Distance(model.toxic, model.ordinary)
     left = []
     for d, r in rows.items():
-        w = [x.strip(toxicity.PUNCTUATION) for x in (r.text or "").lower().split()]
-        hits = sum(bool(x) and distance(x) >= model.threshold for x in w)
-        if np.dot(toxicity.features(hits, len(w)), model.weights) < 0:
+        w = [x for x in (x.strip(toxicity.PUNCTUATION) for x in (r.text or "").lower().split()) if x]
+        if np.dot(toxicity.features(plain_distances(w, model)), model.weights) < 0:
             left.append(d)
-    groups = tn.brute([(d, rows[d].text) for d in left])
+    groups = tn.brute([(d, rows[d].text) for d in left], 80)
     left = [d for d in left if groups[d][1] == d]
     leaky = {d for d, _ in tm.brute_leaks([(d, rows[d].text) for d in left], items, dc.Index(items).span)}
     left = [d for d in left if d not in leaky]
