@@ -77,8 +77,9 @@ def constant_array(values: list[float]) -> Column:
 def likelihood_score(hashes: Column, pairs: Column, ratios: list[float]) -> Column:
     """Mean log ratio of the n-grams; 0 without words."""
     model, bins = constant_array(ratios), F.lit(len(ratios))
-    sum_of = lambda grams: F.aggregate(grams, F.lit(0.0), lambda acc, x: acc + F.get(model, F.pmod(x, bins).cast("int")))
-    return F.when(F.size(hashes) > 0, (sum_of(hashes) + sum_of(pairs)) / (2 * F.size(hashes))).otherwise(F.lit(0.0))
+    # One sum, so that the plan holds the model once.
+    total = F.aggregate(F.concat(hashes, pairs), F.lit(0.0), lambda acc, x: acc + F.get(model, F.pmod(x, bins).cast("int")))
+    return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes))).otherwise(F.lit(0.0))
 
 
 def window_hashes(hashes: Column, pairs: Column, window: int = WINDOW) -> Column:
