@@ -85,3 +85,20 @@ def test_files_above_the_limit_are_not_read_whole(spark, tmp_path):
     assert docs.count() == 1
     files = docs._jdf.queryExecution().executedPlan().toString()
     assert "file_size" in files
+
+
+def test_pieces_stay_in_their_splits(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": i, "x": [i, "a,]"]} for i in range(3000)]))
+    kept = []
+    monkeypatch.setattr(JA, "stash", lambda df, label: kept.append(df) or df)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        elements = JA.array_elements(JA.comma_pieces(spark, [str(tmp_path)]))
+        assert elements.where("text is not null").count() == 3000
+        plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+        splits = kept[0].select("block").distinct().count()
+        assert splits > 3 and kept[0].where("not whole").count() <= 2 * splits
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
