@@ -92,3 +92,20 @@ def test_crawl_finds_delimiters_headers_and_records_over_split_borders(spark, tm
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     columns = {"id": "integer/string", "text": "string", "share": "number/string"}
     assert got == {"a.csv": columns, "b.csv": columns, "c.csv": columns, "d.csv": columns, "bare.csv": {}}
+
+
+def test_lines_stay_in_their_splits(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("id,text\n" + "".join(f'{i},"line {i}\n""second"", {i}"\n' for i in range(2000)))
+    kept = []
+    monkeypatch.setattr(CF, "stash", lambda df, label: kept.append(df) or df)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        lines = CR.raw_lines(spark, str(tmp_path), "csv").select("path", "line_id", F.col("raw").cast("string").alias("line"))
+        assert CF.csv_records(lines, ",").count() == 2001
+        plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+        splits = kept[0].select("block").distinct().count()
+        assert splits > 3 and kept[0].where("part >= 0").count() <= 2 * splits
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan

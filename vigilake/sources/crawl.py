@@ -100,14 +100,15 @@ def decoded_lines(
     """
     lines = raw_lines(spark, root, kind, modified_after)
     mine = census.where(reader_for(F.col("path")) == kind)
-    narrow = lines.join(mine.where("encoding not like 'utf-16%'"), ["path"]).select(
+    # One small row per file, as the reader's own list has it: lines need not move.
+    narrow = lines.join(F.broadcast(mine.where("encoding not like 'utf-16%'")), ["path"]).select(
         "path", "encoding", "line_id", decoded(F.col("raw"), F.col("encoding")).alias("line"))
     # Only the paths come to the driver, where a reader's file list lives anyway.
     paths = [r.path for r in mine.where("encoding like 'utf-16%'").select("path").toLocalIterator()]
     if not paths:
         return narrow
     content = spark.read.format("binaryFile").load(_escaped(paths))
-    wide = content.select("path", "content").join(mine, ["path"]).select(
+    wide = content.select("path", "content").join(F.broadcast(mine), ["path"]).select(
         "path", "encoding", F.posexplode(F.split(decoded(F.col("content"), F.col("encoding")), "\r?\n")).alias("n", "line"))
     at = F.struct(F.lit(0).cast("bigint").alias("block"), F.col("n").cast("bigint").alias("n"))
     return narrow.unionByName(wide.select("path", "encoding", at.alias("line_id"), "line"))

@@ -6,19 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-
-def sum_upto(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the file's pieces up to each one, first inside a split, then over the splits.
-
-    Rows have ``path``, ``block`` (where their split begins) and ``n``, which grows inside a split.
-    """
-    inside = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("path", "block").agg(F.sum(value).alias("_sum")).select("path", "block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    return rows.withColumn(name, F.sum(value).over(inside)).join(before, ["path", "block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
 def stretches(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
