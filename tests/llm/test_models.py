@@ -142,6 +142,27 @@ def test_compression_distance_separates_held_out_documents():
     assert right >= 195
 
 
+def test_fit_holds_little_more_than_its_texts():
+    import tracemalloc
+
+    rows = toxic_rows(1200, 5)
+    tracemalloc.start()
+    toxicity.fit(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(len(t) for t, _ in rows)
+
+
+def test_fit_counts_documents_of_telling_sequences():
+    rows, coded = toxic_rows(60, 7), toxicity.Coded()
+    seen = [(coded.code(t), k) for t, k in rows]
+    of = lambda t: set().union(*(toxicity.sequences(w, 7) for w in toxicity.plain_words(t)))
+    plain = [toxicity.Counter(s for t, y in rows if y == k for s in of(t)) for k in (0, 1)]
+    assert toxicity.document_counts(seen, coded, 7, 2) == {s: [plain[0][s], c] for s, c in plain[1].items() if c >= 2}
+    whole = b"".join(f" {' '.join(toxicity.plain_words(t))} ".encode() for t, k in rows if not k)
+    assert all(toxicity.last_bytes([w for w, k in seen if not k], coded, n) == whole[-n:] for n in (1, 500, len(whole) + 9))
+
+
 def test_toxic_documents_of_all_languages_are_found(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")

@@ -20,8 +20,9 @@ Extra columns are passed through by ``score_documents``.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -99,26 +100,51 @@ def toxic_part(stretches: Counter) -> bytes:
     return out + b"." * (-len(out) % (8 * PLACES))
 
 
+def codec(dictionary: bytes) -> zstandard.ZstdCompressor:
+    options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+    if not dictionary:
+        return zstandard.ZstdCompressor(level=LEVEL, **options)
+    data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, **options)
+
+
+def lengths(under: zstandard.ZstdCompressor, found: list[bytes]) -> np.ndarray:
+    """Compressed length of each window."""
+    return np.fromiter((len(under.compress(w)) for w in found), dtype=np.int64, count=len(found))
+
+
 class Distance:
     """How much shorter a window gets under the toxic dictionary than under the ordinary one."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.under_toxic, self.under_ordinary = self._codec(toxic + ordinary), self._codec(ordinary)
-
-    @staticmethod
-    def _codec(dictionary: bytes) -> zstandard.ZstdCompressor:
-        options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
-        if not dictionary:
-            return zstandard.ZstdCompressor(level=LEVEL, **options)
-        data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        data.precompute_compress(LEVEL)
-        return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, **options)
+        self.under_toxic, self.under_ordinary = codec(toxic + ordinary), codec(ordinary)
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
         plain, toxic = self.under_ordinary.compress, self.under_toxic.compress
         return np.fromiter((len(plain(w)) - len(toxic(w)) for w in found), dtype=np.int64, count=len(found))
 
 
+class Coded:
+    """Texts as their plain words, four bytes a word; each different word is held once."""
+
+    def __init__(self):
+        self.places: dict[str, int] = {}
+        self.words: list[str] = []
+
+    def code(self, text: str) -> array:
+        out = array("I")
+        for w in plain_words(text):
+            place = self.places.setdefault(w, len(self.words))
+            if place == len(self.words):
+                self.words.append(w)
+            out.append(place)
+        return out
+
+    def of(self, coded: Iterable[int]) -> list[str]:
+        return [self.words[i] for i in coded]
+
+
 def features(distances: np.ndarray) -> list[float]:
     counts = [int((distances >= t).sum()) for t in THRESHOLDS]
     share = 1000.0 / max(1, len(distances))
@@ -140,6 +166,40 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50
     return w, float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
 
+def last_bytes(documents: list[array], coded: Coded, most: int) -> bytes:
+    """The last ``most`` bytes of the documents' words, a space between words and on both sides of a document."""
+    parts, size = [], 0
+    for words in reversed(documents):
+        if size >= most:
+            break
+        parts.append(f" {' '.join(coded.of(words))} ".encode("utf-8", "replace"))
+        size += len(parts[-1])
+    return b"".join(reversed(parts))[-most:]
+
+
+def document_counts(seen: list[tuple[array, int]], coded: Coded, length: int, least: int) -> dict[str, list[int]]:
+    """Ordinary and toxic documents with each sequence that ``least`` toxic ones or more have."""
+    toxic = Counter()
+    for words, k in seen:
+        if k:
+            toxic.update(set().union(*(sequences(coded.words[i], length) for i in set(words))))
+    counts = {s: [0, c] for s, c in toxic.items() if c >= least}
+    del toxic
+    # A word holds references to these strings only.
+    one = {s: s for s in counts}
+    of_word: dict[int, tuple[str, ...]] = {}
+    for words, k in seen:
+        if not k:
+            own: set[str] = set()
+            for i in set(words):
+                if i not in of_word:
+                    of_word[i] = tuple(one[s] for s in sequences(coded.words[i], length) if s in one)
+                own.update(of_word[i])
+            for s in own:
+                counts[s][0] += 1
+    return counts
+
+
 def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> Model:
     """Model of (text, class) pairs; two thirds make the dictionaries, one third the curve.
 
@@ -148,27 +208,42 @@ def fit(rows: list[tuple[str, int]], toxic_share: float | None = None) -> Model:
     drawn = sum(y for _, y in rows) / len(rows) if rows else 0.0
     if not 0 < drawn < 1:
         return Model(b"", b"", (math.log((drawn + 1e-3) / (1 - drawn + 1e-3)), *[0.0] * (NO_TOXIC - 1)))
-    by_class = [[t for t, y in rows if y == k] for k in (0, 1)]
-    seen, held = [], []
-    for k, texts in enumerate(by_class):
-        seen += [(plain_words(t), k) for i, t in enumerate(texts) if i % 3 or len(texts) < 3]
-        held += [(windows(plain_words(t)), k) for i, t in enumerate(texts) if not i % 3 or len(texts) < 3]
+    # The driver holds no more of the texts than codes of their words; words, sequences and windows of one document at a time.
+    coded, seen, held = Coded(), [], []
+    number, n_rows = [0, 0], [sum(1 for _, y in rows if y == k) for k in (0, 1)]
+    for text, k in rows:
+        i, few = number[k], n_rows[k] < 3
+        number[k] += 1
+        words = coded.code(text)
+        if i % 3 or few:
+            seen.append((words, k))
+        if not i % 3 or few:
+            held.append((words, k))
+    # By class, as the curve's sums are taken in this order.
+    seen, held = sorted(seen, key=lambda x: x[1]), sorted(held, key=lambda x: x[1])
     n = [sum(1 for _, k in seen if k == c) for c in (0, 1)]
-    ordinary = b"".join(f" {' '.join(w)} ".encode("utf-8", "replace") for w, k in seen if not k)[-ORDINARY_BYTES:]
+    ordinary = last_bytes([words for words, k in seen if not k], coded, ORDINARY_BYTES)
     y = np.array([k for _, k in held], dtype=float)
+    under_ordinary = codec(ordinary)
+    plain = [lengths(under_ordinary, windows(coded.of(words))) for words, _ in held]
+    occurrences = Counter()
+    for words, k in seen:
+        if k:
+            occurrences.update(words)
+    least_of = {share: min(n[1], max(2, math.ceil(share * n[1]))) for share in LEAST_SHARES}
     best = None
     for length in SEQUENCES:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        of_word = {w: sequences(w, length) for w in set().union(*(w for w, _ in seen))}
-        for words, k in seen:
-            counts[k].update(set().union(*map(of_word.__getitem__, set(words))))
+        counts = document_counts(seen, coded, length, min(least_of.values()))
         for commoner, share in product(COMMONER, LEAST_SHARES):
-            least = min(n[1], max(2, math.ceil(share * n[1])))
-            telling = {s for s, c in counts[1].items() if c >= least and c / n[1] > commoner * (counts[0][s] + 0.5) / (n[0] + 1)}
-            chosen = Counter(s for words, k in seen if k for w in words if not telling.isdisjoint(of_word[w]) and (s := stretches(w, telling, length)))
+            telling = {s for s, (a, b) in counts.items() if b >= least_of[share] and b / n[1] > commoner * (a + 0.5) / (n[0] + 1)}
+            chosen = Counter()
+            for i, times in occurrences.items():
+                if s := stretches(coded.words[i], telling, length):
+                    chosen[s] += times
             toxic = toxic_part(chosen)
-            distance = Distance(toxic, ordinary)
-            w, loss = fit_curve(np.array([features(distance(found)) for found, _ in held]), y)
+            under_toxic = codec(toxic + ordinary)
+            x = [features(p - lengths(under_toxic, windows(coded.of(words)))) for (words, _), p in zip(held, plain, strict=True)]
+            w, loss = fit_curve(np.array(x), y)
             if best is None or loss < best[0]:
                 best = (loss, toxic, [float(v) for v in w])
     odds = lambda p: math.log(p / (1 - p))
