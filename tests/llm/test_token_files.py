@@ -35,6 +35,23 @@ def test_word_by_word_equals_whole_texts(library, documents):
         assert [list(x) for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_each_different_piece_is_encoded_once_for_many_texts(library):
+    texts = ["Thing thing thing. other thing!? other 12ab thing", None, "", " \x0b other\x1cx 12ab THING### 12ab ", "é Élan élan, élan"] * 50
+    words, made = tf.WordIds(VOCABULARY, 1), []
+    piece, word = words._piece, words._word
+    words._piece, words._word = lambda p: (made.append(("piece", p)), piece(p))[1], lambda w: (made.append(("word", w)), word(w))[1]
+    ids, sizes = words.encode_all(tf.pa.array(texts))
+    plain = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(x) for x in plain] and ids.tolist() == [i for x in plain for i in x]
+    assert len(made) == len(set(made)) and {("piece", "thing"), ("piece", "élan"), ("word", "12ab")} <= set(made)
+
+
+def test_slices_hold_every_row_once():
+    texts = tf.pa.array(["a" * 10, None, "", "b" * 100, "cc", "d" * 50, ""])
+    assert list(tf.slices(texts, 60)) == [(0, 3), (3, 4), (4, 7)] and list(tf.slices(texts.slice(1, 3), 60)) == [(0, 2), (2, 3)]
+    assert list(tf.slices(texts.slice(0, 0))) == []
+
+
 def test_files_give_back_every_document(spark, library, documents, odd_docs):
     for docs in (documents, odd_docs.filter("doc_id is not null").dropDuplicates(["doc_id"])):
         found = tf.token_output(docs, new_scratch_path(spark, "t"), VOCABULARY).collect()

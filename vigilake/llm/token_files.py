@@ -7,9 +7,9 @@ let a look-up skip stripes and row groups. The offset over the whole corpus is t
 plus the stored offset: no running sum over all documents is needed.
 
 Encoding: no token of the vocabulary's pre-tokenizer crosses white space, so a text's ids are those of its words in
-order, and a worker encodes each different word once while its (bounded) cache lasts. Words of Latin letters with
-closing punctuation are cached by their letters, which the pre-tokenizer separates too. Everything else goes to the
-tokenizers library as it is.
+order: Arrow finds the different words of some documents, and only these are looked up. Words of Latin letters with
+closing punctuation are taken by their letters and their punctuation, which the pre-tokenizer separates too; everything
+else goes to the tokenizers library as it is. What a worker has encoded it remembers while its (bounded) cache lasts.
 
 Defined results: a null or empty text is the end id alone. Order is ascending doc_id, nulls first, equal ids by text.
 Repeated rows are documents of their own. Extra columns are left out.
@@ -18,12 +18,13 @@ Repeated rows are documents of their own. Extra columns are left out.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,14 +34,12 @@ from vigilake.llm.common import table
 from vigilake.session import new_scratch_path
 
 END_ID = 1
-#: Different words a worker remembers.
+#: Different pieces, and as many odd words, that a worker remembers.
 CACHED = 500_000
-#: Documents that are encoded at a time.
-ROWS = 256
-#: Latin letters, then closing punctuation.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Control characters that str.split takes for white space and the pre-tokenizer does not.
-NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Bytes of text that are encoded at a time, and documents that are handed on at a time.
+BYTES, ROWS = 4 << 20, 256
+#: Latin letters, then ASCII punctuation: two pieces of the pre-tokenizer.
+PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 ORC_OPTIONS = {
     "orc.compress": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
     "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20),
@@ -55,45 +54,81 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class WordIds(dict):
-    """Word to its ids as bytes; a missing word is encoded."""
+def taken(flat: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of some rows, in their order, of rows of ``sizes`` values that stand one behind the other in ``flat``."""
+    starts, own = np.cumsum(sizes, dtype=np.int32) - sizes, sizes[rows]
+    ends = np.cumsum(own, dtype=np.int32)
+    at = np.repeat(starts[rows] - (ends - own), own)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], own
+
+
+class WordIds:
+    """Encodes texts; pieces of words and whole odd words are remembered with their ids as bytes."""
 
     def __init__(self, vocabulary: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model, self.letters, self.cached = self.tokenizer.model, byte_letters(), cached
-        self.stems: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.cached:
-            self.clear()
-        m = PLAIN.fullmatch(word)
-        if m:
-            stem, tail = m.groups()
-            ids = self._stem(stem) + (self._stem(tail) if tail else b"")
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        self[word] = ids
-        return ids
-
-    def _stem(self, stem: str) -> bytes:
-        """Ids of one piece of the pre-tokenizer: letters or punctuation, normalised by lower case alone."""
-        stem = stem.lower()
-        ids = self.stems.get(stem)
-        if ids is None:
-            if len(self.stems) >= self.cached:
-                self.stems.clear()
-            piece = stem.encode().decode("latin-1").translate(self.letters)
-            ids = self.stems[stem] = np.array([t.id for t in self.model.tokenize(piece)], dtype=self.kind).tobytes()
-        return ids
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.kind.char, ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer: lower-case letters or punctuation."""
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self._packed([t.id for t in self.model.tokenize(shown)]) if piece else b""
+
+    def _word(self, word: str) -> bytes:
+        return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _found(self, texts: list[str], known: dict[str, bytes], made: Callable[[str], bytes]) -> list[bytes]:
+        out = list(map(known.get, texts))
+        for i, ids in enumerate(out):
+            if ids is None:
+                if len(known) >= self.cached:
+                    known.clear()
+                out[i] = known[texts[i]] = made(texts[i])
+        return out
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one behind the other, and how many each has; each different word is looked up once."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        parts = pc.extract_regex(words.dictionary, PLAIN)
+        plain = parts.is_valid()
+        pairs = [pc.utf8_lower(pc.struct_field(parts, "stem")).filter(plain), pc.struct_field(parts, "tail").filter(plain)]
+        pieces = pa.concat_arrays(pairs).dictionary_encode()
+        found = self._found(pieces.dictionary.to_pylist(), self.pieces, self._piece)
+        found += [b"", *self._found(words.dictionary.filter(pc.invert(plain)).to_pylist(), self.odd, self._word)]
+        flat = np.frombuffer(b"".join(found), dtype=self.kind)
+        sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // np.int32(self.kind.itemsize)
+        # Two rows for each different word: stem and tail, or the odd word and nothing.
+        none, is_plain = len(pieces.dictionary), plain.to_numpy(zero_copy_only=False)
+        of_word = np.full((len(is_plain), 2), none, dtype=np.int32)
+        of_word[is_plain] = pieces.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T
+        of_word[~is_plain, 0] = np.arange(none + 1, len(found))
+        flat, sizes = taken(flat, sizes, of_word.ravel())
+        flat, sizes = taken(flat, sizes.reshape(-1, 2).sum(axis=1, dtype=np.int32), words.indices.to_numpy(zero_copy_only=False))
+        before = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return flat, np.diff(before)
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype=self.kind)
-        words = re.split("[ \t\n\r]+", text) if NOT_SPACE.search(text) else text.split()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype=self.kind)
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+
+def slices(texts: pa.Array, most: int = BYTES) -> Iterator[tuple[int, int]]:
+    """Rows from and to, with about ``most`` bytes of text or a single one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
 @functools.lru_cache(maxsize=2)
@@ -106,20 +141,21 @@ def encoder_of(vocabulary: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, at = word_ids(vocabulary), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for a in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(a, ROWS)
-                ids = [words.encode(t) for t in batch.column("text").to_pylist()]
-                sizes = np.array([len(x) + 1 for x in ids], dtype=np.int64)
-                ends = np.cumsum(sizes)
+            for a, b in slices(whole.column("text")):
+                batch = whole.slice(a, b - a)
+                ids, sizes = words.encode_all(batch.column("text"))
+                ends = np.cumsum(sizes + 1)
                 flat = np.full(int(ends[-1]), end_id, dtype=np.int32)
-                for x, end in zip(ids, ends, strict=True):
-                    flat[end - 1 - len(x) : end - 1] = x
+                inside = np.ones(len(flat), dtype=bool)
+                inside[ends - 1] = False
+                flat[inside] = ids
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(at + ends - sizes),
-                     pa.array(sizes.astype(np.int32)), lists],
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(np.full(b - a, part, dtype=np.int32)), pa.array(at + ends - sizes - 1),
+                     pa.array((sizes + 1).astype(np.int32)), lists],
                     names=["doc_id", "part", "offset", "n_tokens", "ids"],
                 )
+                yield from (out.slice(k, ROWS) for k in range(0, out.num_rows, ROWS))
                 at += int(ends[-1])
 
     return encode
