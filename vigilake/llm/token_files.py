@@ -35,9 +35,9 @@ from vigilake.session import new_scratch_path
 
 END_ID = 1
 #: Different pieces, and as many odd words, that a worker remembers.
-CACHED = 500_000
+CACHED = 250_000
 #: Bytes of text that are encoded at a time, and documents that are handed on at a time.
-BYTES, ROWS = 4 << 20, 256
+BYTES, ROWS = 2 << 20, 256
 #: Latin letters, then ASCII punctuation: two pieces of the pre-tokenizer.
 PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 ORC_OPTIONS = {
