@@ -158,21 +158,25 @@ def stretch(found: Column, bit: Column, dice: Column, most: Column) -> Column:
 
     A stretch ends at ``most`` places with bigrams of the template: what follows is another copy.
     """
-    kind = "struct<at:int,sum:double,from:int,hits:int,best:double,a:int,b:int>"
-    start = F.struct(*[F.lit(v).alias(n) for n, v in (("at", 0), ("sum", 0.0), ("from", 0), ("hits", 0), ("best", 0.0), ("a", -1), ("b", -1))]).cast(kind)
-
-    def step(acc: Column, mask: Column) -> Column:
-        hit = mask.bitwiseAND(bit) != 0
-        on = (acc["sum"] > 0) & (acc["hits"] < most)
-        total = F.when(on, acc["sum"]).otherwise(0.0) + F.when(hit, 2.0 - dice).otherwise(-dice)
-        begin = F.when(on, acc["from"]).otherwise(acc["at"])
-        better = total > acc["best"]
-        return F.struct(
-            (acc["at"] + 1).alias("at"), total.alias("sum"), begin.alias("from"), (F.when(on, acc["hits"]).otherwise(0) + hit.cast("int")).alias("hits"),
-            F.when(better, total).otherwise(acc["best"]).alias("best"), F.when(better, begin).otherwise(acc["a"]).alias("a"),
-            F.when(better, acc["at"]).otherwise(acc["b"]).alias("b")).cast(kind)
-
-    return F.aggregate(found, start, step, lambda acc: F.struct(acc["best"].alias("sum"), acc["a"].alias("a"), acc["b"].alias("b")))
+    kind = "struct<at:int,sum:double,from:int,hits:int,best:struct<sum:double,a:int,b:int>>"
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0).alias("hits"), none.alias("best")).cast(kind)
+
+    # A step is taken at every place for every template, and its columns are worked out wherever they stand.
+    def over(x: Column) -> Column:
+        def step(acc: Column, mask: Column) -> Column:
+            hit = mask.bitwiseAND(x["bit"]) != 0
+            on = (acc["sum"] > 0) & (acc["hits"] < x["most"])
+            total = F.when(on, acc["sum"]).otherwise(0.0) + F.when(hit, x["more"]).otherwise(x["less"])
+            begin = F.when(on, acc["from"]).otherwise(acc["at"])
+            best = F.struct(total.alias("sum"), begin.alias("a"), acc["at"].alias("b"))
+            return F.struct(
+                (acc["at"] + 1).alias("at"), total.alias("sum"), begin.alias("from"), (F.when(on, acc["hits"]).otherwise(0) + hit.cast("int")).alias("hits"),
+                F.when(total > acc["best"]["sum"], best).otherwise(acc["best"]).alias("best"))
+
+        return F.aggregate(found, start, step, lambda acc: acc["best"])
+
+    return let(F.struct(bit.alias("bit"), most.alias("most"), (2.0 - dice).alias("more"), (-dice).alias("less")), over)
 
 
 def windows(hashes: Column, known: Column, templates: list[tuple[str, str]], dice: float) -> Column:
