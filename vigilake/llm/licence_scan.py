@@ -153,30 +153,31 @@ def marks(hashes: Column, templates: list[tuple[str, str]]) -> list[Column]:
     return [looked_up(first) for first in range(0, len(templates), MARKS)]
 
 
-def stretch(found: Column, bit: Column, dice: Column, most: Column) -> Column:
+def stretch(places: Column, dice: Column, most: Column) -> Column:
     """(sum, a, b): the places a to b where 2 - dice for every bigram of the template, less dice for every other one, sum up most.
 
-    A stretch ends at ``most`` places with bigrams of the template: what follows is another copy.
+    ``places`` are those with bigrams of the template, in order; the best stretch begins and ends at one. A stretch ends at
+    ``most`` of them: what follows is another copy.
     """
     kind = "struct<at:int,sum:double,from:int,hits:int,best:struct<sum:double,a:int,b:int>>"
     none = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
     start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0).alias("hits"), none.alias("best")).cast(kind)
 
-    # A step is taken at every place for every template, and its columns are worked out wherever they stand.
-    def over(x: Column) -> Column:
-        def step(acc: Column, mask: Column) -> Column:
-            hit = mask.bitwiseAND(x["bit"]) != 0
-            on = (acc["sum"] > 0) & (acc["hits"] < x["most"])
-            total = F.when(on, acc["sum"]).otherwise(0.0) + F.when(hit, x["more"]).otherwise(x["less"])
-            begin = F.when(on, acc["from"]).otherwise(acc["at"])
-            best = F.struct(total.alias("sum"), begin.alias("a"), acc["at"].alias("b"))
+    # A step is taken at every such place for every template, and its columns are worked out wherever they stand.
+    def step(acc: Column, place: Column) -> Column:
+        def grown(left: Column) -> Column:
+            on = (left > 0) & (acc["hits"] < most)
+            total = F.when(on, left).otherwise(0.0) + (2.0 - dice)
+            begin = F.when(on, acc["from"]).otherwise(place)
             return F.struct(
-                (acc["at"] + 1).alias("at"), total.alias("sum"), begin.alias("from"), (F.when(on, acc["hits"]).otherwise(0) + hit.cast("int")).alias("hits"),
-                F.when(total > acc["best"]["sum"], best).otherwise(acc["best"]).alias("best"))
+                (place + 1).alias("at"), total.alias("sum"), begin.alias("from"), (F.when(on, acc["hits"]).otherwise(0) + 1).alias("hits"),
+                F.when(total > acc["best"]["sum"], F.struct(total.alias("sum"), begin.alias("a"), place.alias("b"))).otherwise(acc["best"]).alias("best"))
 
-        return F.aggregate(found, start, step, lambda acc: acc["best"])
+        # What the places between leave of the sum; once it is used up a new stretch begins.
+        between = F.when(place > acc["at"], F.sequence(acc["at"], place - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(between, acc["sum"], lambda left, _: left - dice, grown)
 
-    return let(F.struct(bit.alias("bit"), most.alias("most"), (2.0 - dice).alias("more"), (-dice).alias("less")), over)
+    return F.aggregate(places, start, step, lambda acc: acc["best"])
 
 
 def windows(hashes: Column, known: Column, templates: list[tuple[str, str]], dice: float) -> Column:
@@ -191,32 +192,36 @@ def windows(hashes: Column, known: Column, templates: list[tuple[str, str]], dic
         F.transform(known, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.size(F.array_intersect(d, x["t"]["bigrams"])) >= x["t"]["least"]))
 
     def search(near: Column, *found: Column) -> Column:
+        last = F.size(hashes) - 1
+
         def of_template(x: Column) -> Column:
-            t = x["t"]
             bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (x["i"] % MARKS).cast("int"))
             mine = found[0] if len(found) == 1 else F.element_at(F.array(*found), (x["i"] / MARKS).cast("int") + 1)
+            # Looked for once, as the search goes over the text several times.
+            places = let(F.struct(bit.alias("bit"), mine.alias("found")), lambda m: F.filter(up_to(last + 1), lambda at: F.get(m["found"], at).bitwiseAND(m["bit"]) != 0))
+            return let(places, lambda at: best_of(x["t"], at))
 
+        def best_of(t: Column, places: Column) -> Column:
             def judged(w: Column) -> Column:
                 return let(F.array_distinct(F.slice(hashes, w["a"] + 1, w["b"] - w["a"] + 1)), lambda d: F.struct(
                     t["licence"].alias("licence"), F.when(w["a"] < 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(d, t["bigrams"])) / (F.size(d) + t["n"])).alias("dice"),
                     w["a"].alias("a"), w["b"].alias("b")))
 
-            last = F.size(hashes) - 1
-            back = F.reverse(mine)
+            back = F.transform(F.reverse(places), lambda at: last - at)
             turned = lambda w: F.struct(w["sum"].alias("sum"), F.when(w["a"] < 0, -1).otherwise(last - w["b"]).alias("a"), (last - w["a"]).alias("b"))
 
             def raised(best: Column, rounds: int) -> Column:
                 if not rounds:
                     return best
-                again = let(let(stretch(mine, bit, best["dice"], t["places"]), judged), lambda r: F.when(r["dice"] > best["dice"], raised(r, rounds - 1)).otherwise(best))
+                again = let(let(stretch(places, best["dice"], t["places"]), judged), lambda r: F.when(r["dice"] > best["dice"], raised(r, rounds - 1)).otherwise(best))
                 return F.when(best["dice"] >= dice, again).otherwise(best)
 
             def from_both_ends(w: Column) -> Column:
-                ways = F.array(judged(w), let(let(stretch(back, bit, F.lit(dice), t["places"]), turned), judged))
+                ways = F.array(judged(w), let(let(stretch(back, F.lit(dice), t["places"]), turned), judged))
                 return let(ways, lambda v: F.when(F.get(v, 1)["dice"] > F.get(v, 0)["dice"], F.get(v, 1)).otherwise(F.get(v, 0)))
 
             # Far from the sum that a stretch needs there is none.
-            return let(stretch(mine, bit, F.lit(dice), t["places"]), lambda w: F.when(
+            return let(stretch(places, F.lit(dice), t["places"]), lambda w: F.when(
                 w["sum"] >= 0.5 * dice * t["n"], let(from_both_ends(w), lambda r: raised(r, ROUNDS))))
 
         hits = F.filter(F.transform(near, of_template), lambda w: w["dice"] >= dice)
